@@ -1,5 +1,12 @@
 """Registered queries over the given tables, each with its SQL equivalent where one exists."""
 
-from checks import core, decisions, evaluation
+from checks import core, decisions, evaluation, files, learning, tuning
 
-REGISTRY = {**core.QUERIES, **decisions.QUERIES, **evaluation.QUERIES}
+REGISTRY = {
+    **core.QUERIES,
+    **decisions.QUERIES,
+    **evaluation.QUERIES,
+    **tuning.QUERIES,
+    **files.QUERIES,
+    **learning.QUERIES,
+}

@@ -63,7 +63,7 @@ def scored_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Labelled documents: label = language and toxicity; bucket = first letter of the source and a length step."""
+    """Labelled documents: label = language and toxicity; bucket = language, source and a length step."""
     labels = load(spark, sf, "labels").select("doc_id", "toxic")
     docs = load(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
     step = F.least(F.floor(F.col("n_chars") / 400), F.lit(9)).cast("int")
@@ -71,7 +71,7 @@ def document_rows(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id",
         F.concat_ws("-", "lang", F.col("toxic").cast("string")).alias("label"),
         F.col("lang").alias("family"),
-        F.concat_ws("-", F.substring("source", 1, 1), step.cast("string")).alias("bucket"),
+        F.concat_ws("-", "lang", "source", step.cast("string")).alias("bucket"),
     )
 
 
@@ -106,7 +106,7 @@ SQL_EVENT_ROWS = """
 
 SQL_DOC_ROWS = """
     dr AS (SELECT d.doc_id, d.lang || '-' || CAST(l.toxic AS VARCHAR) AS label, d.lang AS family,
-                  substr(d.source, 1, 1) || '-' || CAST(CAST(least(floor(d.n_chars / 400), 9) AS INTEGER) AS VARCHAR)
+                  d.lang || '-' || d.source || '-' || CAST(CAST(least(floor(d.n_chars / 400), 9) AS INTEGER) AS VARCHAR)
                     AS bucket
            FROM documents d JOIN labels l USING (doc_id))"""
 
