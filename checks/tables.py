@@ -26,15 +26,14 @@ def load(spark: SparkSession, sf: str, table: str) -> DataFrame:
 
 
 def power8(n: Column) -> Column:
-    square = n * n
-    return square * square * square * square
+    return (n * n) * (n * n) * (n * n) * (n * n)
 
 
 def shares(counts: Sequence[Column]) -> Column:
     """Array of sharpened shares; all zero when every count is zero."""
-    weights = [power8(n.cast("double")) for n in counts]
-    total = sum(weights[1:], weights[0])
-    return F.array(*[F.coalesce(F.round(F.try_divide(w, total), 6), F.lit(0.0)) for w in weights])
+    weights = F.transform(F.array(*[n.cast("double") for n in counts]), power8)
+    total = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
+    return F.transform(weights, lambda w: F.coalesce(F.round(F.try_divide(w, total), 6), F.lit(0.0)))
 
 
 def frequency_table(rows: DataFrame, bucket: str, label: str, classes: Sequence[str], out: str = "probs") -> DataFrame:

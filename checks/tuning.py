@@ -14,10 +14,11 @@ from checks.tables import (
     sql_wide,
 )
 from flowlab.operators import sampling, tuning
+from flowlab.operators.small import small_side
 from flowlab.operators.support import class_table
 from flowlab.plans.experiment import tuning_experiment
 from flowlab.plans.scoring import decide_flat
-from flowlab.session import fresh_path
+from flowlab.session import fresh_path, materialize
 from flowlab.sources.config import load_threshold_config, save_threshold_config
 
 RATIO = 0.40
@@ -30,7 +31,7 @@ def event_rare(scored):
 
 
 def _tops(scored):
-    return tuning.top1(scored, EVENT_CLASSES, truth="event_type")
+    return materialize(tuning.top1(scored, EVENT_CLASSES, truth="event_type"), "tops")
 
 
 def threshold_candidates(spark, sf):
@@ -40,8 +41,9 @@ def threshold_candidates(spark, sf):
 
 def candidate_scores(spark, sf):
     scored = scored_events(spark, sf)
-    candidates = tuning.threshold_candidates(_tops(scored), event_rare(scored))
-    scores = tuning.candidate_scores(_tops(scored), candidates)
+    tops = _tops(scored)
+    candidates = small_side(tuning.threshold_candidates(tops, event_rare(scored)))
+    scores = tuning.candidate_scores(tops, candidates)
     return rounded(scores, "precision", "recall", "f05", "base_recall")
 
 

@@ -9,12 +9,12 @@ BROADCAST_ROWS = 200_000
 
 
 def pin(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Run a summary once and keep it as a local table when it holds at most ``max_rows`` rows.
+    """Run a summary once and keep it as a local relation when it holds at most ``max_rows`` rows.
 
     Returns the table and whether it is small. A summary above the bound comes back as it was.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return df, False
     return df.sparkSession.createDataFrame(rows, df.schema), True
 
