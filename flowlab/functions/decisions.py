@@ -85,13 +85,13 @@ def serve_decision(
     ``strict_fallback`` makes ``fallback_to_next_rank=False`` really keep the top class; without it that
     setting only documents how the thresholds were tuned.
     """
-    first_three = F.slice(F.col(ranked), 1, 3)
-    top = F.get(first_three, F.lit(0))
+    top = F.get(F.col(ranked), F.lit(0))
     if config.enabled and config.thresholds:
         low = _below_threshold(top, config.thresholds)
         may_abstain = F.lit(bool(config.abstain_on_low_confidence_rare))
         abstained = may_abstain & low & _one_of(top["class_name"], config.rare_classes)
-        passing = F.get(F.filter(first_three, lambda e: _passes(e, config.thresholds)), F.lit(0))
+        three = [F.get(F.col(ranked), F.lit(r)) for r in range(3)]
+        passing = F.coalesce(*[F.when(_passes(e, config.thresholds), e) for e in three])
         if strict_fallback and not config.fallback_to_next_rank:
             passing = top
         chosen = F.when(abstained, top).otherwise(F.coalesce(passing, top))
@@ -175,8 +175,8 @@ def hierarchical_decision(
     if unknown:
         raise ValueError(f"No subtype model or passthrough label for families: {unknown}")
 
-    beam = df.withColumn("_beam", ranked_indices(F.col(family_probs), top_k))
-    in_beam = F.transform(F.col("_beam"), lambda e: e["i"])
+    beam = df.withColumn("_beam", ranked_indices(F.col(family_probs), len(families), top_k))
+    in_beam = F.col("_beam")["i"]
 
     options = []
     for index, family in enumerate(families):
@@ -194,18 +194,25 @@ def hierarchical_decision(
     staged = beam.withColumn("_options", F.array(*options))
 
     names = F.array(*[F.lit(f) for f in families])
-    scored = F.transform(
-        F.col("_beam"),
-        lambda e, position: F.struct(
-            combined_score(e["p"], F.element_at(F.col("_options"), e["i"] + 1)[0]["probability"]).alias("score"),
-            (-position).alias("earlier"),
-            F.element_at(names, e["i"] + 1).alias("family"),
-            e["p"].alias("family_p"),
-            F.element_at(F.col("_options"), e["i"] + 1).alias("ranks"),
-        ),
-    )
-    # Largest product wins; among equal products the family ranked earlier.
-    staged = staged.withColumn("_best", F.array_max(F.filter(scored, lambda s: s["score"].isNotNull())))
+    for r in range(min(top_k, len(families))):
+        entry = F.get(F.col("_beam"), F.lit(r))
+        ranks = F.get(F.col("_options"), entry["i"])
+        candidate = F.struct(
+            combined_score(entry["p"], ranks[0]["probability"]).alias("score"),
+            F.get(names, entry["i"]).alias("family"),
+            entry["p"].alias("family_p"),
+            ranks.alias("ranks"),
+        )
+        scored = F.when(ranks.isNotNull() & ranks[0]["probability"].isNotNull(), candidate)
+        staged = staged.withColumn("_candidate", scored)
+        if r == 0:
+            staged = staged.withColumn("_best", F.col("_candidate"))
+            continue
+        # Strictly greater only: among equal products the family ranked earlier stays.
+        better = F.col("_best").isNull() | (F.col("_candidate")["score"] > F.col("_best")["score"])
+        staged = staged.withColumn(
+            "_best", F.when(F.col("_candidate").isNotNull() & better, F.col("_candidate")).otherwise(F.col("_best"))
+        )
     best = F.col("_best")
     subtype = best["ranks"][0]
     hidden = {family_probs, *[column for column, _ in subtypes.values()]}

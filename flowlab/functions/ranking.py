@@ -12,8 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-RANK_TYPE = "array<struct<rank:int,class_name:string,probability:double>>"
-
 
 def class_array(classes: Sequence[str]) -> Column:
     return F.array(*[F.lit(str(c)) for c in classes])
@@ -21,29 +19,42 @@ def class_array(classes: Sequence[str]) -> Column:
 
 def usable(probs: Column) -> Column:
     """False for a missing vector or one with a missing or NaN entry."""
-    return probs.isNotNull() & ~F.exists(probs, lambda p: p.isNull() | F.isnan(p))
+    return F.coalesce(~F.array_contains(probs, F.lit(float("nan"))), F.lit(False))
+
+
+def _best_first(probs: Column, columns: Sequence[Column], k: int | None) -> Column:
+    """The probabilities zipped with per-class columns, best first. All steps run in generated code: a lambda per
+    element costs several times as much."""
+    guarded = F.when(usable(probs), probs)
+    ordered = F.sort_array(F.arrays_zip(guarded.alias("p"), *columns), asc=False)
+    return ordered if k is None else F.slice(ordered, 1, k)
+
 
+def class_indices(count: int) -> Column:
+    return F.array(*[F.lit(i) for i in range(count)])
 
-def ranked_indices(probs: Column, k: int | None = None) -> Column:
-    """``array<struct<p, i>>``, best first; ties: higher index first. Null when the vector is unusable."""
-    pairs = F.transform(probs, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
-    ordered = F.sort_array(pairs, asc=False)
-    if k is not None:
-        ordered = F.slice(ordered, 1, k)
-    return F.when(usable(probs), ordered)
+
+def ranked_indices(probs: Column, count: int, k: int | None = None) -> Column:
+    """``array<struct<p, i>>`` over ``count`` classes, best first; ties: higher index first. Null when the vector is
+    unusable."""
+    return _best_first(probs, [class_indices(count).alias("i")], k)
 
 
 def ranked_classes(probs: Column, classes: Sequence[str], k: int | None = None) -> Column:
     """The best ``k`` classes (all when None) as ``array<struct<rank, class_name, probability>>``."""
-    names = class_array(classes)
-    return F.transform(
-        ranked_indices(probs, k),
-        lambda e, r: F.struct(
-            (r + 1).cast("int").alias("rank"),
-            F.element_at(names, e["i"] + 1).alias("class_name"),
-            e["p"].alias("probability"),
-        ),
-    )
+    count = len(classes)
+    names = class_array(classes).alias("c")
+    best = _best_first(probs, [class_indices(count).alias("i"), names], k)
+    ranks = F.array(*[F.lit(r + 1) for r in range(count if k is None else min(k, count))])
+    zipped = F.arrays_zip(ranks.alias("rank"), best["c"].alias("class_name"), best["p"].alias("probability"))
+    return zipped
+
+
+def best_class(probs: Column, classes: Sequence[str]) -> Column:
+    """The first entry of the ranked list alone, without sorting: ties take the higher index."""
+    top = F.array_max(probs)
+    last = F.size(probs) - F.array_position(F.reverse(probs), top).cast("int") + 1
+    return F.when(usable(probs), F.element_at(class_array(classes), last))
 
 
 def pad_ranks(ranked: Column, k: int = 3) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlab.functions.ranking import argmax_class, argmax_index, ranked_classes
+from flowlab.functions.ranking import argmax_class, argmax_index, best_class, ranked_classes, usable
 from flowlab.operators.metrics import fbeta
 from flowlab.operators.quantiles import grouped_quantiles
 from flowlab.operators.small import small_side
@@ -41,13 +41,12 @@ def is_hard(
 
 def top1(df: DataFrame, classes: Sequence[str], probs: str = "probs", truth: str = "label") -> DataFrame:
     """(truth, argmax_class, argmax_p, rank1_class, rank1_p): both tie rules side by side."""
-    best = F.get(ranked_classes(F.col(probs), classes, 1), F.lit(0))
     return df.select(
         quoted(truth).alias("truth"),
         argmax_class(F.col(probs), classes).alias("argmax_class"),
         F.element_at(F.col(probs), argmax_index(F.col(probs)) + 1).alias("argmax_p"),
-        best["class_name"].alias("rank1_class"),
-        best["probability"].alias("rank1_p"),
+        best_class(F.col(probs), classes).alias("rank1_class"),
+        F.when(usable(F.col(probs)), F.array_max(probs)).alias("rank1_p"),
     )
 
 

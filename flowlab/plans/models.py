@@ -114,7 +114,7 @@ class HierarchicalModel:
         kept = [quoted(c) for c in df.columns]
         scored = self.family.score(df, "_family_probs")
         scored = scored.withColumn(
-            "_families", F.transform(ranked_indices(F.col("_family_probs"), self.top_k), lambda e: e["i"])
+            "_families", ranked_indices(F.col("_family_probs"), len(self.family.classes), self.top_k)["i"]
         )
         columns: dict[str, tuple[str, Sequence[str]]] = {}
         for i, (name, model) in enumerate(self.subtypes.items()):

@@ -100,7 +100,7 @@ def test_tune_decision(spark, probs, thresholds, rare, abstain, expected):
 
 def test_tie_rules(spark):
     row = scored(spark, [0.4, 0.4, 0.2]).select(
-        F.transform(ranked_indices(F.col("probs")), lambda e: e["i"]).alias("order"),
+        ranked_indices(F.col("probs"), 3)["i"].alias("order"),
         argmax_index(F.col("probs")).alias("best"),
     ).first()
     assert row.order == [1, 0, 2] and row.best == 0
