@@ -68,7 +68,7 @@ def tune_thresholds_hard(spark, sf):
 
 
 def _experiment(spark, sf, abstain):
-    scored = scored_events(spark, sf)
+    scored = materialize(scored_events(spark, sf), "scored")
     learn, test = sampling.split_train_val(scored, 0.5, seed=3, key_columns=["event_id"])
     parts = learn.withColumn("split", F.lit("VALIDATION")).unionByName(test.withColumn("split", F.lit("OFFICIAL TEST")))
     return tuning_experiment(
@@ -78,6 +78,7 @@ def _experiment(spark, sf, abstain):
         label="event_type",
         min_recall_ratio=RATIO,
         abstain_on_rare=abstain,
+        write_scored=False,
     )
 
 

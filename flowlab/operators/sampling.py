@@ -8,18 +8,22 @@ the rows themselves are filtered in place and never sorted or shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlab.functions.keys import content_key, order_key
-from flowlab.operators.small import small_side
+from flowlab.operators.small import pin
 from flowlab.operators.support import class_table
 from flowlab.schema import LABEL, labelled, quoted
 
-DIGITS = 4
+# Leading digits counted by successive rounds. Eight digits split any table into buckets of a few distinct keys, so whole
+# keys come next. The second half is the row content, used only where different rows share one key.
+LEVELS = (4, 8, 32, 36, 40, 64)
+KEY_DIGITS, CONTENT_DIGITS = 32, 64
 EDGE_ROWS = 1_000_000
 COPIES_PER_CHUNK = 100_000
 
@@ -56,14 +60,16 @@ def capped_sample(
             .select(group, "_edge._bucket", "_edge._before", "_edge._n")
         )
 
-    length = DIGITS
+    length = LEVELS[0]
     cuts, pinned = _pin_cuts(edges(_histogram(keyed, [group], length), length))
-    while pinned and length < 32 and any(r["_n"] > EDGE_ROWS and r["_before"] + r["_n"] > cap for r in pinned):
-        # A bucket too large to rank in one task: look inside it with four more digits.
+    while pinned and length < CONTENT_DIGITS and any(_too_large(r, cap) for r in pinned):
+        # A bucket too large to rank in one task: look inside it with more digits.
+        if length == KEY_DIGITS:
+            keyed = keyed.withColumn("_key", F.concat("_key", content_key(df)))
         inside = keyed.join(
             F.broadcast(cuts.select(group, F.col("_bucket").alias("_in"), F.col("_before").alias("_base"))), group
         ).where(F.col("_key").startswith(F.col("_in")))
-        length += DIGITS
+        length = _next_level(length)
         finer = _histogram(inside, [group, "_base"], length).withColumn("_before", F.col("_before") + F.col("_base"))
         cuts, pinned = _pin_cuts(edges(finer, length))
 
@@ -81,12 +87,19 @@ def capped_sample(
     )
 
 
+def _next_level(length: int) -> int:
+    return next(level for level in LEVELS if level > length)
+
+
+def _too_large(edge, cap: int) -> bool:
+    """The bucket is only partly needed and holds too many rows to rank together."""
+    return edge["_n"] > EDGE_ROWS and edge["_before"] + edge["_n"] > cap
+
+
 def _pin_cuts(cuts: DataFrame, max_groups: int = 100_000):
     """The cuts as a local table and its rows, or the cuts themselves and None above ``max_groups`` groups."""
-    rows = cuts.limit(max_groups + 1).collect()
-    if len(rows) > max_groups:
-        return cuts, None
-    return cuts.sparkSession.createDataFrame(rows, cuts.schema), rows
+    table, small = pin(cuts, max_groups)
+    return (table, table.collect()) if small else (cuts, None)
 
 
 def balanced_sample(
@@ -124,55 +137,76 @@ class KeyCut:
     room: int
 
 
-def key_cuts(keyed: DataFrame, ranks: Sequence[int], digits: int = 32) -> list[KeyCut]:
-    """Locate exact ranks in the order of ``_key``. Each round counts rows per bucket and returns one row per rank."""
-    spark = keyed.sparkSession
+def _first_level(keyed: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Sorted leading digits and the row count through each: at most 65,536 entries, whatever the table size."""
+    counts = keyed.groupBy(F.substring("_key", 1, LEVELS[0]).alias("_bucket")).agg(F.count("*").alias("_n"))
+    table = counts.orderBy("_bucket").toArrow()
+    return table["_bucket"].to_pylist(), np.cumsum(table["_n"].to_numpy())
+
+
+def key_cuts(
+    keyed: DataFrame, ranks: Callable[[int], Sequence[int]], digits: int = KEY_DIGITS
+) -> tuple[list[KeyCut], int]:
+    """Locate exact ranks in the order of ``_key``; ``ranks`` derives them from the row count, returned as well.
+
+    The first round counts rows per leading digits, which also gives the row count. Each further round counts inside the
+    buckets that hold a wanted rank and returns one row per rank; two rounds are the rule, three the most for unique keys.
+    """
+    buckets, through = _first_level(keyed)
+    total = int(through[-1]) if len(through) else 0
+    wanted = [int(r) for r in ranks(total)]
     found: dict[int, KeyCut] = {}
-    open_ranks = {int(r): ("", int(r)) for r in ranks}
-    length = 0
-    for rank in [r for r in open_ranks if r <= 0]:
-        found[rank] = KeyCut(rank, "", 0)
-        del open_ranks[rank]
+    open_ranks: dict[int, tuple[str, int]] = {}
+
+    def settle(rank: int, bucket: str, left: int, size: int, length: int) -> None:
+        if left == size:  # the cut falls right behind this bucket
+            found[rank] = KeyCut(rank, bucket + "~", 0)
+        elif length >= digits:
+            found[rank] = KeyCut(rank, bucket, left)
+        else:
+            open_ranks[rank] = (bucket, left)
+
+    for rank in set(wanted):
+        if rank <= 0:
+            found[rank] = KeyCut(rank, "", 0)
+        elif rank >= total:
+            found[rank] = KeyCut(rank, "~", 0)
+        else:
+            at = int(np.searchsorted(through, rank))
+            before = int(through[at - 1]) if at else 0
+            settle(rank, buckets[at], rank - before, int(through[at]) - before, LEVELS[0])
+
+    length = LEVELS[0]
     while open_ranks:
-        length += DIGITS
-        prefixes = sorted({prefix for prefix, _ in open_ranks.values()})
-        head = F.substring("_key", 1, length - DIGITS)
-        inside = keyed.select("_key", head.alias("_head")).where(F.col("_head").isin(prefixes))
-        targets = spark.createDataFrame(
+        targets = keyed.sparkSession.createDataFrame(
             [(rank, prefix, left) for rank, (prefix, left) in open_ranks.items()],
             "_rank long, _head string, _left long",
         )
-        histogram = _histogram(inside, ["_head"], length)
-        located = histogram.join(F.broadcast(targets), "_head").where(
-            (F.col("_before") < F.col("_left")) & (F.col("_left") <= F.col("_through"))
+        heads = sorted({prefix for prefix, _ in open_ranks.values()})
+        head = F.substring("_key", 1, length)
+        length = _next_level(length)
+        inside = keyed.select("_key", head.alias("_head")).where(F.col("_head").isin(heads))
+        located = (
+            _histogram(inside, ["_head"], length)
+            .join(F.broadcast(targets), "_head")  # one row per open rank
+            .where((F.col("_before") < F.col("_left")) & (F.col("_left") <= F.col("_through")))
+            .select("_rank", "_bucket", (F.col("_left") - F.col("_before")).alias("_left"), "_n")
+            .collect()
         )
-        hits = {r["_rank"]: r for r in located.select("_rank", "_bucket", "_left", "_before", "_n").collect()}
-        for rank in list(open_ranks):
-            if rank not in hits:  # beyond the last row: everything is before the cut
-                found[rank] = KeyCut(rank, "~", 0)
-                del open_ranks[rank]
-                continue
-            hit = hits[rank]
-            left = hit["_left"] - hit["_before"]
-            if left == hit["_n"]:  # the cut falls behind this bucket
-                found[rank] = KeyCut(rank, hit["_bucket"] + "~", 0)
-                del open_ranks[rank]
-            elif length >= digits:
-                found[rank] = KeyCut(rank, hit["_bucket"], int(left))
-                del open_ranks[rank]
-            else:
-                open_ranks[rank] = (hit["_bucket"], int(left))
-    return [found[int(r)] for r in ranks]
-
-
-def _cuts_with_content(df: DataFrame, seed: int, key_columns: Sequence[str], ranks: Sequence[int]):
+        open_ranks.clear()
+        for hit in located:
+            settle(hit["_rank"], hit["_bucket"], hit["_left"], hit["_n"], length)
+    return [found[rank] for rank in wanted], total
+
+
+def _cuts_with_content(df: DataFrame, seed: int, key_columns: Sequence[str], ranks: Callable[[int], Sequence[int]]):
     """Key cuts; when a cut falls among rows sharing a whole key, the row content extends the key."""
     key = order_key(seed, key_columns)
-    cuts = key_cuts(df.select(key.alias("_key")), ranks)
+    cuts, total = key_cuts(df.select(key.alias("_key")), ranks)
     if any(c.room for c in cuts):
         key = F.concat(key, content_key(df))
-        cuts = key_cuts(df.select(key.alias("_key")), ranks, digits=64)
-    return key, cuts
+        cuts, total = key_cuts(df.select(key.alias("_key")), ranks, digits=CONTENT_DIGITS)
+    return key, cuts, total
 
 
 def _some_copies(exact: DataFrame, first: int, last: int) -> DataFrame:
@@ -203,9 +237,7 @@ def split_train_val(
     Both sides are plain filters on the order key. ``key_columns`` should identify a row; copies that share the key at
     the cut are divided exactly by count.
     """
-    total = df.count()
-    size = int(total * (1.0 - val_frac))
-    key, (cut,) = _cuts_with_content(df, seed, key_columns, [size])
+    key, (cut,), total = _cuts_with_content(df, seed, key_columns, lambda n: [int(n * (1.0 - val_frac))])
     keyed = df.withColumn("_key", key)
     train, val = keyed.where(F.col("_key") < cut.key), keyed.where(F.col("_key") >= cut.key)
     if not cut.room:
@@ -250,7 +282,7 @@ def permute_labels(
         total += support
         ranks.append(total)
     known = labelled(df, label)
-    key, cuts = _cuts_with_content(known, seed, key_columns, ranks)
+    key, cuts, _ = _cuts_with_content(known, seed, key_columns, lambda _: ranks)
     target = column or label
     keyed = known.withColumn("_key", key)
     names = [name for name, _ in table]

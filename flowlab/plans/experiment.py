@@ -14,6 +14,7 @@ from flowlab.operators.metrics import in_labels, per_class, rare_metrics, summar
 from flowlab.operators.small import pin
 from flowlab.operators.tuning import MIN_TOP1_ROWS, tune_thresholds
 from flowlab.schema import ABSTAIN_LABEL, LABEL, UNCERTAINTY_FLOOR, quoted
+from flowlab.session import materialize
 
 KEYS = ["split", "variant"]
 
@@ -114,8 +115,15 @@ def tuning_experiment(
     abstain_on_rare: bool = False,
     hard_only: bool = True,
     min_rows: int = MIN_TOP1_ROWS,
+    write_scored: bool = True,
 ) -> Experiment:
-    """``scored`` holds ``split``, the label and ``probs``; thresholds are learned on the validation split only."""
+    """``scored`` holds ``split``, the label and ``probs``; thresholds are learned on the validation split only.
+
+    Scored rows are read more than once, so they are written first; ``write_scored=False`` leaves that out for rows that
+    are already stored.
+    """
+    if write_scored:
+        scored = materialize(scored.select("split", quoted(label), probs), "scored")
     learned, small = pin(
         tune_thresholds(
             scored.where(F.col("split") == validation),

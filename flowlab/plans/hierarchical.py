@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from flowlab.operators.taxonomy import families_of, family_slice
 from flowlab.plans.models import FlatModel, HierarchicalModel
 from flowlab.plans.training import (
     FAMILY_PRESETS,
+    FIT_THREADS,
     SUBTYPE_PRESET,
     Sweep,
     boosted_candidates,
@@ -100,7 +102,7 @@ def train_hierarchical(
             def subtype_fit(rows, held_rows):
                 return fit_forest(rows, features=features, label=label, max_depth=10, seed=seed)
 
-    subtypes: dict[str, FlatModel] = {}
+    fits: dict[str, tuple[DataFrame, DataFrame | None]] = {}
     passthrough: dict[str, str] = {}
     for family, labels in families_of(taxonomy).items():
         observed = [x for x in labels if x in supports]
@@ -111,7 +113,9 @@ def train_hierarchical(
         elif observed:
             enough = sum(1 for x in labels if x in held) > 1
             held_rows = family_slice(val, family) if enough else None
-            subtypes[family] = subtype_fit(family_slice(train, family), held_rows)
+            fits[family] = (family_slice(train, family), held_rows)
+    with ThreadPoolExecutor(FIT_THREADS) as pool:
+        subtypes = dict(zip(fits, pool.map(lambda slices: subtype_fit(*slices), fits.values())))
     return HierarchicalModel(chosen.best_model, subtypes, passthrough, top_k), chosen
 
 

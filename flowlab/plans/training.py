@@ -200,10 +200,10 @@ class Sweep:
 
 def sweep(candidates: Mapping[str, Fit], train: DataFrame, val: DataFrame, *, label: str = LABEL) -> Sweep:
     """Fit every candidate, score train and validation, select by validation macro F1 less the overfit penalty."""
-    models: dict[str, FlatModel] = {}
+    with ThreadPoolExecutor(FIT_THREADS) as pool:  # independent fits, a few at a time
+        models = dict(zip(candidates, pool.map(lambda fit: fit(train, val), candidates.values())))
     counts: DataFrame | None = None
-    for position, (name, fit) in enumerate(candidates.items()):
-        models[name] = fit(train, val)
+    for position, name in enumerate(candidates):
         part = split_confusion(models[name], {"TRAIN": train, "VAL": val}, label=label, name=F.lit(name))
         part = part.withColumn("candidate_idx", F.lit(position))
         counts = part if counts is None else counts.unionByName(part)

@@ -34,11 +34,20 @@ def test_cap_is_exact_and_reproducible(spark, skewed):
 
 def test_sample_looks_inside_large_buckets(spark, skewed, monkeypatch):
     expected = rows_of(sampling.capped_sample(skewed, "label", 100, seed=42, key_columns=["id"]))
-    monkeypatch.setattr(sampling, "DIGITS", 1)
+    monkeypatch.setattr(sampling, "LEVELS", (1, 2, 3, 32, 36, 40, 64))
     monkeypatch.setattr(sampling, "EDGE_ROWS", 3)
     assert rows_of(sampling.capped_sample(skewed, "label", 100, seed=42, key_columns=["id"])) == expected
 
 
+def test_sample_with_a_key_shared_by_many_rows(spark, monkeypatch):
+    """One key for all rows: the content decides, and no bucket above the bound is ranked whole."""
+    df = spark.range(400).select(F.lit("a").alias("label"), F.lit(7).alias("k"), F.col("id").alias("v"))
+    expected = rows_of(sampling.capped_sample(df, "label", 50, seed=1, key_columns=["k"]))
+    monkeypatch.setattr(sampling, "EDGE_ROWS", 3)
+    assert rows_of(sampling.capped_sample(df, "label", 50, seed=1, key_columns=["k"])) == expected
+    assert len(expected) == 50
+
+
 def test_sample_of_copies(spark):
     copies = spark.range(1000).select(F.lit("a").alias("label"), (F.col("id") % 3).alias("x"))
     got = sampling.capped_sample(copies, "label", 500, seed=1, key_columns=["x"])
