@@ -8,6 +8,7 @@ from checks.tables import load
 from flowlab.operators import reports, sampling
 from flowlab.operators.metrics import confusion, per_class, summary_metrics
 from flowlab.operators.taxonomy import family_correct
+from flowlab.plans import flows as flow_jobs
 from flowlab.plans import hierarchical, models, training
 from flowlab.plans.evaluation import evaluate_model
 from flowlab.plans.scoring import score_with
@@ -31,11 +32,8 @@ KEY = ["flow_id"]
 
 
 def flows(spark, sf):
-    names = F.array(*[F.lit(x) for x in FLOW_LABELS])
-    features = [F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(FEATURES)]
-    return load(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("flow_id"), *features, F.element_at(names, F.col("label") + 1).alias("label")
-    )
+    features = [f"CAST(embedding[{i}] AS DOUBLE) AS `{c}`" for i, c in enumerate(FEATURES)]
+    return load(spark, sf, "embeddings").selectExpr("vec_id AS flow_id", *features, f"{SQL_LABEL} AS label")
 
 
 def flow_conform(spark, sf):
@@ -136,6 +134,43 @@ def saved_model_scores(spark, sf):
     return score_with(val, model, carry=KEY)
 
 
+def _held_out(spark, sf):
+    """A quarter of the flows as the untouched test set, the rest as the archive."""
+    archive, test = sampling.split_train_val(flows(spark, sf), 0.25, seed=8, key_columns=KEY)
+    return materialize(archive, "archive"), materialize(test, "test")
+
+
+def compare_models(spark, sf):
+    """Balanced sample, hygiene, two models, evaluation on three splits: the model summary."""
+    archive, test = _held_out(spark, sf)
+    fits = {
+        "LogReg": lambda train, val: training.fit_logreg(train, max_iter=30),
+        "RandomForest": lambda train, val: training.fit_forest(train, trees=15, max_depth=6, min_rows_per_leaf=2),
+    }
+    result = flow_jobs.compare_models(
+        archive, test, fits, key_columns=KEY, max_per_label=150, val_frac=0.2, rare_support_threshold=12
+    )
+    return result.summary
+
+
+def tune_model_thresholds(spark, sf):
+    """Thresholds for a trained model, from its rebuilt validation split: metrics per split and variant."""
+    archive, test = _held_out(spark, sf)
+    model = training.fit_logreg(archive, max_iter=30)
+    result = flow_jobs.tune_model(
+        model, archive, test, key_columns=KEY, rare_support_threshold=12, val_frac=0.5, min_rows=3, min_recall_ratio=0.4
+    )
+    return result.metrics
+
+
+def training_data_audit(spark, sf):
+    """Overlap before, rows removed and overlap after, for the archive against the test rows plus some of its own."""
+    archive, test = _held_out(spark, sf)
+    leaked = test.unionByName(archive.where("label = 'XSS'"))
+    data = flow_jobs.prepare_training_data(archive, leaked, key_columns=KEY, max_per_label=100_000)
+    return data.audit.select("unique_a", "overlap", "rows_before", "rows_removed", "rows_kept", "overlap_after")
+
+
 def _sql_label() -> str:
     return "CASE label " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(FLOW_LABELS)) + " END"
 
@@ -148,7 +183,20 @@ QUERIES = {
         flow_conform,
         f"SELECT vec_id AS flow_id, {_SQL_FEATURES}, {SQL_LABEL} AS label FROM embeddings",
     ),
+    "training_data_audit": (
+        training_data_audit,
+        f"""WITH o AS (SELECT {SQL_LABEL} AS label, row_number() OVER (ORDER BY md5(concat_ws('|', '8', vec_id))) AS rn,
+              count(*) OVER () AS n, list_slice(embedding, 1, 40) AS x FROM embeddings),
+            a AS (SELECT label, x FROM o WHERE rn <= floor(n * (1.0 - 0.25))),
+            t AS (SELECT DISTINCT x FROM (SELECT x FROM o WHERE rn > floor(n * (1.0 - 0.25))
+                  UNION ALL SELECT x FROM a WHERE label = 'XSS'))
+            SELECT count(DISTINCT x) AS unique_a, count(DISTINCT x) FILTER (x IN (SELECT x FROM t)) AS overlap,
+              count(*) AS rows_before, count(*) FILTER (x IN (SELECT x FROM t)) AS rows_removed,
+              count(*) FILTER (x NOT IN (SELECT x FROM t)) AS rows_kept, CAST(0 AS BIGINT) AS overlap_after FROM a""",
+    ),
     "train_logreg": (train_logreg, None),
+    "compare_models": (compare_models, None),
+    "tune_model_thresholds": (tune_model_thresholds, None),
     "train_forest": (train_forest, None),
     "train_boosted": (train_boosted, None),
     "boosted_sweep": (boosted_sweep, None),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlab.functions.ranking import (
+    class_array,
     pad_ranks,
     ranked_classes,
     ranked_indices,
@@ -193,7 +194,7 @@ def hierarchical_decision(
         options.append(F.when(F.array_contains(in_beam, F.lit(index)), ranks))
     staged = beam.withColumn("_options", F.array(*options))
 
-    names = F.array(*[F.lit(f) for f in families])
+    names = class_array(families)
     for r in range(min(top_k, len(families))):
         entry = F.get(F.col("_beam"), F.lit(r))
         ranks = F.get(F.col("_options"), entry["i"])

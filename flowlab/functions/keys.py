@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlab.schema import quoted
+from flowlab.schema import quoted, ticked
 
 
 def order_key(seed: int, columns: Sequence[str]) -> Column:
@@ -21,7 +21,13 @@ def order_key(seed: int, columns: Sequence[str]) -> Column:
 
 def content_key(df: DataFrame) -> Column:
     """Hexadecimal key over every column, null-aware: equal for exact copies of a row only."""
-    return F.md5(F.to_json(F.struct(*[quoted(c) for c in df.columns]), {"ignoreNullFields": "false"}))
+    names = ", ".join(ticked(c) for c in df.columns)
+    return F.expr(f"md5(to_json(struct({names}), map('ignoreNullFields', 'false')))")
+
+
+def _number(name: str) -> str:
+    """SQL text: the column as a double, NaN taken as null."""
+    return f"nanvl(CAST({ticked(name)} AS DOUBLE), CAST(NULL AS DOUBLE))"
 
 
 def numeric_struct(columns: Sequence[str]) -> Column:
@@ -30,15 +36,12 @@ def numeric_struct(columns: Sequence[str]) -> Column:
     Two structs are equal when all fields are equal or null on both sides, so one join key replaces
     as many null-safe conditions as there are columns.
     """
-    values = [quoted(c).cast("double") for c in columns]
-    return F.struct(*[F.nanvl(v, F.lit(None).cast("double")).alias(f"c{i}") for i, v in enumerate(values)])
+    fields = ", ".join(f"'c{i}', {_number(c)}" for i, c in enumerate(columns))
+    return F.expr(f"named_struct({fields})")
 
 
 def row_hash(columns: Sequence[str]) -> Column:
-    """64-bit hash of the row content. Each value is hashed beside its position and null flag, so moving a
-    null changes the hash. A prefilter only: equality is always decided on the values."""
-    parts = []
-    for name in columns:
-        value = F.nanvl(quoted(name).cast("double"), F.lit(None).cast("double"))
-        parts += [value.isNull(), F.coalesce(value, F.lit(0.0)) + F.lit(0.0)]
-    return F.xxhash64(*parts)
+    """64-bit hash of the row content. Each value is hashed beside its null flag, so moving a null changes the
+    hash. A prefilter only: equality is always decided on the values."""
+    parts = ", ".join(f"{_number(c)} IS NULL, coalesce({_number(c)}, 0.0D) + 0.0D" for c in columns)
+    return F.expr(f"xxhash64({parts})")

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 
 def class_array(classes: Sequence[str]) -> Column:
-    return F.array(*[F.lit(str(c)) for c in classes])
+    names = ", ".join("'" + str(c).replace("\\", "\\\\").replace("'", "\\'") + "'" for c in classes)
+    return F.expr(f"array({names})")
 
 
 def usable(probs: Column) -> Column:
@@ -31,7 +32,7 @@ def _best_first(probs: Column, columns: Sequence[Column], k: int | None) -> Colu
 
 
 def class_indices(count: int) -> Column:
-    return F.array(*[F.lit(i) for i in range(count)])
+    return F.expr(f"sequence(0, {count - 1})")
 
 
 def ranked_indices(probs: Column, count: int, k: int | None = None) -> Column:
@@ -45,7 +46,7 @@ def ranked_classes(probs: Column, classes: Sequence[str], k: int | None = None)
     count = len(classes)
     names = class_array(classes).alias("c")
     best = _best_first(probs, [class_indices(count).alias("i"), names], k)
-    ranks = F.array(*[F.lit(r + 1) for r in range(count if k is None else min(k, count))])
+    ranks = F.expr(f"sequence(1, {count if k is None else min(k, count)})")
     zipped = F.arrays_zip(ranks.alias("rank"), best["c"].alias("class_name"), best["p"].alias("probability"))
     return zipped
 

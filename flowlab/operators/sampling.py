@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from flowlab.functions.keys import content_key, order_key
 from flowlab.operators.small import pin
 from flowlab.operators.support import class_table
-from flowlab.schema import LABEL, labelled, quoted
+from flowlab.schema import LABEL, labelled, quoted, ticked
 
 # Leading digits counted by successive rounds. Eight digits split any table into buckets of a few distinct keys, so whole
 # keys come next. The second half is the row content, used only where different rows share one key.
@@ -76,14 +76,14 @@ def capped_sample(
     cut = cuts.select(group, F.col("_bucket").alias("_last"), (F.lit(cap) - F.col("_before")).alias("_room"))
     prefix = F.substring("_key", 1, length)
     near = keyed.join(F.broadcast(cut) if pinned is not None else cut, group).where(prefix <= F.col("_last"))
-    copies = near.groupBy(*[quoted(c) for c in df.columns], "_key", "_last", "_room").agg(F.count("*").alias("_n"))
+    copies = near.groupBy(*[ticked(c) for c in df.columns], "_key", "_last", "_room").agg(F.count("*").alias("_n"))
     bucket = Window.partitionBy(group, F.substring("_key", 1, length)).orderBy("_key", content_key(df))
     rows_before = F.sum("_n").over(bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
     room = F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_room") - F.col("_before_here")))
     keep = F.when(prefix < F.col("_last"), F.col("_n")).otherwise(room)
     kept = copies.withColumn("_before_here", rows_before).withColumn("_keep", keep.cast("int")).where("_keep > 0")
     return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_keep")))).select(
-        *[quoted(c) for c in df.columns]
+        *[ticked(c) for c in df.columns]
     )
 
 
@@ -211,7 +211,7 @@ def _cuts_with_content(df: DataFrame, seed: int, key_columns: Sequence[str], ran
 
 def _some_copies(exact: DataFrame, first: int, last: int) -> DataFrame:
     """Copies ``first`` (exclusive) to ``last`` of rows that are all alike, made anew in parallel chunks."""
-    columns = [quoted(c) for c in exact.columns]
+    columns = [ticked(c) for c in exact.columns]
     one = exact.groupBy(*columns).agg(F.count("*").alias("_n"))
     upto = F.least(F.lit(last), F.col("_n"))
     starts = F.sequence(F.lit(first), upto - 1, F.lit(COPIES_PER_CHUNK))

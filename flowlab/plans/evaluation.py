@@ -42,10 +42,9 @@ def evaluate_scored(
     table = per_class(counts)
     official = split.upper() == OFFICIAL_TEST
     row = summary_metrics(table).select(F.lit(name).alias("model"), F.lit(split).alias("split"), "*")
-    rare_row = rare_metrics(table, is_rare(rare_support_threshold))
-    rare = rare_row.first()["rare_classes"]
+    values = rare_metrics(table, is_rare(rare_support_threshold)).first().asDict() if official else {}
+    rare = values.get("rare_classes", [])
     nothing = F.lit(None).cast("double")
-    values = rare_row.first().asDict() if official else {}
     for metric in ("rare_mean_precision", "rare_mean_recall", "rare_mean_f1"):
         row = row.withColumn(metric, F.lit(values.get(metric)).cast("double"))
     areas = {"rare_mean_auprc": None, "macro_auprc": None}
@@ -59,7 +58,7 @@ def evaluate_scored(
         areas["macro_auprc"] = macro_auprc(ap).first()[0] if all_classes else None
     for metric, value in areas.items():
         row = row.withColumn(metric, F.lit(value).cast("double") if value is not None else nothing)
-    return row.withColumn("rare_classes", F.array(*[F.lit(x) for x in (rare if official else [])]).cast("array<string>"))
+    return row.withColumn("rare_classes", F.array(*[F.lit(x) for x in rare]).cast("array<string>"))
 
 
 def evaluate_model(

@@ -110,9 +110,14 @@ def flow_schema(features: Sequence[str] = FEATURES, label: str | None = LABEL) -
     return T.StructType(fields)
 
 
+def ticked(name: str) -> str:
+    """A column name for SQL text, also when it holds spaces or dots."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def quoted(name: str) -> Column:
-    """A column by its literal name, also when it holds spaces or dots."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """A column by its literal name."""
+    return F.col(ticked(name))
 
 
 def require_columns(df: DataFrame, names: Sequence[str]) -> None:
@@ -143,17 +148,14 @@ def conform(
     if label is not None:
         require_label(df, label)
     types = dict(df.dtypes)
-    columns = [quoted(name) for name in carry]
+    columns = [ticked(name) for name in carry]
     for name in features:
-        column = quoted(name)
-        if types[name] == "string":
-            column = column.try_cast(dtype)
-        elif types[name] != dtype:
-            column = column.cast(dtype)
-        columns.append(column.alias(name))
+        cast = "TRY_CAST" if types[name] == "string" else "CAST"
+        plain = types[name] == dtype
+        columns.append(ticked(name) if plain else f"{cast}({ticked(name)} AS {dtype}) AS {ticked(name)}")
     if label is not None:
-        columns.append(quoted(label))
-    return df.select(*columns)
+        columns.append(ticked(label))
+    return df.selectExpr(*columns)
 
 
 def labelled(df: DataFrame, label: str = LABEL) -> DataFrame:
