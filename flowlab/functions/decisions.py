@@ -179,59 +179,54 @@ def hierarchical_decision(
     beam = df.withColumn("_beam", ranked_indices(F.col(family_probs), len(families), top_k))
     in_beam = F.col("_beam")["i"]
 
-    options = []
+    # One column per family: an array of them would be unfolded again wherever an entry is picked.
+    options = {}
     for index, family in enumerate(families):
+        chosen = F.array_contains(in_beam, F.lit(index))
         if family in passthrough:
             one = F.struct(
                 F.lit(1).alias("rank"),
                 F.lit(str(passthrough[family])).alias("class_name"),
                 F.lit(1.0).alias("probability"),
             )
-            ranks = F.array(one)
+            options[f"_ranks_{index}"] = F.when(chosen, F.array(one))
         else:
             column, classes = subtypes[family]
-            ranks = ranked_classes(F.col(column), classes, 3)
-        options.append(F.when(F.array_contains(in_beam, F.lit(index)), ranks))
-    staged = beam.withColumn("_options", F.array(*options))
+            options[f"_ranks_{index}"] = ranked_classes(F.col(column), classes, 3, chosen)
+    staged = beam.withColumns(options)
 
     names = class_array(families)
-    for r in range(min(top_k, len(families))):
-        entry = F.get(F.col("_beam"), F.lit(r))
-        ranks = F.get(F.col("_options"), entry["i"])
-        candidate = F.struct(
-            combined_score(entry["p"], ranks[0]["probability"]).alias("score"),
-            F.get(names, entry["i"]).alias("family"),
-            entry["p"].alias("family_p"),
-            ranks.alias("ranks"),
-        )
-        scored = F.when(ranks.isNotNull() & ranks[0]["probability"].isNotNull(), candidate)
-        staged = staged.withColumn("_candidate", scored)
-        if r == 0:
-            staged = staged.withColumn("_best", F.col("_candidate"))
-            continue
-        # Strictly greater only: among equal products the family ranked earlier stays.
-        better = F.col("_best").isNull() | (F.col("_candidate")["score"] > F.col("_best")["score"])
-        staged = staged.withColumn(
-            "_best", F.when(F.col("_candidate").isNotNull() & better, F.col("_candidate")).otherwise(F.col("_best"))
-        )
-    best = F.col("_best")
-    subtype = best["ranks"][0]
+    def picked(index: Column) -> Column:
+        ranks = F.lit(None)
+        for position, option in reversed(list(enumerate(options))):
+            ranks = F.when(index == position, F.col(option)).otherwise(ranks)
+        return ranks
+
+    entries = [F.get(F.col("_beam"), F.lit(r)) for r in range(min(top_k, len(families)))]
+    scores = F.array(*[combined_score(e["p"], picked(e["i"])[0]["probability"]) for e in entries])
+    staged = staged.withColumn("_scores", scores)
+    # Largest product wins; among equal products the first position, which is the family ranked earlier.
+    place = F.array_position("_scores", F.array_max("_scores")).cast("int") - 1
+    staged = staged.withColumn("_entry", F.get(F.col("_beam"), place))
+    staged = staged.withColumn("_ranks", picked(F.col("_entry")["i"]))
+    entry, subtype = F.col("_entry"), F.get(F.col("_ranks"), F.lit(0))
+    score = combined_score(entry["p"], subtype["probability"])
+    staged = staged.withColumn("_top", pad_ranks(F.col("_ranks"))).withColumn("_score", score)
     hidden = {family_probs, *[column for column, _ in subtypes.values()]}
     kept = [quoted(c) for c in df.columns if c not in hidden]
-    known = best.isNotNull()
     return staged.select(
         *kept,
-        best["family"].alias("predicted_family"),
-        best["family_p"].alias("family_confidence"),
+        F.get(names, entry["i"]).alias("predicted_family"),
+        entry["p"].alias("family_confidence"),
         subtype["class_name"].alias("predicted_class"),
         subtype["probability"].alias("subtype_confidence"),
-        best["score"].alias("confidence"),
-        alert_level(subtype["class_name"], best["score"], benign).alias("alert_level"),
-        is_uncertain(best["score"]).alias("uncertain"),
+        F.col("_score").alias("confidence"),
+        alert_level(subtype["class_name"], F.col("_score"), benign).alias("alert_level"),
+        is_uncertain(F.col("_score")).alias("uncertain"),
         F.lit(False).alias("threshold_applied"),
         F.lit(None).cast("string").alias("fallback_from_class"),
         F.lit(False).alias("abstained"),
         F.lit(None).cast("string").alias("abstain_from_class"),
-        F.when(known, F.lit(1)).alias("selected_rank"),
-        *top_columns(pad_ranks(best["ranks"])),
+        F.when(entry.isNotNull(), F.lit(1)).alias("selected_rank"),
+        *top_columns(F.col("_top")),
     )

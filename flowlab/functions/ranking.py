@@ -23,10 +23,10 @@ def usable(probs: Column) -> Column:
     return F.coalesce(~F.array_contains(probs, F.lit(float("nan"))), F.lit(False))
 
 
-def _best_first(probs: Column, columns: Sequence[Column], k: int | None) -> Column:
+def _best_first(probs: Column, columns: Sequence[Column], k: int | None, when: Column | None = None) -> Column:
     """The probabilities zipped with per-class columns, best first. All steps run in generated code: a lambda per
-    element costs several times as much."""
-    guarded = F.when(usable(probs), probs)
+    element costs several times as much. Rows not wanted turn null before the sort, which then costs nothing."""
+    guarded = F.when(usable(probs) if when is None else when & usable(probs), probs)
     ordered = F.sort_array(F.arrays_zip(guarded.alias("p"), *columns), asc=False)
     return ordered if k is None else F.slice(ordered, 1, k)
 
@@ -41,11 +41,14 @@ def ranked_indices(probs: Column, count: int, k: int | None = None) -> Column:
     return _best_first(probs, [class_indices(count).alias("i")], k)
 
 
-def ranked_classes(probs: Column, classes: Sequence[str], k: int | None = None) -> Column:
-    """The best ``k`` classes (all when None) as ``array<struct<rank, class_name, probability>>``."""
+def ranked_classes(
+    probs: Column, classes: Sequence[str], k: int | None = None, when: Column | None = None
+) -> Column:
+    """The best ``k`` classes (all when None) as ``array<struct<rank, class_name, probability>>``; null where ``when``
+    is given and does not hold."""
     count = len(classes)
     names = class_array(classes).alias("c")
-    best = _best_first(probs, [class_indices(count).alias("i"), names], k)
+    best = _best_first(probs, [class_indices(count).alias("i"), names], k, when)
     ranks = F.expr(f"sequence(1, {count if k is None else min(k, count)})")
     zipped = F.arrays_zip(ranks.alias("rank"), best["c"].alias("class_name"), best["p"].alias("probability"))
     return zipped
@@ -60,15 +63,18 @@ def best_class(probs: Column, classes: Sequence[str]) -> Column:
 
 def pad_ranks(ranked: Column, k: int = 3) -> Column:
     """Fill a short ranked list up to ``k`` with its first class at probability 0."""
-    filler = F.transform(
-        F.sequence(F.size(ranked) + 1, F.lit(k)),
-        lambda r: F.struct(
-            r.cast("int").alias("rank"),
-            ranked[0]["class_name"].alias("class_name"),
-            F.lit(0.0).alias("probability"),
+    def filled(values: Column, filler: Column) -> Column:
+        return F.slice(F.concat(values, F.array_repeat(filler, k)), 1, k)
+
+    first = F.get(ranked, F.lit(0))["class_name"]
+    return F.when(
+        ranked.isNotNull(),
+        F.arrays_zip(
+            F.expr(f"sequence(1, {k})").alias("rank"),
+            filled(ranked["class_name"], first).alias("class_name"),
+            filled(ranked["probability"], F.lit(0.0)).alias("probability"),
         ),
     )
-    return F.when(F.size(ranked) < k, F.concat(ranked, filler)).otherwise(ranked)
 
 
 def argmax_index(probs: Column) -> Column:
