@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.core import SQL_PRED
@@ -93,13 +95,13 @@ def stream_score(spark, sf):
 
 def stream_alert_counts(spark, sf):
     stream = streams.stream_csv(spark, _event_files(spark, sf), EVENT_SCHEMA, files_per_trigger=2)
-    out = fresh_path(spark, "counts")
-    streams.wait(streams.running_alert_counts(stream, _event_scorer(spark, sf), out, fresh_path(spark, "state")))
-    return spark.read.parquet(out)
+    name = f"alert_counts_{uuid.uuid4().hex}"
+    streams.wait(streams.running_alert_counts(stream, _event_scorer(spark, sf), name, fresh_path(spark, "state")))
+    return spark.table(name)
 
 
 def stream_exclude(spark, sf):
-    """Arriving events less those whose value occurs among the large orders' line counts: prices of parts."""
+    """Arriving events, values rounded, less those whose value occurs as a line quantity."""
     stream = streams.stream_csv(spark, _event_files(spark, sf), EVENT_SCHEMA, files_per_trigger=2)
     reference = load(spark, sf, "lineitem").select(F.col("l_quantity").alias("value"))
     kept = hygiene.exclude_stream_overlap(stream.withColumn("value", F.round("value", 0)), reference, ["value"])

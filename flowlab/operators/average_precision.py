@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlab.schema import quoted
+from flowlab.session import materialize
 
 BUCKETS_PER_LOG_ODDS = 1024
 
@@ -56,9 +57,15 @@ def one_vs_rest(
     return unfolded.groupBy(*keys, "class", "score").agg(F.sum("hit").alias("positives"), F.count("*").alias("rows"))
 
 
-def average_precision(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """AP per (keys, class) from ``one_vs_rest`` counts; 0 for a class without a positive row."""
+def average_precision(scores: DataFrame, keys: Sequence[str] = (), *, write_scores: bool = True) -> DataFrame:
+    """AP per (keys, class) from ``one_vs_rest`` counts; 0 for a class without a positive row.
+
+    The counts are read twice and come from unfolding every row, so they are written first; ``write_scores=False`` leaves
+    that out for counts that are already stored.
+    """
     group = [*keys, "class"]
+    if write_scores:
+        scores = materialize(scores, "scores")
     bucketed = scores.withColumn("_bucket", score_bucket(F.col("score")))
     buckets = bucketed.groupBy(*group, "_bucket").agg(
         F.sum("positives").alias("_bucket_positives"), F.sum("rows").alias("_bucket_rows")
@@ -77,13 +84,11 @@ def average_precision(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         "_seen", F.sum("rows").over(within)
     )
     # Only a score with positives of its own raises recall, so the others need no offset.
-    steps = running.where("positives > 0").join(offsets, [*group, "_bucket"])
+    steps = offsets.join(running.where("positives > 0"), [*group, "_bucket"], "left")
     precision = (F.col("_tp") + F.col("_positives_above")) / (F.col("_seen") + F.col("_rows_above"))
     area = F.sum(F.col("positives") * precision / F.col("_all_positives"))
-    found = steps.groupBy(*group).agg(area.alias("_area"))
-    known = buckets.groupBy(*group).agg(F.sum("_bucket_positives").alias("positives"))
-    return known.join(found, group, "left").select(
-        *group, "positives", F.coalesce("_area", F.lit(0.0)).alias("average_precision")
+    return steps.groupBy(*group).agg(
+        F.max("_all_positives").alias("positives"), F.coalesce(area, F.lit(0.0)).alias("average_precision")
     )
 
 

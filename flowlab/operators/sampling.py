@@ -20,8 +20,8 @@ from flowlab.operators.small import pin
 from flowlab.operators.support import class_table
 from flowlab.schema import LABEL, labelled, quoted, ticked
 
-# Leading digits counted by successive rounds. Eight digits split any table into buckets of a few distinct keys, so whole
-# keys come next. The second half is the row content, used only where different rows share one key.
+# Leading digits counted by successive rounds. Eight digits split any table into buckets of a few distinct keys, so
+# whole keys come next. The second half is the row content, used only where different rows share one key.
 LEVELS = (4, 8, 32, 36, 40, 64)
 KEY_DIGITS, CONTENT_DIGITS = 32, 64
 EDGE_ROWS = 1_000_000
@@ -150,7 +150,7 @@ def key_cuts(
     """Locate exact ranks in the order of ``_key``; ``ranks`` derives them from the row count, returned as well.
 
     The first round counts rows per leading digits, which also gives the row count. Each further round counts inside the
-    buckets that hold a wanted rank and returns one row per rank; two rounds are the rule, three the most for unique keys.
+    buckets that hold a wanted rank and returns one row per rank: two rounds as a rule, three at most for unique keys.
     """
     buckets, through = _first_level(keyed)
     total = int(through[-1]) if len(through) else 0

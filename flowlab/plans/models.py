@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from flowlab.functions.decisions import hierarchical_decision
 from flowlab.functions.ranking import argmax_class, ranked_indices
-from flowlab.schema import quoted, require_columns
+from flowlab.schema import quoted, require_columns, ticked
 
 # --- Fixed values: the model choices offered for scoring ---
 MODEL_FOLDERS = {
@@ -51,14 +51,22 @@ class FlatModel:
         casts = {c: quoted(c).cast("double") for c in self.features if types[c] != "double"}
         return df.withColumns(casts) if casts else df
 
-    def score(self, df: DataFrame, out: str = "probs", when: Column | None = None) -> DataFrame:
+    def assemble(self, df: DataFrame) -> DataFrame:
+        """Add the feature vector, the first stage of the pipeline."""
+        return self.pipeline.stages[0].transform(self.vectors(df))
+
+    def score(
+        self, df: DataFrame, out: str = "probs", when: Column | None = None, assembled: bool = False
+    ) -> DataFrame:
         """Add ``out: array<double>`` with one probability per class, in the order of ``classes``.
 
-        With ``when``, rows for which it is false get null and are not scored.
+        With ``when``, rows for which it is false get null and are not scored. ``assembled`` rows hold the feature
+        vector already.
         """
-        kept = [quoted(c) for c in df.columns]
-        assembled = self.vectors(df)
-        scored = self.pipeline.transform(assembled)
+        kept = [ticked(c) for c in df.columns]
+        scored = df if assembled else self.assemble(df)
+        for stage in self.pipeline.stages[1:]:
+            scored = stage.transform(scored)
 
         def guarded(value: Column) -> Column:
             return value if when is None else F.when(when, value)
@@ -111,8 +119,8 @@ class HierarchicalModel:
         The beam of ``top_k`` families is known before the subtype models run, and a subtype model is evaluated only
         on rows that hold its family in the beam.
         """
-        kept = [quoted(c) for c in df.columns]
-        scored = self.family.score(df, "_family_probs")
+        kept = [ticked(c) for c in df.columns]
+        scored = self.family.score(self.family.assemble(df), "_family_probs", assembled=True)
         scored = scored.withColumn(
             "_families", ranked_indices(F.col("_family_probs"), len(self.family.classes), self.top_k)["i"]
         )
@@ -122,7 +130,7 @@ class HierarchicalModel:
             if name not in self.family.classes:
                 continue
             position = self.family.classes.index(name)
-            scored = model.score(scored, column, when=F.array_contains("_families", F.lit(position)))
+            scored = model.score(scored, column, when=F.array_contains("_families", F.lit(position)), assembled=True)
             columns[name] = (column, model.classes)
         extra = {} if benign is None else {"benign": benign}
         decided = hierarchical_decision(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -33,14 +34,13 @@ def score_to_files(
     return writer.trigger(availableNow=True).start(path)
 
 
-def running_alert_counts(stream: DataFrame, scorer: Scorer, path: str, checkpoint: str) -> StreamingQuery:
-    """Running alert distribution over everything seen, rewritten after each batch. State: one row per alert level."""
-    counts = scorer(stream).groupBy("alert_level").count().withColumnRenamed("count", "rows")
+def running_alert_counts(stream: DataFrame, scorer: Scorer, name: str, checkpoint: str) -> StreamingQuery:
+    """Running alert distribution over everything seen, as the in-memory table ``name``.
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(path)
-
-    writer = counts.writeStream.outputMode("complete").foreachBatch(replace)
+    State and table hold one row per alert level; the checkpoint lets a restarted query go on counting.
+    """
+    counts = scorer(stream).groupBy("alert_level").agg(F.count("*").alias("rows"))
+    writer = counts.writeStream.format("memory").queryName(name).outputMode("complete")
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

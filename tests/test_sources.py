@@ -132,6 +132,11 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = scorer(spark.read.schema("id int, p double").option("header", True).csv(folder))
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(map(tuple, batch.collect()))
 
+    stream = streams.stream_csv(spark, folder, "id int, p double", files_per_trigger=1)
+    streams.wait(streams.running_alert_counts(stream, scorer, "running_counts", fresh_path(spark, "state")), 120)
+    expected = sorted(map(tuple, batch.groupBy("alert_level").count().collect()))
+    assert sorted(map(tuple, spark.table("running_counts").collect())) == expected
+
     # a restart with the same checkpoint reads only the new file
     write(folder, "9.csv", "id,p\n99,0.95\n")
     stream = streams.stream_csv(spark, folder, "id int, p double")
