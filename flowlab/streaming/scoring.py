@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from flowlab.sources.csv import CSV_OPTIONS
 
+STATE_PARTITIONS = 8
+
 Scorer = Callable[[DataFrame], DataFrame]
 
 
@@ -37,11 +39,18 @@ def score_to_files(
 def running_alert_counts(stream: DataFrame, scorer: Scorer, name: str, checkpoint: str) -> StreamingQuery:
     """Running alert distribution over everything seen, as the in-memory table ``name``.
 
-    State and table hold one row per alert level; the checkpoint lets a restarted query go on counting.
+    State and table hold one row per alert level, so a few state partitions serve any input; a query keeps the number it
+    starts with. The checkpoint lets a restarted query go on counting.
     """
     counts = scorer(stream).groupBy("alert_level").agg(F.count("*").alias("rows"))
     writer = counts.writeStream.format("memory").queryName(name).outputMode("complete")
-    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    conf = stream.sparkSession.conf
+    before = conf.get("spark.sql.shuffle.partitions")
+    conf.set("spark.sql.shuffle.partitions", str(min(int(before), STATE_PARTITIONS)))
+    try:
+        return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set("spark.sql.shuffle.partitions", before)
 
 
 def wait(query: StreamingQuery, timeout: float | None = None) -> None:
