@@ -13,8 +13,6 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # The JVM leaves methods above 8,000 bytes uncompiled; smaller per-operator code is faster than one such method.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
