@@ -119,7 +119,8 @@ def assign_shards(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sha
     placed = ranged.withColumn("own", own).withColumn("line", F.row_number().over(order) - 1)
     placed = placed.withColumns({"head": F.min("own").over(group), "group_bytes": F.sum("size").over(group)})
     per = total / shards if total else 1.0
-    at = F.col("b0") + F.when(F.col("group_bytes") <= per * WHOLE, F.col("head")).otherwise(F.col("own"))
+    # a record or a small group goes where its middle falls
+    at = F.col("b0") + F.when(F.col("group_bytes") <= per * WHOLE, F.col("head") + F.col("group_bytes") / 2).otherwise(F.col("own") + F.col("size") / 2)
     shard = F.least(F.floor(at / per), F.lit(shards - 1)).cast("int")
     out = placed.join(starts, "range").select("id", "th", "size", "text_crc32", shard.alias("shard"), (F.col("n0") + F.col("line")).alias("line"))
     out = materialize(out, "shards")
