@@ -17,21 +17,22 @@ from flowlab.llm.common import keyed_texts
 from flowlab.session import materialize
 
 SLOTS = 64
-#: Quantiles to which gamma variates are rounded.
-_STEPS = 4096
+#: Slots worked out side by side.
+BLOCK = 4
 _UNIT = 1 << 26
 
 
-def _gamma_quantiles() -> list[float]:
-    """Midpoint quantiles of the gamma distribution of shape 2: solves 1 - exp(-x)(1 + x) = p by bisection."""
-    out = []
-    for k in range(_STEPS):
-        p, lo, hi = (k + 0.5) / _STEPS, 0.0, 40.0
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if 1 - math.exp(-mid) * (1 + mid) < p else (lo, mid)
-        out.append((lo + hi) / 2)
-    return out
+#: Steps to which the gamma variates are rounded.
+_STEPS = 4096
+
+
+def gamma_quantile(p: float) -> float:
+    """Quantile of the gamma distribution of shape 2: solves 1 - exp(-x)(1 + x) = p by bisection."""
+    lo, hi = 0.0, 60.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if -math.expm1(-mid) - mid * math.exp(-mid) < p else (lo, mid)
+    return (lo + hi) / 2
 
 
 def _constant(values: list[float]) -> Column:
@@ -39,14 +40,14 @@ def _constant(values: list[float]) -> Column:
     return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
 
 
-def _slot(k: int, r_of: Column, log_of: Column) -> Column:
-    """Least of (sampling value, code) over terms ``h`` with log weight ``lw``: value in the high bits, code in 16 low ones."""
-    u = F.xxhash64("h", F.lit(k))
-    r = F.get(r_of, u.bitwiseAND(_STEPS - 1).cast("int"))
-    log_c = F.get(log_of, F.shiftright(u, 12).bitwiseAND(_STEPS - 1).cast("int"))
-    beta = F.shiftright(u, 24).bitwiseAND((1 << 20) - 1) / float(1 << 20)
-    t = F.floor(F.col("lw") / r + beta)
-    value = ((log_c - r * (t + 1 - beta) + 64.0) * _UNIT).cast("long")
+def _bits(u: str, shift: int, bits: int) -> Column:
+    return F.shiftrightunsigned(u, shift).bitwiseAND((1 << bits) - 1)
+
+
+def _least(k: int) -> Column:
+    """Least sampling value of a slot with the code of its term and level: value in the high bits, code in 16 low ones."""
+    r, t = F.col(f"r{k}"), F.col(f"t{k}")
+    value = ((F.col(f"c{k}") - r * (t + 1 - F.col(f"beta{k}")) + 64.0) * _UNIT).cast("long")
     code = F.pmod(F.shiftright("h", 9) + t * 40503, F.lit(65535)) + 1
     return F.min(F.shiftleft(value, 16).bitwiseOR(code)).alias(f"s{k}")
 
@@ -59,12 +60,25 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     words = texts.select(*keys, F.explode_outer(F.split(F.lower(text), r"[^\p{L}\p{N}]+")).alias("word"))
     terms = words.select(*keys, F.xxhash64(F.nullif(F.col("word"), F.lit(""))).alias("h"), (F.length("word") > 0).alias("real"))
     weighted = terms.groupBy(*keys, "h", "real").agg(F.log(F.count("*")).alias("lw"))
-    r_of = _constant(_gamma_quantiles())
-    log_of = _constant([math.log(x) for x in _gamma_quantiles()])
-    own = weighted.withColumn("lw", F.when(F.col("real"), F.col("lw")))
-    slots = own.groupBy(*keys).agg(*[_slot(k, r_of, log_of) for k in range(SLOTS)])
-    digits = [F.lpad(F.lower(F.hex(F.coalesce(F.col(f"s{k}"), F.lit(0)).bitwiseAND(65535))), 4, "0") for k in range(SLOTS)]
-    return slots.select(*keys, F.concat(*digits).alias("fingerprint"))
+    # a row per term and block of slots keeps the generated code small; each step below is computed once per row
+    row = [*keys, "h", F.when(F.col("real"), F.col("lw")).alias("lw")]
+    rows = weighted.select(*row, F.explode(F.sequence(F.lit(0), F.lit(SLOTS // BLOCK - 1))).alias("b"))
+    slots = range(BLOCK)
+    rows = rows.select(*keys, "b", "h", "lw", *[F.xxhash64("h", F.col("b") * BLOCK + k).alias(f"u{k}") for k in slots])
+    # the variates are quantiles; those of the sampling value are finest where it is least, by the root of their rank
+    grid_of = _constant([gamma_quantile((k + 0.5) / _STEPS) for k in range(_STEPS)])
+    cost_of = _constant([math.log(gamma_quantile(((k + 0.5) / _STEPS) ** 2)) for k in range(_STEPS)])
+    grid = [F.get(grid_of, _bits(f"u{k}", 0, 12).cast("int")).alias(f"r{k}") for k in slots]
+    cost = [F.get(cost_of, (F.sqrt(_bits(f"u{k}", 12, 24) / float(1 << 24)) * _STEPS).cast("int")).alias(f"c{k}") for k in slots]
+    beta = [(_bits(f"u{k}", 36, 20) / float(1 << 20)).alias(f"beta{k}") for k in slots]
+    rows = rows.select(*keys, "b", "h", "lw", *grid, *cost, *beta)
+    level = [F.floor(F.col("lw") / F.col(f"r{k}") + F.col(f"beta{k}")).alias(f"t{k}") for k in slots]
+    rows = rows.select(*keys, "b", "h", *[x for k in slots for x in (f"r{k}", f"c{k}", f"beta{k}")], *level)
+    picked = rows.groupBy(*keys, "b").agg(*[_least(k) for k in slots])
+    digits = [F.lpad(F.lower(F.hex(F.coalesce(F.col(f"s{k}"), F.lit(0)).bitwiseAND(65535))), 4, "0") for k in slots]
+    blocks = picked.select(*keys, "b", F.concat(*digits).alias("d"))
+    every = blocks.groupBy(*keys).agg(*[F.max(F.when(F.col("b") == b, F.col("d"))).alias(f"d{b}") for b in range(SLOTS // BLOCK)])
+    return every.select(*keys, F.concat(*[f"d{b}" for b in range(SLOTS // BLOCK)]).alias("fingerprint"))
 
 
 def likeness(a: str, b: str) -> Column:
