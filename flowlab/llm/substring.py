@@ -17,24 +17,27 @@ Hashes only choose where to look: words are compared as they are in step 3.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlab.llm.common import NOT_SPACE, free_name, hashed_words, join_keys, mix
 from flowlab.llm.fmindex import FmIndex
-from flowlab.session import materialize
+from flowlab.session import fresh_path, materialize
 
 WINDOW = 13
 GRAM = 5
 #: Anchors handled by one task of step 1, and segments by one shard of step 3, about.
-ANCHORS_A_TASK = 2_000_000
-SEGMENTS_A_SHARD = 60_000
+ANCHORS_A_TASK = 1_000_000
+SEGMENTS_A_SHARD = 40_000
+#: Least number of tasks of step 1.
+LEAST_TASKS = 64
 #: Different segments of one anchor from which on windows are dealt out instead.
 CROWDED = 5_000
 #: Stands for a null id: it comes after every other.
@@ -69,13 +72,19 @@ def segments(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, n)), grams[least[first]].astype(np.int64)
 
 
+def short(anchors: np.ndarray) -> np.ndarray:
+    """The upper half of anchors. With the task number that is enough to find shared ones: an anchor taken for shared by
+    chance only has its segments looked at in vain."""
+    return (anchors >> 32).astype(np.int32)
+
+
 def _packed(arrays: list[np.ndarray]) -> pa.Array:
     return pa.array([a.tobytes() for a in arrays], pa.binary())
 
 
 def _document_anchors(texts: DataFrame, tasks: int) -> DataFrame:
-    """(key, anchors, owners, ids, ths): packed arrays. A key below ``tasks`` holds anchors to compare (owner -1: already
-    seen in two documents), a key above it holds settled (anchor, document) pairs that only pass through."""
+    """(key, anchors, owners, ids, ths): packed arrays. A key below ``tasks`` holds anchors to compare (owner 0: already
+    seen in two documents, else a place in ids from 1), a key above it holds settled (anchor, document) pairs that only pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,7 +114,7 @@ def _document_anchors(texts: DataFrame, tasks: int) -> DataFrame:
                 used, position = np.unique(o, return_inverse=True)
                 used = used.astype(np.int64)
                 keys.append(k)
-                for col, value in zip(cols, (a, np.where(used[position] < 0, -1, position).astype(np.int32), np.where(used < 0, 0, ids[used]), np.where(used < 0, 0, ths[used]))):
+                for col, value in zip(cols, (short(a), np.where(used[position] < 0, 0, position + 1).astype(np.uint16 if len(used) < 65535 else np.uint32), np.where(used < 0, 0, ids[used]), np.where(used < 0, 0, ths[used]))):
                     col.append(value)
 
             by_key = np.argsort(key, kind="stable")
@@ -131,9 +140,10 @@ def _shared_anchors(packed: DataFrame, tasks: int) -> DataFrame:
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         anchors, owners, ids, ths, base = [], [], [], [], 0
         for a, o, i, t in zip(*(table.column(c) for c in ("anchors", "owners", "ids", "ths"))):
-            anchors.append(np.frombuffer(a.as_py(), np.int64))
-            o = np.frombuffer(o.as_py(), np.int32).astype(np.int64)
-            owners.append(np.where(o < 0, -1, o + base))
+            anchors.append(np.frombuffer(a.as_py(), np.int32))
+            o = o.as_py()
+            o = np.frombuffer(o, np.uint16 if len(o) == 2 * len(anchors[-1]) else np.uint32).astype(np.int64)
+            owners.append(np.where(o == 0, -1, o - 1 + base))
             ids.append(np.frombuffer(i.as_py(), np.int64))
             ths.append(np.frombuffer(t.as_py(), np.int64))
             base += len(ids[-1])
@@ -153,14 +163,19 @@ def _shared_anchors(packed: DataFrame, tasks: int) -> DataFrame:
         at = owners[start]
         return pa.table({"id": pa.array(ids[at]), "th": pa.array(ths[at]), "anchors": lists})
 
-    return packed.groupBy("key").applyInArrow(run, "id long, th long, anchors array<long>")
+    return packed.groupBy("key").applyInArrow(run, "id long, th long, anchors array<int>")
 
 
 def _marked(texts: DataFrame, shared: DataFrame) -> DataFrame:
-    """(id, th, text, anchors) of the documents that have shared anchors."""
+    """(id, th, text, anchors) of the documents that have shared anchors, bucketed by (id, th): texts are shuffled once,
+    and what is found about a document later joins its text where it lies."""
+    spark = texts.sparkSession
     lists = shared.groupBy("id", "th").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))  # a document's own only
     keys = shared.select("id", "th").distinct()
-    return join_keys(texts, keys).join(lists, ["id", "th"])
+    name, parts = f"marked_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    joined = join_keys(texts, keys).repartition(parts, "id", "th").join(lists, ["id", "th"]).select("id", "th", "text", "anchors")
+    joined.write.bucketBy(parts, "id", "th").sortBy("id", "th").option("path", fresh_path(spark, "marked")).format("parquet").saveAsTable(name)
+    return spark.table(name)
 
 
 def _row_segments(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, bytes]]:
@@ -168,13 +183,16 @@ def _row_segments(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, b
     lists = batch.column(3)
     for row, words, starts, ends, data in hashed_words(batch.column(2), NOT_SPACE):
         first, size, anchor = segments(words)
-        mine = np.isin(anchor, lists[row].values.to_numpy(zero_copy_only=False))
-        tokens = None
-        for k in np.flatnonzero(mine).tolist():
-            if tokens is None:
-                tokens = data.tobytes().split()
-            f, s = int(first[k]), int(size[k])
-            yield row, f, s, int(anchor[k]), b" ".join(tokens[f : f + s + WINDOW - 1])
+        mine = np.isin(short(anchor), lists[row].values.to_numpy(zero_copy_only=False))
+        if not mine.any():
+            continue
+        joined = b" ".join(data.tobytes().split())
+        ends = np.cumsum(ends - starts + 1) - 1
+        begins = np.append(0, ends[:-1] + 1)
+        first, size, anchor = first[mine], size[mine], anchor[mine]
+        spans = zip(first.tolist(), size.tolist(), anchor.tolist(), begins[first].tolist(), ends[first + size + WINDOW - 2].tolist())
+        for f, s, a, lo, hi in spans:
+            yield row, f, s, a, joined[lo:hi]
 
 
 def _distinct_segments(marked: DataFrame) -> DataFrame:
@@ -288,9 +306,10 @@ def _uses(marked: DataFrame) -> DataFrame:
 
 
 def repeated_windows(texts: DataFrame) -> DataFrame:
-    """(id, th, windows): ascending first words of the windows that also start in a document with a smaller id."""
+    """(id, th, text, windows): ascending first words of the windows that also start in a document with a smaller id,
+    for the documents that have any."""
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tasks = max(1, -(-size // (32 * ANCHORS_A_TASK)))  # about one anchor in 32 bytes
+    tasks = max(LEAST_TASKS, -(-size // (32 * ANCHORS_A_TASK)))  # about one anchor in 32 bytes
     shared = materialize(_shared_anchors(_document_anchors(texts, tasks), tasks), "anchors")
     marked = _marked(texts, shared)
     distinct = materialize(_distinct_segments(marked), "segments")
@@ -298,7 +317,9 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     hit = _uses(marked).join(firsts, "digest").filter(F.array_min("firsts") < F.col("id"))
     late = F.filter(F.transform("firsts", lambda f, k: F.when(f < F.col("id"), F.col("at") + k)), lambda w: w.isNotNull())
     rows = hit.select("id", "th", late.alias("w"))
-    return rows.groupBy("id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("w")))).alias("windows"))
+    lists = rows.groupBy("id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("w")))).alias("windows"))
+    once = Window.partitionBy("id", "th").orderBy("id", "th")  # repeated rows have one result
+    return marked.select("id", "th", "text").join(lists, ["id", "th"]).withColumn("line", F.row_number().over(once)).filter("line = 1").drop("line")
 
 
 def _kept(tokens: list[bytes], windows: np.ndarray) -> np.ndarray:
@@ -315,7 +336,7 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     others; rows that repeat an id are one document, so neither makes the other lose words.
     """
     texts = _texts(df, doc_id, text)
-    windows = materialize(repeated_windows(texts), "windows")
+    wide = repeated_windows(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,7 +348,6 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                 kept.append(b" ".join([t for t, s in zip(tokens, stay.tolist()) if s]).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lost, pa.int64()), pa.array(kept, pa.string())], names=["id", "th", "n_removed", "kept_text"])
 
-    wide = join_keys(texts, windows.select("id", "th")).join(windows, ["id", "th"]).dropDuplicates(["id", "th"])
     return wide.select("id", "th", "text", "windows").mapInArrow(run, "id long, th long, n_removed long, kept_text string")
 
 
