@@ -1,6 +1,6 @@
 """Registered queries over the given tables, each with its SQL equivalent where one exists."""
 
-from checks import core, decisions, evaluation, files, learning, tuning
+from checks import closed_forms, core, decisions, evaluation, files, learning, tuning
 
 REGISTRY = {
     **core.QUERIES,
@@ -9,4 +9,5 @@ REGISTRY = {
     **tuning.QUERIES,
     **files.QUERIES,
     **learning.QUERIES,
+    **closed_forms.QUERIES,
 }

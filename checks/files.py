@@ -57,6 +57,18 @@ def csv_flow_archive(spark, sf):
     return rounded(summed, "total", places=4)
 
 
+def csv_mixed_layouts(spark, sf):
+    """Held-out files in two column orders, read by name."""
+    folder = fresh_path(spark, "mixed")
+    rows = flows(spark, sf)
+    names = [f"`{c}`" for c in FEATURES]
+    rows.where("flow_id % 2 = 0").select(*names, "label").write.option("header", True).csv(f"{folder}/a")
+    rows.where("flow_id % 2 = 1").select("label", *reversed(names)).write.option("header", True).csv(f"{folder}/b")
+    table = read_labelled_test(spark, f"{folder}/*/*.csv")
+    sums = [F.sum(n).alias(f"f{i}") for i, n in enumerate(names)]
+    return rounded(table.groupBy("label").agg(F.count("*").alias("rows"), *sums), *[f"f{i}" for i in range(len(names))], places=4)
+
+
 def _event_scorer(spark, sf):
     """Scores event rows against the frequency table of the batch table; row-local."""
     table = frequency_table(event_rows(spark, sf), "bucket", "event_type", EVENT_CLASSES)
@@ -124,6 +136,13 @@ def importance_table(spark, sf):
 _FLOW_SUM = " + ".join(f"CAST(embedding[{i + 1}] AS DOUBLE)" for i in range(len(FEATURES)))
 
 
+def _sql_mixed() -> str:
+    from checks.learning import SQL_LABEL
+
+    sums = ", ".join(f"round(sum(CAST(embedding[{i + 1}] AS DOUBLE)), 4) AS f{i}" for i in range(len(FEATURES)))
+    return f"SELECT {SQL_LABEL} AS label, count(*) AS rows, {sums} FROM embeddings GROUP BY 1"
+
+
 def _sql_archive() -> str:
     from checks.learning import SQL_LABEL
 
@@ -143,6 +162,7 @@ QUERIES = {
         "SELECT event_id, CASE WHEN event_type <> 'error' THEN value END AS value, event_type FROM events",
     ),
     "csv_flow_archive": (csv_flow_archive, _sql_archive()),
+    "csv_mixed_layouts": (csv_mixed_layouts, _sql_mixed()),
     "results_csv_sink": (
         results_csv_sink,
         f"""{SQL_PRED} SELECT event_id, predicted_class, alert_level,

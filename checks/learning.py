@@ -167,7 +167,7 @@ def training_data_audit(spark, sf):
     """Overlap before, rows removed and overlap after, for the archive against the test rows plus some of its own."""
     archive, test = _held_out(spark, sf)
     leaked = test.unionByName(archive.where("label = 'XSS'"))
-    data = flow_jobs.prepare_training_data(archive, leaked, key_columns=KEY, max_per_label=100_000)
+    data = flow_jobs.prepare_training_data(archive, leaked, key_columns=KEY, max_per_label=None)
     return data.audit.select("unique_a", "overlap", "rows_before", "rows_removed", "rows_kept", "overlap_after")
 
 

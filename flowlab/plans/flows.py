@@ -17,7 +17,7 @@ from flowlab.plans.evaluation import evaluate_scored
 from flowlab.plans.experiment import Experiment, tuning_experiment
 from flowlab.plans.models import FlatModel
 from flowlab.plans.training import Fit, shuffled_label_check
-from flowlab.schema import FEATURES, LABEL, conform, quoted
+from flowlab.schema import FEATURES, LABEL, conform, labelled, quoted
 from flowlab.session import materialize
 
 
@@ -37,7 +37,7 @@ def prepare_training_data(
     key_columns: Sequence[str],
     features: Sequence[str] = FEATURES,
     label: str = LABEL,
-    max_per_label: int = 20_000,
+    max_per_label: int | None = 20_000,
     val_frac: float = 0.15,
     seed: int = 42,
     deoverlap: str | None = "after",
@@ -45,10 +45,13 @@ def prepare_training_data(
     """Balanced sample, de-overlap against the test rows, split.
 
     ``deoverlap="after"`` cleans the sample, ``"before"`` cleans the archive so that caps are filled by clean rows, None
-    leaves overlap in place. ``audit`` is one row: distinct rows and overlap before, rows removed, overlap after.
+    leaves overlap in place. ``max_per_label`` None takes every labelled row. ``audit`` is one row: distinct rows and overlap before, rows removed, overlap after.
     """
     pool = exclude_overlap(archive, test, features) if deoverlap == "before" else archive
-    sample = balanced_sample(pool, label=label, max_per_label=max_per_label, seed=seed, key_columns=key_columns)
+    if max_per_label is None:
+        sample = labelled(pool, label)
+    else:
+        sample = balanced_sample(pool, label=label, max_per_label=max_per_label, seed=seed, key_columns=key_columns)
     sample = materialize(sample, "sample")  # capped rows per label: small next to the archive
     before = overlap_report(sample, test, features)
     removed = overlap_audit(sample, test, features)

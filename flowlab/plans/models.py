@@ -8,12 +8,14 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlab.functions.decisions import hierarchical_decision
 from flowlab.functions.ranking import argmax_class, ranked_indices
+from flowlab.plans.missing import FILLED, MISSING
 from flowlab.schema import quoted, require_columns, ticked
 
 # --- Fixed values: the model choices offered for scoring ---
@@ -52,8 +54,21 @@ class FlatModel:
         return df.withColumns(casts) if casts else df
 
     def assemble(self, df: DataFrame) -> DataFrame:
-        """Add the feature vector, the first stage of the pipeline."""
-        return self.pipeline.stages[0].transform(self.vectors(df))
+        """Add the feature vector, in place of another model's: the first stages of the pipeline."""
+        out = self.vectors(df.drop("_features"))
+        for stage in self.pipeline.stages[: self._assembling]:
+            out = stage.transform(out)
+        return out.drop(*[c for c in out.columns if c.startswith((FILLED, MISSING)) and c not in df.columns])
+
+    @property
+    def _assembling(self) -> int:
+        """How many stages make the feature vector."""
+        return 1 + next(i for i, s in enumerate(self.pipeline.stages) if isinstance(s, VectorAssembler))
+
+    @property
+    def filling(self) -> str:
+        """How missing values are filled; models that fill alike share a feature vector."""
+        return "".join(s.getStatement() for s in self.pipeline.stages if isinstance(s, SQLTransformer))
 
     def score(
         self, df: DataFrame, out: str = "probs", when: Column | None = None, assembled: bool = False
@@ -65,7 +80,7 @@ class FlatModel:
         """
         kept = [ticked(c) for c in df.columns]
         scored = df if assembled else self.assemble(df)
-        for stage in self.pipeline.stages[1:]:
+        for stage in self.pipeline.stages[self._assembling :]:
             scored = stage.transform(scored)
 
         def guarded(value: Column) -> Column:
@@ -86,12 +101,14 @@ class FlatModel:
         return self.score(df, probs).withColumn(out, argmax_class(F.col(probs), self.classes))
 
     def feature_importance(self, spark: SparkSession) -> DataFrame:
-        """(feature, importance); a boosted model averages its binary models."""
-        if self.per_class:
-            vectors = [m.featureImportances.toArray() for m in self.per_class]
-            values = [sum(v[i] for v in vectors) / len(vectors) for i in range(len(self.features))]
-        else:
-            values = self.pipeline.stages[-1].featureImportances.toArray().tolist()
+        """(feature, importance); a boosted model averages its binary models. A feature's indicator counts for it."""
+        trained = self.per_class or [self.pipeline.stages[-1]]
+        vectors = [m.featureImportances.toArray() for m in trained]
+        means = [sum(float(v[i]) for v in vectors) / len(vectors) for i in range(len(vectors[0]))]
+        values = means[: len(self.features)]
+        indicators = self.pipeline.stages[self._assembling - 1].getInputCols()[len(self.features) :]
+        for name, value in zip(indicators, means[len(self.features) :]):
+            values[int(name.removeprefix(MISSING))] += value
         rows = [(name, float(value)) for name, value in zip(self.features, values)]
         return spark.createDataFrame(rows, "feature string, importance double")
 
@@ -125,11 +142,14 @@ class HierarchicalModel:
             "_families", ranked_indices(F.col("_family_probs"), len(self.family.classes), self.top_k)["i"]
         )
         columns: dict[str, tuple[str, Sequence[str]]] = {}
+        filling = self.family.filling
         for i, (name, model) in enumerate(self.subtypes.items()):
             column = f"_subtype_{i}"
             if name not in self.family.classes:
                 continue
             position = self.family.classes.index(name)
+            if model.filling != filling:
+                scored, filling = model.assemble(scored), model.filling
             scored = model.score(scored, column, when=F.array_contains("_families", F.lit(position)), assembled=True)
             columns[name] = (column, model.classes)
         extra = {} if benign is None else {"benign": benign}

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +16,7 @@ from flowlab.operators.metrics import confusion, per_class, summary_metrics
 from flowlab.operators.reports import tuning_table
 from flowlab.operators.sampling import permute_labels
 from flowlab.operators.support import balanced, class_table, mapped
+from flowlab.plans.missing import assembling_stages
 from flowlab.plans.models import FlatModel
 from flowlab.schema import FEATURES, LABEL, conform, labelled, quoted
 from flowlab.session import materialize
@@ -61,11 +62,6 @@ def _prepared(
     return rows.withColumn("_w", mapped(quoted(label), dict(weights)) if weights else F.lit(1.0))
 
 
-def _assembler(features: Sequence[str]) -> VectorAssembler:
-    # Nulls become NaN and rows are kept: dropping them would change every denominator.
-    return VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
-
-
 def fit_logreg(
     train: DataFrame,
     *,
@@ -88,7 +84,7 @@ def fit_logreg(
         regParam=1.0 / (inverse_penalty * rows),
         predictionCol="",
     )
-    fitted = Pipeline(stages=[_assembler(features), scaler, model]).fit(data)
+    fitted = Pipeline(stages=[*assembling_stages(data, features), scaler, model]).fit(data)
     return FlatModel(classes, list(features), fitted)
 
 
@@ -101,6 +97,7 @@ def fit_forest(
     max_depth: int = 14,
     min_rows_per_leaf: int = 10,
     weights: Mapping[str, float] | None = None,
+    bootstrap: bool = True,
     seed: int = 42,
 ) -> FlatModel:
     classes = [c for c, _ in class_table(train, label)]
@@ -112,10 +109,11 @@ def fit_forest(
         numTrees=trees,
         maxDepth=max_depth,
         minInstancesPerNode=min_rows_per_leaf,
+        bootstrap=bootstrap,
         seed=seed,
         predictionCol="",
     )
-    fitted = Pipeline(stages=[_assembler(features), model]).fit(data)
+    fitted = Pipeline(stages=[*assembling_stages(data, features), model]).fit(data)
     return FlatModel(classes, list(features), fitted)
 
 
@@ -145,11 +143,11 @@ def fit_boosted(
         settings["maxIter"] = max_iter
     columns = settings.pop("columns", None)
     data = _prepared(train, features, label, classes, weights).withColumn("_val", F.lit(False))
+    pipeline = PipelineModel(stages=assembling_stages(data, features))
     if val is not None:
         held = _prepared(val, features, label, classes, weights).where(F.col("_y").isNotNull())
         data = data.unionByName(held.withColumn("_val", F.lit(True)))
-    pipeline = PipelineModel(stages=[_assembler(features)])
-    rows = pipeline.transform(data).select("_features", "_y", "_w", "_val").cache()
+    rows = materialize(pipeline.transform(data).select("_features", "_y", "_w", "_val"), "boosting")
 
     def fit_class(index: int):
         booster = GBTClassifier(
@@ -165,11 +163,8 @@ def fit_boosted(
             booster = booster.setParams(validationIndicatorCol="_val", validationTol=validation_tol)
         return booster.fit(rows.withColumn("_target", (F.col("_y") == index).cast("double")))
 
-    try:
-        with ThreadPoolExecutor(FIT_THREADS) as pool:
-            models = list(pool.map(fit_class, range(len(classes))))
-    finally:
-        rows.unpersist()
+    with ThreadPoolExecutor(FIT_THREADS) as pool:
+        models = list(pool.map(fit_class, range(len(classes))))
     return FlatModel(classes, list(features), pipeline, models)
 
 

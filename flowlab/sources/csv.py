@@ -81,9 +81,10 @@ def read_archive(spark: SparkSession, path: str, **options) -> DataFrame:
 def read_labelled_test(
     spark: SparkSession, path: str, *, features: Sequence[str] = FEATURES, label: str = LABEL
 ) -> DataFrame:
-    """A held-out CSV: label and features are checked, then projected in order. Null labels are kept."""
-    header = _header(spark, path)
-    table = spark.read.options(**CSV_OPTIONS).schema(_typed(header, features)).csv(path)
+    """Held-out CSV files, columns matched by name in each file. Label and features are checked, then projected in
+    order. Null labels are kept."""
+    header = {c for c in _header(spark, path)}
+    table = read_csv_by_name(spark, path, features=features, label=label if label in header else None)
     require_label(table, label)
     return conform(table, features, label=label)
 
@@ -95,4 +96,5 @@ def write_predictions(predictions: DataFrame, path: str, mode: str = "errorifexi
 
 
 def read_feature_importance(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).schema("feature string, importance double").csv(path)
+    """Importance tables (feature, importance), columns matched by name in each file."""
+    return read_csv_by_name(spark, path, features=["importance"], label=None, carry=["feature"])

@@ -142,3 +142,11 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = streams.stream_csv(spark, folder, "id int, p double")
     streams.wait(streams.score_to_files(stream, scorer, out, state), 120)
     assert spark.read.parquet(out).count() == 31
+
+
+def test_labelled_test_files_of_two_layouts(spark, tmp_path):
+    write(str(tmp_path), "1.csv", "a,b,label\n1,2,x\n")
+    write(str(tmp_path), "2.csv", "b,a,label\n3,4,\n")
+    got = read_labelled_test(spark, f"{tmp_path}/*.csv", features=["a", "b"])
+    assert got.columns == ["a", "b", "label"]
+    assert sorted(map(tuple, got.collect())) == [(1.0, 2.0, "x"), (4.0, 3.0, None)]
