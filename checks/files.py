@@ -22,7 +22,7 @@ from flowlab.functions.decisions import ThresholdConfig
 from flowlab.operators import hygiene, reports
 from flowlab.plans.scoring import decide_flat
 from flowlab.schema import FEATURES
-from flowlab.session import fresh_path
+from flowlab.session import fresh_path, materialize
 from flowlab.sources.csv import read_archive, read_csv_by_name, read_feature_importance, read_labelled_test, write_predictions
 from flowlab.streaming import scoring as streams
 
@@ -71,7 +71,7 @@ def csv_mixed_layouts(spark, sf):
 
 def _event_scorer(spark, sf):
     """Scores event rows against the frequency table of the batch table; row-local."""
-    table = frequency_table(event_rows(spark, sf), "bucket", "event_type", EVENT_CLASSES)
+    table = materialize(frequency_table(event_rows(spark, sf), "bucket", "event_type", EVENT_CLASSES), "frequencies")
 
     def scorer(rows):
         bucketed = rows.select("event_id", "event_type", event_bucket().alias("bucket"))
@@ -94,19 +94,29 @@ def results_csv_sink(spark, sf):
 def _event_files(spark, sf):
     folder = fresh_path(spark, "arriving")
     events = load(spark, sf, "events").select("event_id", "event_type", "value", "ts")
-    events.repartition(4).write.option("header", True).csv(folder)
+    events.repartition(_arrivals(spark), "event_id").write.option("header", True).csv(folder)
     return folder
 
 
+def _arrivals(spark):
+    """Files that the events arrive in: as many as a shuffle has partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _event_stream(spark, sf):
+    """The events as files that arrive in a few batches."""
+    return streams.stream_csv(spark, _event_files(spark, sf), EVENT_SCHEMA, files_per_trigger=max(_arrivals(spark) // 3, 1))
+
+
 def stream_score(spark, sf):
-    stream = streams.stream_csv(spark, _event_files(spark, sf), EVENT_SCHEMA, files_per_trigger=2)
+    stream = _event_stream(spark, sf)
     out = fresh_path(spark, "scored")
     streams.wait(streams.score_to_files(stream, _event_scorer(spark, sf), out, fresh_path(spark, "state")))
     return spark.read.parquet(out).select("event_id", "predicted_class", "confidence", "alert_level", "uncertain")
 
 
 def stream_alert_counts(spark, sf):
-    stream = streams.stream_csv(spark, _event_files(spark, sf), EVENT_SCHEMA, files_per_trigger=2)
+    stream = _event_stream(spark, sf)
     name = f"alert_counts_{uuid.uuid4().hex}"
     streams.wait(streams.running_alert_counts(stream, _event_scorer(spark, sf), name, fresh_path(spark, "state")))
     return spark.table(name)
@@ -114,7 +124,7 @@ def stream_alert_counts(spark, sf):
 
 def stream_exclude(spark, sf):
     """Arriving events, values rounded, less those whose value occurs as a line quantity."""
-    stream = streams.stream_csv(spark, _event_files(spark, sf), EVENT_SCHEMA, files_per_trigger=2)
+    stream = _event_stream(spark, sf)
     reference = load(spark, sf, "lineitem").select(F.col("l_quantity").alias("value"))
     kept = hygiene.exclude_stream_overlap(stream.withColumn("value", F.round("value", 0)), reference, ["value"])
     out = fresh_path(spark, "kept")

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from flowlab.functions.keys import numeric_struct, row_hash
 from flowlab.schema import FEATURES, quoted
+from flowlab.session import materialize
 
+#: A reference above either bound is joined by shuffle: a choice of plan, the rows are the same.
 BROADCAST_REFERENCE_ROWS = 500_000
+BROADCAST_REFERENCE_BYTES = 256 << 20
 
 
 def _content(df: DataFrame, columns: Sequence[str], numeric: bool):
@@ -28,9 +31,10 @@ def distinct_rows(df: DataFrame, columns: Sequence[str] = FEATURES, *, numeric:
 
 
 def _reference_side(reference: DataFrame, columns: Sequence[str], numeric: bool, max_rows: int) -> DataFrame:
-    """Distinct reference rows; broadcast when counted to be at most ``max_rows``, shuffled otherwise."""
-    rows = distinct_rows(reference, columns, numeric=numeric)
-    small = rows.limit(max_rows + 1).count() <= max_rows
+    """Distinct reference rows, written once; broadcast when measured to be within both bounds, shuffled otherwise."""
+    rows = materialize(distinct_rows(reference, columns, numeric=numeric), "reference")
+    measured = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json("_row"))), F.lit(0))).first()
+    small = measured[0] <= max_rows and measured[1] <= BROADCAST_REFERENCE_BYTES
     return F.broadcast(rows) if small else rows
 
 
@@ -56,7 +60,8 @@ def exclude_overlap(
 def exclude_stream_overlap(
     stream: DataFrame, reference: DataFrame, columns: Sequence[str] = FEATURES, *, numeric: bool = True
 ) -> DataFrame:
-    """The same exclusion for a streaming pool against a static reference; stateless."""
+    """The same exclusion for a streaming pool; stateless. The reference is as it stands now: micro-batches do not
+    compute it again."""
     return exclude_overlap(stream, reference, columns, numeric=numeric)
 
 
