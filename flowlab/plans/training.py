@@ -24,26 +24,26 @@ from flowlab.session import materialize
 # --- Fixed values: boosting presets. Rows are not subsampled: the original settings name a row fraction but no
 # bagging frequency, which turns bagging off. ---
 FLAT_PRESETS = {
-    "balanced_baseline": dict(maxIter=1000, stepSize=0.05, maxDepth=8, minInstancesPerNode=100, columns=0.80),
-    "stable_medium": dict(maxIter=1200, stepSize=0.03, maxDepth=6, minInstancesPerNode=140, columns=0.70),
+    "balanced_baseline": dict(maxIter=1000, stepSize=0.05, maxDepth=8, leaves=23, minInstancesPerNode=100, columns=0.80),
+    "stable_medium": dict(maxIter=1200, stepSize=0.03, maxDepth=6, leaves=15, minInstancesPerNode=140, columns=0.70),
     "stable_strong": dict(
-        maxIter=1400, stepSize=0.025, maxDepth=5, minInstancesPerNode=200, columns=0.70, minInfoGain=0.05, maxBins=127
+        maxIter=1400, stepSize=0.025, maxDepth=5, leaves=11, minInstancesPerNode=200, columns=0.70, minInfoGain=0.05, maxBins=127
     ),
     "stable_ultra": dict(
-        maxIter=1600, stepSize=0.02, maxDepth=4, minInstancesPerNode=260, columns=0.65, minInfoGain=0.10, maxBins=127
+        maxIter=1600, stepSize=0.02, maxDepth=4, leaves=9, minInstancesPerNode=260, columns=0.65, minInfoGain=0.10, maxBins=127
     ),
 }
-FLAT_DEFAULT = dict(maxIter=1000, stepSize=0.05, maxDepth=10, minInstancesPerNode=50, columns=0.80)
+FLAT_DEFAULT = dict(maxIter=1000, stepSize=0.05, maxDepth=10, leaves=31, minInstancesPerNode=50, columns=0.80)
 FAMILY_PRESETS = {
-    "family_balanced_baseline": dict(maxIter=1200, stepSize=0.03, maxDepth=6, minInstancesPerNode=140, columns=0.70),
+    "family_balanced_baseline": dict(maxIter=1200, stepSize=0.03, maxDepth=6, leaves=15, minInstancesPerNode=140, columns=0.70),
     "family_stable_medium": dict(
-        maxIter=1400, stepSize=0.025, maxDepth=5, minInstancesPerNode=180, columns=0.65, minInfoGain=0.05, maxBins=127
+        maxIter=1400, stepSize=0.025, maxDepth=5, leaves=11, minInstancesPerNode=180, columns=0.65, minInfoGain=0.05, maxBins=127
     ),
     "family_stable_strong": dict(
-        maxIter=1600, stepSize=0.02, maxDepth=4, minInstancesPerNode=240, columns=0.60, minInfoGain=0.10, maxBins=127
+        maxIter=1600, stepSize=0.02, maxDepth=4, leaves=9, minInstancesPerNode=240, columns=0.60, minInfoGain=0.10, maxBins=127
     ),
 }
-SUBTYPE_PRESET = dict(maxIter=1200, stepSize=0.03, maxDepth=6, minInstancesPerNode=120, columns=0.70)
+SUBTYPE_PRESET = dict(maxIter=1200, stepSize=0.03, maxDepth=6, leaves=15, minInstancesPerNode=120, columns=0.70)
 # --- End of fixed values ---
 
 DEFAULT_BINS = 255
@@ -132,7 +132,8 @@ def fit_boosted(
     """Boosted trees, one binary model per class, stopped early on ``val`` when it is given.
 
     Without a preset the default settings apply, with balanced weights. Spark stops on the validation gain falling under
-    ``validation_tol``. The class models are independent jobs, a few at a time.
+    ``validation_tol``. Spark has no leaf limit: a preset's ``leaves`` caps the depth at their binary logarithm, rounded
+    up. The class models are independent jobs, a few at a time.
     """
     table = class_table(train, label)
     classes = [c for c, _ in table]
@@ -141,7 +142,9 @@ def fit_boosted(
     settings = dict(preset)
     if max_iter is not None:
         settings["maxIter"] = max_iter
-    columns = settings.pop("columns", None)
+    columns, leaves = settings.pop("columns", None), settings.pop("leaves", None)
+    if leaves is not None:
+        settings["maxDepth"] = min(settings["maxDepth"], (leaves - 1).bit_length())
     data = _prepared(train, features, label, classes, weights).withColumn("_val", F.lit(False))
     pipeline = PipelineModel(stages=assembling_stages(data, features))
     if val is not None:
