@@ -210,27 +210,84 @@ def test_urls(spark):
     assert {r.verdict for r in urls.judge_urls(p.limit(0), labels.limit(0)).collect()} == set()
 
 
-def test_chat_blocks_equal_whole():
-    rng = np.random.default_rng(0)
+def chat_model(seed):
+    rng = np.random.default_rng(seed)
     n = len(chat.STATES)
-    model = chat.ChatModel(rng.integers(-900, 0, n), rng.integers(-900, 0, (n, n)), tuple(rng.integers(-900, 0, (n, s)) for s in chat.FEATURE_SIZES))
-    f = np.stack([rng.integers(0, s, 90) for s in chat.FEATURE_SIZES], 1)
-    scores = chat.line_scores(model, f)
-    total = chat.decode_first(model, scores)
-    parts = [scores[:30], scores[30:60], scores[60:]]
-    before, last = chat._chain(model, np.array([chat.block_table(model, s) for s in parts]), chat.decode_first(model, parts[0]))
-    path = np.concatenate([chat.decode_block(model, s, int(b), int(e)) for s, b, e in zip(parts, before, last)])
-    value = model.start[path[0]] + model.step[path[:-1], path[1:]].sum() + scores[np.arange(90), path].sum()
-    assert value == total.max()
+    return chat.ChatModel(rng.integers(-900, 0, n), rng.integers(-900, 0, (n, n)), tuple(rng.integers(-900, 0, (n, s)) for s in chat.FEATURE_SIZES))
+
+
+def best_score(model, scores):
+    """Score of the best path over all lines, state by state."""
+    best = {s: model.start[s] + scores[0][s] for s in range(len(model.start))}
+    for line in scores[1:]:
+        best = {s: max(best[r] + model.step[r][s] for r in best) + line[s] for s in best}
+    return max(best.values())
+
+
+def path_score(model, scores, path):
+    return model.start[path[0]] + model.step[path[:-1], path[1:]].sum() + scores[np.arange(len(path)), path].sum()
+
+
+def test_chat_blocks_equal_whole():
+    model, rng = chat_model(0), np.random.default_rng(1)
+    scores = chat.line_scores(model, rng.integers(0, np.prod(chat.FEATURE_SIZES), 90))
+    offsets = np.array([0, 30, 31, 75, 90])
+    tables, first = chat.block_tables(model, scores, offsets)
+    before, last, _ = chat.chain(tables, first[0])
+    path = chat.decode_rows(model, scores, offsets, before, last)
+    assert path_score(model, scores, path) == best_score(model, scores)
+
+
+def test_chat_rows_side_by_side():
+    model, rng = chat_model(2), np.random.default_rng(3)
+    sizes = rng.integers(1, 20, 50)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    scores = chat.line_scores(model, rng.integers(0, np.prod(chat.FEATURE_SIZES), offsets[-1]))
+    free = np.full(50, -1)
+    path = chat.decode_rows(model, scores, offsets, free, free)
+    for a, b in zip(offsets, offsets[1:]):
+        assert path_score(model, scores[a:b], path[a:b]) == best_score(model, scores[a:b])
+
+
+CHAT = "conv_id long, turn long, role string, text string, conv int, block string, `_x` int"
 
 
 def test_chat_recovers_roles(spark):
-    turns = [(c, t, "user" if t % 2 == 0 else "assistant", "What is this?" if t % 2 == 0 else "It is a thing.\nMore of it.") for c in range(30) for t in range(6)]
-    rows = chat.format_chats(spark.createDataFrame([*turns, (None, None, None, None)], "conv_id long, turn long, role string, text string")).collect()
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", "What is this?" if t % 2 == 0 else "It is a thing.\nMore of it.", 7, "b", 1) for c in range(30) for t in range(6)]
+    rows = chat.format_chats(spark.createDataFrame([*turns, (None,) * 7], CHAT)).collect()
     assert sum(r.n_right for r in rows) > 0.9 * sum(r.n_lines for r in rows)
     assert all(r.rendered.startswith("<|") for r in rows if r.conv == 3)
 
 
+def test_chat_long_conversation_and_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(chat, "RUN_BLOCKS", 3)
+    long = [(1, t, "user" if t % 2 == 0 else "assistant", f"What is {t}?" if t % 2 == 0 else f"A thing {t}.\nMore.", 7, "b", 1) for t in range(400)]
+    odd = [(None, None, "user", f"line {k}", 0, None, 0) for k in range(20)] + [(2, 0, None, "", 0, None, 0)] * 3 + [(3, -5, "system", "x\n" * 3000, 0, None, 0)]
+    df = spark.createDataFrame([*long, *odd], CHAT)
+    blocks = chat.line_blocks(chat.transcripts(df)).cache()
+    model = chat.fit_chat_model(blocks)
+    rows = chat.recover_turns(blocks, model).collect()
+    want = {c: sum(len(r.lines) for r in g) for c, g in _by_conv(blocks.collect()).items()}
+    assert {c: sum(r.n_lines for r in g) for c, g in _by_conv(rows).items()} == want
+    mine = sorted((r for r in rows if r.conv == 1), key=lambda r: (r.piece, r.turn))
+    assert [r.turn for r in mine] == sorted(r.turn for r in mine) and mine[0].turn == 0
+    ordered = sorted(blocks.filter("conv = 1").collect(), key=lambda r: r.block)
+    scores = chat.line_scores(model, np.array([c for r in ordered for c in r.codes]))
+    offsets = np.concatenate([[0], np.cumsum([len(r.codes) for r in ordered])])
+    ends = {r.block: (r.before, r.last) for r in chat.block_ends(blocks.filter("conv = 1"), model).collect()}
+    before, last = (np.array([ends[r.block][k] for r in ordered]) for k in (0, 1))
+    path = chat.decode_rows(model, scores, offsets, before, last)
+    assert path_score(model, scores, path) == best_score(model, scores)
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def _by_conv(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.conv, []).append(r)
+    return out
+
+
 def test_pipeline_stages(spark, awkward):
     docs = awkward
     for name, stage in corpus_pipeline.STAGES[:-1]:
