@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from checks.learning import SQL_LABEL, flows
 from checks.tables import load, rounded
-from flowlab.plans import missing, models, training
-from flowlab.schema import FEATURES
-from flowlab.session import fresh_path
+from flowlab.operators.sampling import permute_labels
+from flowlab.plans import hierarchical, missing, models, training
+from flowlab.schema import FEATURES, TAXONOMY
+from flowlab.session import fresh_path, materialize
 
 NUMBERS = range(1, 8)
 INDICATORS = [f"is_{v}" for v in NUMBERS]
@@ -65,6 +66,66 @@ def closed_logreg(spark, sf):
     return _by_value(training.fit_logreg(lines, features=INDICATORS, inverse_penalty=1e6), lines, places=2)
 
 
+#: Class of each line number in the taxonomy: three families of two and one that passes through. Neighbours are of different
+#: families, since a tree joins leaves side by side that say the same.
+CLASSES = ["BenignTraffic", "Mirai-greeth_flood", "Recon-PortScan", "XSS", "Mirai-udpplain", "Recon-OSScan", "SqlInjection"]
+#: One step of boosting, with room for every line number.
+ONE_STEP = dict(maxIter=1, stepSize=1.0, maxDepth=7, minInstancesPerNode=1)
+
+
+def _named(spark, sf):
+    """The lines with classes of the taxonomy."""
+    names = F.array(*[F.lit(c) for c in CLASSES])
+    place = F.substring("label", 2, 1).cast("int")
+    return load(spark, sf, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "CAST(l_linenumber AS DOUBLE) AS value", "CAST(l_linenumber % 2 AS DOUBLE) AS odd", "0.0D AS still", f"{_LABEL} AS label"
+    ).withColumn("label", F.element_at(names, place))
+
+
+def _family_tree(feature):
+    return lambda rows, _: training.fit_forest(rows, features=[feature, "still"], label="family", trees=1, min_rows_per_leaf=1, bootstrap=False)
+
+
+def _one_step(rows, _=None):
+    return training.fit_boosted(rows, features=["value", "still"], preset=ONE_STEP)
+
+
+def _two_level(spark, sf):
+    """A tree on the line number for the family, chosen over a tree on its parity, and one boosting step for the classes of
+    each family."""
+    lines = materialize(_named(spark, sf), "named")
+    candidates = {"parity": _family_tree("odd"), "number": _family_tree("value")}
+    model, chosen = hierarchical.train_hierarchical(
+        lines, lines, key_columns=["l_orderkey", "l_linenumber"], max_per_family=2**40, family_candidates=candidates,
+        features=["value", "still"], subtype_fit=_one_step,
+    )
+    return model, chosen, lines
+
+
+def closed_two_level(spark, sf):
+    """The pair of family and class that the two-level model decides on, and its confidences, for every line number; the
+    model is saved and loaded first."""
+    model, _, lines = _two_level(spark, sf)
+    path = fresh_path(spark, "two_level")
+    model.save(path)
+    scored = models.load(spark, path).score(lines.select("value", "still").distinct())
+    kept = scored.select("value", "predicted_family", "predicted_class", "family_confidence", "subtype_confidence", "confidence")
+    return rounded(kept, "family_confidence", "subtype_confidence", "confidence")
+
+
+def closed_sweep(spark, sf):
+    """Two family trees compared on all lines: the better comes first."""
+    table = _two_level(spark, sf)[1].table
+    return rounded(table.select("candidate", "train_macro_f1", "val_macro_f1"), "train_macro_f1", "val_macro_f1")
+
+
+def closed_shuffled(spark, sf):
+    """A boosting step on permuted labels gives their means for each line number."""
+    lines = _named(spark, sf)
+    permuted = materialize(permute_labels(lines, seed=7, key_columns=["l_orderkey", "l_linenumber"]), "permuted")
+    return _by_value(_one_step(permuted), lines.select("value", "still", "label"))
+
+
 def _holed(spark, sf):
     """Flows whose first three features have nulls, NaN and infinities."""
     a, b, c = (F.col(f"`{x}`") for x in FEATURES[:3])
@@ -128,6 +189,53 @@ def _sql_rows() -> str:
     return f"SELECT {SQL_LABEL} AS label, count(*) AS rows, count(*) AS sums, count(*) AS predicted FROM embeddings GROUP BY 1"
 
 
+_FAMILIES = [TAXONOMY[c] for c in CLASSES]
+_NAMED = f"""t AS (SELECT l_orderkey, l_linenumber, CAST(l_linenumber AS DOUBLE) AS value, {CLASSES}[CAST(substr({_LABEL}, 2, 1) AS INT)] AS label,
+        {_FAMILIES}[CAST(substr({_LABEL}, 2, 1) AS INT)] AS family FROM lineitem)"""
+
+
+def _sql_two_level() -> str:
+    return f"""WITH {_NAMED},
+        n AS (SELECT value, family, label, count(*) AS n FROM t GROUP BY 1, 2, 3),
+        f AS (SELECT value, family, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY value) AS of_value FROM n GROUP BY 1, 2),
+        s AS (SELECT value, family, label, n, row_number() OVER (PARTITION BY value, family ORDER BY n DESC) AS r FROM n),
+        p AS (SELECT f.value, f.family AS predicted_family, s.label AS predicted_class, f.n / f.of_value AS fc,
+                CASE WHEN f.family = 'Benign' THEN 1 ELSE 1 / (1 + exp(-2 * (2.0 * s.n / f.n - 1))) END AS sc,
+                row_number() OVER (PARTITION BY f.value ORDER BY s.n DESC) AS r
+              FROM f JOIN s ON s.value = f.value AND s.family = f.family AND s.r = 1)
+        SELECT value, predicted_family, predicted_class, round(fc, 6) AS family_confidence, round(sc, 6) AS subtype_confidence,
+          round(fc * sc, 6) AS confidence FROM p WHERE r = 1"""
+
+
+def _sql_sweep() -> str:
+    def f1(by: str) -> str:
+        return f"""(SELECT avg(2.0 * tp / (truth + predicted)) FROM (
+            SELECT c.family, (SELECT coalesce(sum(n), 0) FROM {by} WHERE family = c.family AND said = c.family) AS tp,
+              (SELECT sum(n) FROM {by} WHERE family = c.family) AS truth,
+              (SELECT coalesce(sum(n), 0) FROM {by} WHERE said = c.family) AS predicted
+            FROM (SELECT DISTINCT family FROM t) c))"""
+
+    def cells(key: str) -> str:
+        counts = f"SELECT {key} AS k, family, count(*) AS n FROM t GROUP BY 1, 2"
+        return f"SELECT family, n, first_value(family) OVER (PARTITION BY k ORDER BY n DESC) AS said FROM ({counts})"
+
+    return f"""WITH {_NAMED}, a AS ({cells('value')}), b AS ({cells('l_linenumber % 2')})
+        SELECT 'number' AS candidate, round({f1('a')}, 6) AS train_macro_f1, round({f1('a')}, 6) AS val_macro_f1
+        UNION ALL SELECT 'parity', round({f1('b')}, 6), round({f1('b')}, 6)"""
+
+
+def _sql_shuffled() -> str:
+    return f"""WITH {_NAMED},
+        r AS (SELECT value, row_number() OVER (ORDER BY md5(concat_ws('|', '7', l_orderkey, l_linenumber))) AS rn FROM t),
+        s AS (SELECT label, count(*) AS n FROM t GROUP BY 1),
+        c AS (SELECT label, sum(n) OVER (ORDER BY label) AS upto, sum(n) OVER (ORDER BY label) - n AS frm FROM s),
+        g AS (SELECT value, c.label AS class, count(*) AS n FROM r JOIN c ON rn > frm AND rn <= upto GROUP BY 1, 2),
+        x AS (SELECT v.value, c.label AS class, coalesce(g.n, 0) AS n, sum(coalesce(g.n, 0)) OVER (PARTITION BY v.value) AS of_value
+              FROM (SELECT DISTINCT value FROM t) v CROSS JOIN c LEFT JOIN g ON g.value = v.value AND g.class = c.label),
+        m AS (SELECT value, class, 1 / (1 + exp(-2 * (2.0 * n / of_value - 1))) AS m FROM x)
+        SELECT value, class, round(m / sum(m) OVER (PARTITION BY value), 6) AS p FROM m"""
+
+
 _FREQUENCY = _sql("CAST(n AS DOUBLE)", 6)
 
 QUERIES = {
@@ -139,6 +247,9 @@ QUERIES = {
     ),
     "closed_boosted": (closed_boosted, _sql("1 / (1 + exp(-2 * (2.0 * n / of_value - 1)))", 6)),
     "closed_logreg": (closed_logreg, _sql("CAST(n AS DOUBLE) / total", 2)),
+    "closed_two_level": (closed_two_level, _sql_two_level()),
+    "closed_sweep": (closed_sweep, _sql_sweep()),
+    "closed_shuffled": (closed_shuffled, _sql_shuffled()),
     "filled_features": (filled_features, _sql_filled()),
     "holed_model_rows": (holed_model_rows, _sql_rows()),
 }

@@ -112,6 +112,32 @@ def threshold_config_roundtrip(spark, sf):
     return served.groupBy("predicted_class", "threshold_applied").agg(F.count("*").alias("rows"))
 
 
+BLOCKS = ["validation", "official_test"]
+
+
+def threshold_metric_blocks(spark, sf):
+    """The eight metric blocks of a written threshold file, read back as one row per split."""
+    result = _experiment(spark, sf, True)
+    path = fresh_path(spark, "thresholds")
+    about = dict(model_name="frequency table", rare_support_threshold=500, min_recall_ratio=RATIO, tuning_scope="hard")
+    save_threshold_config(spark, path, result.config, result.metrics, **about)
+    entry = spark.read.json(path).select("metrics.*")
+    rows = [
+        F.struct(
+            F.lit(name).alias("block"),
+            F.col(f"{name}_baseline.macro_f1").alias("baseline_macro_f1"),
+            F.col(f"{name}_thresholded.macro_f1").alias("thresholded_macro_f1"),
+            F.col(f"{name}_thresholded.rare_mean_recall").alias("thresholded_rare_recall"),
+            F.col(f"{name}_changed_fraction").alias("changed_fraction"),
+            F.col(f"{name}_abstention.abstain_rate").alias("abstain_rate"),
+            F.col(f"{name}_abstention.abstain_on_rare_truth_rate").alias("abstain_on_rare_truth_rate"),
+        )
+        for name in BLOCKS
+    ]
+    table = entry.select(F.inline(F.array(*rows)))
+    return rounded(table, *[c for c, t in table.dtypes if t == "double"])
+
+
 _POINTS = "[0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]"
 
 
@@ -191,6 +217,17 @@ _SERVED = f"""{_EXP_BASE},
     SELECT rk.c AS predicted_class, low AS threshold_applied, count(*) AS rows
     FROM d JOIN rk ON rk.id = d.id AND rk.rk = d.sel GROUP BY 1, 2"""
 
+def _sql_blocks() -> str:
+    def of(variant: str, column: str) -> str:
+        return f"max({column}) FILTER (variant = '{variant}')"
+
+    return f"""SELECT lower(replace(split, ' ', '_')) AS block, {of('baseline', 'macro_f1')} AS baseline_macro_f1,
+        {of('thresholded', 'macro_f1')} AS thresholded_macro_f1, {of('thresholded', 'rare_mean_recall')} AS thresholded_rare_recall,
+        {of('thresholded', 'changed_fraction')} AS changed_fraction, {of('thresholded', 'abstain_rate')} AS abstain_rate,
+        {of('thresholded', 'abstain_on_rare_truth_rate')} AS abstain_on_rare_truth_rate
+        FROM ({_sql_experiment(True)}) GROUP BY 1"""
+
+
 QUERIES = {
     "threshold_candidates": (
         threshold_candidates,
@@ -216,5 +253,6 @@ QUERIES = {
     ),
     "tuning_experiment": (tuning_experiment_fallback, _sql_experiment(False)),
     "tuning_experiment_abstain": (tuning_experiment_abstain, _sql_experiment(True)),
+    "threshold_metric_blocks": (threshold_metric_blocks, _sql_blocks()),
     "threshold_config_roundtrip": (threshold_config_roundtrip, _SERVED),
 }

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlab.functions.keys import numeric_struct, row_hash
 from flowlab.schema import FEATURES, quoted
 from flowlab.session import materialize
 
-#: A reference above either bound is joined by shuffle: a choice of plan, the rows are the same.
+#: A reference above either bound is met by its hashes first: a choice of plan, the rows are the same.
 BROADCAST_REFERENCE_ROWS = 500_000
 BROADCAST_REFERENCE_BYTES = 256 << 20
+#: Hashes of 8 bytes each that may be sent to every executor.
+BROADCAST_HASHES = 2_000_000
 
 
 def _content(df: DataFrame, columns: Sequence[str], numeric: bool):
@@ -30,14 +32,43 @@ def distinct_rows(df: DataFrame, columns: Sequence[str] = FEATURES, *, numeric:
     return df.select(hashed.alias("_hash"), content.alias("_row")).distinct()
 
 
-def _reference_side(reference: DataFrame, columns: Sequence[str], numeric: bool, max_rows: int) -> DataFrame:
-    """Distinct reference rows, written once; broadcast when measured to be within both bounds, shuffled otherwise."""
+def _reference_rows(reference: DataFrame, columns: Sequence[str], numeric: bool, max_rows: int) -> tuple[DataFrame, bool]:
+    """Distinct reference rows, written once, and whether they are measured to be within both bounds."""
     rows = materialize(distinct_rows(reference, columns, numeric=numeric), "reference")
     measured = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json("_row"))), F.lit(0))).first()
-    small = measured[0] <= max_rows and measured[1] <= BROADCAST_REFERENCE_BYTES
+    return rows, measured[0] <= max_rows and measured[1] <= BROADCAST_REFERENCE_BYTES
+
+
+def _reference_side(reference: DataFrame, columns: Sequence[str], numeric: bool, max_rows: int) -> DataFrame:
+    """Distinct reference rows; broadcast when small, shuffled otherwise."""
+    rows, small = _reference_rows(reference, columns, numeric, max_rows)
     return F.broadcast(rows) if small else rows
 
 
+def _hash_side(hashes: DataFrame) -> DataFrame:
+    hashes = materialize(hashes, "hashes")
+    return F.broadcast(hashes) if hashes.count() <= BROADCAST_HASHES else hashes
+
+
+def _without(pool: DataFrame, rows: DataFrame, hashed: Column, content: Column) -> DataFrame:
+    """Pool rows whose content is not among ``rows``: contents are compared only where hashes meet.
+
+    A hash all of whose pool contents occur in ``rows`` removes its rows by itself; for one shared by different contents
+    the contents decide. So no row of the pool is carried along a second time as its own key.
+    """
+    keyed = pool.select(hashed.alias("_hash"), content.alias("_row"))
+    met = keyed.join(_hash_side(rows.select("_hash").distinct()), "_hash", "left_semi").distinct()
+    met = materialize(met.join(rows.withColumn("_hit", F.lit(True)), ["_hash", "_row"], "left"), "met")
+    by_hash = met.groupBy("_hash").agg(F.count("_hit").alias("hits"), F.count("*").alias("all"))
+    left = pool.withColumn("_hash", hashed)
+    kept = left.join(_hash_side(by_hash.filter("hits = all").select("_hash")), "_hash", "left_anti")
+    mixed = by_hash.filter("hits BETWEEN 1 AND all - 1").select("_hash")
+    collided = materialize(met.filter("_hit").join(mixed, "_hash", "left_semi").select("_hash", "_row"), "collided")
+    if not collided.isEmpty():
+        kept = kept.withColumn("_row", content).join(collided, ["_hash", "_row"], "left_anti")
+    return kept.drop("_hash", "_row")
+
+
 def exclude_overlap(
     pool: DataFrame,
     reference: DataFrame,
@@ -48,13 +79,15 @@ def exclude_overlap(
 ) -> DataFrame:
     """Pool rows whose content does not occur in the reference; duplicates among kept rows stay.
 
-    A small reference is broadcast, so the pool is filtered where it lies. A large one is joined by shuffle on
-    (hash, content), where adaptive skew handling splits a partition filled with copies of one row.
+    A reference measured to be small is broadcast, so the pool is filtered where it lies in one pass. A large one is met
+    by its hashes first and by contents only where hashes meet, in two passes over the pool.
     """
     hashed, content = _content(pool, columns, numeric)
-    right = _reference_side(reference, columns, numeric, max_broadcast_rows)
+    rows, small = _reference_rows(reference, columns, numeric, max_broadcast_rows)
+    if not small:
+        return _without(pool, rows, hashed, content)
     left = pool.withColumn("_hash", hashed).withColumn("_row", content)
-    return left.join(right, ["_hash", "_row"], "left_anti").drop("_hash", "_row")
+    return left.join(F.broadcast(rows), ["_hash", "_row"], "left_anti").drop("_hash", "_row")
 
 
 def exclude_stream_overlap(
@@ -62,7 +95,10 @@ def exclude_stream_overlap(
 ) -> DataFrame:
     """The same exclusion for a streaming pool; stateless. The reference is as it stands now: micro-batches do not
     compute it again."""
-    return exclude_overlap(stream, reference, columns, numeric=numeric)
+    hashed, content = _content(stream, columns, numeric)
+    right = _reference_side(reference, columns, numeric, BROADCAST_REFERENCE_ROWS)
+    left = stream.withColumn("_hash", hashed).withColumn("_row", content)
+    return left.join(right, ["_hash", "_row"], "left_anti").drop("_hash", "_row")
 
 
 def overlap_audit(

@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlab.session import materialize
+
 BROADCAST_ROWS = 200_000
 
 
 def pin(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Run a summary once and keep it as a local relation when it holds at most ``max_rows`` rows.
 
-    Returns the table and whether it is small. A summary above the bound comes back as it was.
+    Returns the table and whether it is small. A summary above the bound is written to the shared folder instead, so
+    what it was made from is not computed again either way.
     """
     rows = df.limit(max_rows + 1).toArrow()
     if rows.num_rows > max_rows:
-        return df, False
+        return materialize(df, "summary"), False
     return df.sparkSession.createDataFrame(rows, df.schema), True
 
 

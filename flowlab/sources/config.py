@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlab.functions.decisions import ThresholdConfig
@@ -74,19 +74,37 @@ def config_table(
     return spark.createDataFrame([row], CONFIG_SCHEMA)
 
 
+ABSTENTION = ["abstain_rate", "abstain_on_rare_truth_rate", "abstain_on_nonrare_truth_rate"]
+
+
+def metric_blocks(metrics: DataFrame) -> DataFrame:
+    """One row with the blocks of the ``metrics`` entry, from one row per (split, variant).
+
+    Per split, in lower case with underscores: ``<split>_baseline`` and ``<split>_thresholded`` hold the metrics,
+    ``<split>_changed_fraction`` is a number and ``<split>_abstention`` holds the rates of the thresholded variant.
+    """
+    apart = [c for c in ABSTENTION if c in metrics.columns]
+    plain = [c for c in metrics.columns if c not in ("split", "variant", "changed_fraction", *apart)]
+    blocks = []
+    for (split,) in metrics.select("split").distinct().orderBy("split").collect():
+        name = split.lower().replace(" ", "_")
+
+        def of(variant: str, value: Column) -> Column:
+            return F.first(F.when((F.col("split") == split) & (F.col("variant") == variant), value), ignorenulls=True)
+
+        blocks += [of(v, F.struct(*plain)).alias(f"{name}_{v}") for v in ("baseline", "thresholded")]
+        if "changed_fraction" in metrics.columns:
+            blocks.append(of("thresholded", F.col("changed_fraction")).alias(f"{name}_changed_fraction"))
+        if apart:
+            blocks.append(of("thresholded", F.struct(*apart)).alias(f"{name}_abstention"))
+    return metrics.agg(F.struct(*blocks).alias("metrics"))
+
+
 def save_threshold_config(
     spark: SparkSession, path: str, config: ThresholdConfig, metrics: DataFrame | None = None, **about
 ) -> None:
-    """Write the configuration as one JSON object, with the metric blocks nested under ``metrics``.
-
-    ``metrics`` holds one row per (split, variant); its blocks are named ``<split>_<variant>``.
-    """
+    """Write the configuration as one JSON object, with ``metric_blocks`` of ``metrics`` nested under ``metrics``."""
     table = config_table(spark, config, **about)
     if metrics is not None:
-        blocks = metrics.select(
-            F.lower(F.replace(F.concat_ws("_", "split", "variant"), F.lit(" "), F.lit("_"))).alias("name"),
-            F.struct(*[c for c in metrics.columns if c not in ("split", "variant")]).alias("block"),
-        )
-        nested = blocks.agg(F.map_from_entries(F.collect_list(F.struct("name", "block"))).alias("metrics"))
-        table = table.withColumn("_one", F.lit(1)).join(nested.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        table = table.withColumn("_one", F.lit(1)).join(metric_blocks(metrics).withColumn("_one", F.lit(1)), "_one").drop("_one")
     table.coalesce(1).write.mode("overwrite").json(path)

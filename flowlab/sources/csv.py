@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlab.schema import FEATURES, LABEL, conform, labelled, quoted, require_columns, require_label
+from flowlab.session import materialize
 
 CSV_OPTIONS = {"header": "true", "positiveInf": "inf", "negativeInf": "-inf", "nanValue": "NaN"}
-HEADER_THREADS = 16
+#: Larger than any file: a file is then one task of the header lookup.
+_WHOLE_FILE = str(1 << 50)
 
 
 def _typed(header: Sequence[str], features: Sequence[str]) -> T.StructType:
@@ -24,10 +27,25 @@ def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
     return tuple(spark.read.options(**CSV_OPTIONS).csv(path).columns)
 
 
-def list_files(spark: SparkSession, path: str) -> list[str]:
-    """File names under a folder or glob. Contents are not read: only the path column is requested."""
-    listing = spark.read.format("binaryFile").load(path).select("path")
-    return sorted(r[0] for r in listing.collect())
+def header_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, header): the first line with content of each file, looked up in one job. A task opens one file and stops
+    after that line; files without content have no row.
+
+    Split sizes are settings of a session, so the lookup has a session of its own.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.maxPartitionBytes", _WHOLE_FILE)
+    own.conf.set("spark.sql.files.openCostInBytes", _WHOLE_FILE)
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows and batch.column(1)[0].as_py().strip():
+                yield pa.RecordBatch.from_arrays([pa.array([unquote(batch.column(0)[0].as_py())]), batch.column(1)], names=["path", "header"])
+                return
+
+    lines = own.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    return lines.mapInArrow(first, "path string, header string")
 
 
 def read_csv_by_name(
@@ -42,8 +60,9 @@ def read_csv_by_name(
     """Many CSV files, columns matched by header name; a column missing from some files is null there.
 
     Spark binds CSV columns by position, so files are grouped by header line, each group is read with its own
-    ordered schema, and the groups are unioned by name. There is one read per distinct header, not per file. With
-    ``uniform`` only one header is looked up and Spark verifies it against every file while reading.
+    ordered schema, and the groups are unioned by name. There is one read per distinct header, not per file, and file
+    names reach the driver only if there are several headers. With ``uniform`` only one header is looked up and Spark
+    verifies it against every file while reading.
     """
     wanted = [*carry, *features, *([label] if label else [])]
     reader = spark.read.options(**CSV_OPTIONS)
@@ -53,12 +72,13 @@ def read_csv_by_name(
         require_columns(table, wanted)
         return table.select(*[quoted(c) for c in wanted])
 
-    files = list_files(spark, path)
-    with ThreadPoolExecutor(HEADER_THREADS) as pool:
-        headers = list(pool.map(lambda f: _header(spark, f), files))
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for file, header in zip(files, headers):
-        groups.setdefault(header, []).append(file)
+    lines = materialize(header_lines(spark, path), "headers")
+    samples = lines.groupBy("header").agg(F.min("path").alias("path")).orderBy("path").collect()  # one row a layout
+    groups: dict[tuple[str, ...], str | list[str]] = {}
+    for sample in samples:
+        members = path if len(samples) == 1 else [r[0] for r in lines.filter(F.col("header") == sample["header"]).select("path").collect()]
+        header = _header(spark, sample["path"])
+        groups[header] = members if header not in groups else [*groups[header], *members]
     known = {c for header in groups for c in header}
     missing = [c for c in wanted if c not in known]
     if missing:

@@ -128,3 +128,15 @@ def test_kept_duplicates_stay(spark):
     kept = hygiene.exclude_overlap(pool, spark.createDataFrame([(2.0,)], "a double"), ["a"])
     assert kept.count() == 2
     assert hygiene.shared_rows(pool, kept, ["a"]).count() == 1
+
+
+def test_large_reference_with_colliding_hashes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(hygiene, "row_hash", lambda columns: F.expr(f"CAST(pmod({columns[0]}, 3) AS LONG)"))
+    pool = spark.createDataFrame([(k % 12, float(k % 12)) for k in range(60)], "a int, b double")
+    reference = spark.createDataFrame([(0, 0.0), (3, 3.0), (6, 6.0), (9, 9.0), (1, 1.0), (4, 4.5)], "a int, b double")
+    kept = hygiene.exclude_overlap(pool, reference, ["a", "b"], max_broadcast_rows=0).collect()
+    assert sorted({r.a for r in kept}) == [2, 4, 5, 7, 8, 10, 11] and len(kept) == 35
+    empty = hygiene.exclude_overlap(pool, reference.limit(0), ["a", "b"], max_broadcast_rows=-1)
+    assert empty.count() == 60
