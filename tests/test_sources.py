@@ -12,7 +12,7 @@ from flowlab.plans.scoring import decide_flat
 from flowlab.schema import EXCLUDED, FEATURES, TAXONOMY, conform, flow_schema, require_label
 from flowlab.session import fresh_path, shared_folder
 from flowlab.sources.config import load_threshold_config, save_threshold_config
-from flowlab.sources.csv import read_archive, read_csv_by_name, read_labelled_test, write_predictions
+from flowlab.sources.csv import header_lines, read_archive, read_csv_by_name, read_labelled_test, write_predictions
 from flowlab.streaming import scoring as streams
 
 
@@ -150,3 +150,13 @@ def test_labelled_test_files_of_two_layouts(spark, tmp_path):
     got = read_labelled_test(spark, f"{tmp_path}/*.csv", features=["a", "b"])
     assert got.columns == ["a", "b", "label"]
     assert sorted(map(tuple, got.collect())) == [(1.0, 2.0, "x"), (4.0, 3.0, None)]
+
+
+def test_headers_of_awkward_files(spark, tmp_path):
+    write(str(tmp_path), "a file+1.csv", "x,label\n1,A\n2,B\n")
+    write(str(tmp_path), "b.csv", "\nlabel,x\nC,3\n")
+    write(str(tmp_path), "empty.csv", "")
+    lines = {r.path.rsplit("/", 1)[-1]: r.header for r in header_lines(spark, f"{tmp_path}/*.csv").collect()}
+    assert lines == {"a file+1.csv": "x,label", "b.csv": "label,x"}
+    rows = read_csv_by_name(spark, f"{tmp_path}/*.csv", features=["x"]).collect()
+    assert sorted((r.x, r.label) for r in rows) == [(1.0, "A"), (2.0, "B"), (3.0, "C")]
