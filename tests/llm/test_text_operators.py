@@ -99,6 +99,47 @@ def test_crowded_sketches(spark):
     assert len({r.class_id for r in rows}) == 40
 
 
+@pytest.mark.parametrize("meeting", [512, 60])
+def test_near_recall_on_one_template(spark, monkeypatch, meeting):
+    monkeypatch.setattr(near, "MEETING", meeting, raising=False)
+    rng = random.Random(8)
+    passage = prose(70, 75)
+    # own passages of 30 words, of which some texts share 20 with one other: 0.75 and less but for these pairs
+    own = [[f"own{k}x{i}" for i in range(30)] for k in range(400)]
+    for k in range(0, 400, 5):
+        own[k][:20] = own[(k * 7 + 3) % 400][:20]
+    texts = [passage + " " + " ".join(w) for w in own]
+    words = [np.array([hash(w) & 0xFFFFFFFFFF for w in t.split()], np.uint64) for t in texts]
+    parent = list(range(400))
+    for y in range(400):
+        for x in range(y):
+            if near.within(words[x], words[y]):
+                lo, hi = sorted((parent[x], parent[y]))
+                parent = [lo if p == hi else p for p in parent]
+    order = list(range(400))
+    rng.shuffle(order)
+    got = {r.id: r.class_id for r in near.near_classes(table(spark, [texts[k] for k in order], order)).collect()}
+    assert 1 < len(set(parent)) < 400
+    assert [got[k] for k in range(400)] == parent
+
+
+def test_near_link_to_one_member(spark):
+    """Each odd text is 0.8 alike only to one member of a large group, in words that no sketch shows."""
+    passage = prose(71, 80).split()
+    group = [passage + [f"own{k}x{i}" for i in range(20)] for k in range(150)]
+    odd = []
+    for k in range(30):
+        text = passage + [group[k * 5][80 + i] if i in (2, 7, 12, 17) else f"odd{k}x{i}" for i in range(20)]
+        text[k : k + 3] = [f"new{k}x{i}" for i in range(3)]
+        odd.append(text)
+    names = {w: i for i, w in enumerate({w for t in group + odd for w in t})}
+    as_array = lambda words: np.array([names[w] for w in words], np.uint64)
+    alike = [[k for k, g in enumerate(group) if near.within(as_array(g), as_array(t))] for t in odd[:5]]
+    assert alike == [[k * 5] for k in range(5)]
+    rows = near.near_classes(table(spark, [" ".join(t) for t in group + odd])).collect()
+    assert {r.class_id for r in rows} == {0}
+
+
 def brute_removed(texts):
     seen, out = {}, []
     words = [(t or "").split() for t in texts]
