@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlab.llm import chat, exact, fingerprint, language, lexicon, near, packing, sharding, substring, urls
+from flowlab.llm import chat, exact, fingerprint, language, lexicon, licenses, near, packing, sharding, substring, urls
 from flowlab.llm.common import load, public_id
 
 
@@ -112,6 +112,12 @@ agg AS (
 SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN agg USING (doc_id)"""
 
+
+def op11_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    out = licenses.scan_licenses(load(spark, sf, "documents"))
+    return out.select(public_id().alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 QUERIES = {
     "op1_chat_formatting": (op1_chat_formatting, None),
     "op2_sharding": (op2_sharding, None),
@@ -123,4 +129,5 @@ QUERIES = {
     "op8_near_dedup": (op8_near_dedup, None),
     "op9_language": (op9_language, None),
     "op10_substring_dedup": (op10_substring_dedup, SQL_SUBSTRING),
+    "op11_license_scan": (op11_license_scan, licenses.SQL_LICENSES),
 }
