@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlab.llm import chat, exact, fingerprint, language, lexicon, licenses, near, packing, sharding, substring, urls
+from flowlab.llm import chat, exact, fingerprint, language, lexicon, licenses, near, packing, sharding, spelling, substring, trie, urls
 from flowlab.llm.common import load, public_id
 
 
@@ -118,6 +118,15 @@ def op11_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(public_id().alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return trie.prefix_trie(load(spark, sf, "conversations"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    out = spelling.spelling_variants(load(spark, sf, "documents"))
+    return out.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_chat_formatting": (op1_chat_formatting, None),
     "op2_sharding": (op2_sharding, None),
@@ -130,4 +139,6 @@ QUERIES = {
     "op9_language": (op9_language, None),
     "op10_substring_dedup": (op10_substring_dedup, SQL_SUBSTRING),
     "op11_license_scan": (op11_license_scan, licenses.SQL_LICENSES),
+    "op12_prefix_trie": (op12_prefix_trie, trie.SQL_TRIE),
+    "op13_spelling_variants": (op13_spelling_variants, spelling.SQL_SPELLING),
 }
