@@ -84,22 +84,22 @@ def one_vs_rest(spark, sf):
 
 
 def average_precision(spark, sf):
-    return rounded(ap.average_precision(one_vs_rest(spark, sf)), "average_precision")
+    return rounded(ap.average_precision(scored_documents(spark, sf), DOC_CLASSES), "average_precision")
 
 
 def event_average_precision(spark, sf):
-    counts = ap.one_vs_rest(scored_events(spark, sf), EVENT_CLASSES, truth="event_type")
-    return rounded(ap.average_precision(counts), "average_precision")
+    table = ap.average_precision(scored_events(spark, sf), EVENT_CLASSES, truth="event_type")
+    return rounded(table, "average_precision")
 
 
 def macro_auprc(spark, sf):
-    return rounded(ap.macro_auprc(ap.average_precision(one_vs_rest(spark, sf))), "macro_auprc")
+    return rounded(ap.macro_auprc(ap.average_precision(scored_documents(spark, sf), DOC_CLASSES)), "macro_auprc")
 
 
 def rare_auprc(spark, sf):
     scored = scored_documents(spark, sf)
     rare = ["de-1", "es-1", "fr-1"]
-    table = ap.average_precision(ap.one_vs_rest(scored, DOC_CLASSES, only=rare))
+    table = ap.average_precision(scored, DOC_CLASSES, only=rare)
     return rounded(ap.rare_auprc(table, rare), "rare_mean_auprc")
 
 

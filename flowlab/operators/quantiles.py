@@ -1,4 +1,4 @@
-"""Exact linear-interpolation quantiles per group, without holding a group in one task."""
+"""Exact linear-interpolation quantiles per group, by a radix search for the wanted ranks."""
 
 from __future__ import annotations
 
@@ -7,48 +7,71 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlab.operators.average_precision import score_bucket
+from flowlab.operators.digits import FIRST_SHIFT, OPENED, WIDTH, ordered_bits, prefix
 from flowlab.operators.small import small_side
+from flowlab.session import materialize
 
 
-def grouped_quantiles(df: DataFrame, group: str, value: str, points: Sequence[float], min_rows: int = 1) -> DataFrame:
-    """(group, n, q, quantile) of a probability column; groups under ``min_rows`` rows are left out.
+def grouped_quantiles(
+    df: DataFrame, group: str, value: str, points: Sequence[float], min_rows: int = 1, *, opened: int = OPENED
+) -> DataFrame:
+    """(group, n, q, quantile) of a numeric column of any range; groups under ``min_rows`` rows are left out.
 
-    Values are counted per score bucket to find the few buckets that hold a wanted rank. Only those are opened,
-    collapsed to distinct values and ranked.
+    Rows are counted by the leading digit of the value's order; the prefixes that hold a wanted rank are counted by the
+    next digit until they hold one value or at most ``opened`` rows, which alone are collapsed to distinct values and
+    ranked. Null values are passed over, NaN is the largest; a null group is a group.
     """
-    valued = df.select(group, F.col(value).alias("_v"), score_bucket(F.col(value)).alias("_bucket"))
-    histogram = valued.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
-    ordered = Window.partitionBy(group).orderBy("_bucket")
-    histogram = histogram.select(
-        group,
-        "_bucket",
-        F.sum("_n").over(ordered).alias("_through"),
-        F.coalesce(F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(group)).alias("n"),
-    ).where(F.col("n") >= min_rows)
-
-    position = F.lit(0.0) + (F.col("n") - 1) * F.col("q")
-    wanted = (
-        histogram.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in points])))
-        .withColumn("_position", position)
-        .withColumn("_rank", F.explode(F.array(F.floor("_position"), F.ceil("_position"))))
-        .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_through")))
-        .select(group, "_bucket", "q", "n", "_position", "_rank", (F.col("_rank") - F.col("_before")).alias("_local"))
-    )
-    wanted = small_side(wanted)  # two ranks per point and group
-    opened = valued.join(small_side(wanted.select(group, "_bucket").distinct()), [group, "_bucket"], "left_semi")
-    inside = Window.partitionBy(group, "_bucket").orderBy("_v")
-    values = (
-        opened.groupBy(group, "_bucket", "_v")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_last", F.sum("_n").over(inside))
-        .withColumn("_first", F.col("_last") - F.col("_n"))
-    )
-    picked = values.join(wanted, [group, "_bucket"]).where(
-        (F.col("_local") >= F.col("_first")) & (F.col("_local") < F.col("_last"))
-    )
-    low, high = F.min("_v"), F.max("_v")
+    valued = df.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    valued = valued.withColumn("_bits", ordered_bits(F.col("_v")))
+
+    def counted(rows: DataFrame, within: Sequence[str], shift: int) -> DataFrame:
+        counts = rows.groupBy(*within, prefix(F.col("_bits"), shift).alias("_prefix")).agg(
+            F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+        )
+        running = Window.partitionBy(*within).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return counts.withColumn("_next", F.sum("_n").over(running)).withColumn("_first", F.col("_next") - F.col("_n"))
+
+    def holding(rows: DataFrame, ranks: DataFrame, shift: int) -> DataFrame:
+        """``rows`` below the prefixes of ``ranks``."""
+        wanted = ranks.select(F.col("_g").alias("_wg"), F.col("_prefix").alias("_in")).distinct()
+        return rows.join(small_side(wanted), F.col("_g").eqNullSafe(F.col("_wg")) & (prefix(F.col("_bits"), shift) == F.col("_in"))).drop("_wg")
+
+    shift = FIRST_SHIFT
+    first = counted(valued, ["_g"], shift).withColumn("n", F.sum("_n").over(Window.partitionBy("_g"))).where(F.col("n") >= min_rows)
+    asked = first.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in points])))
+    asked = asked.withColumn("_position", F.lit(0.0) + (F.col("n") - 1) * F.col("q"))
+    asked = asked.withColumn("_rank", F.explode(F.array(F.floor("_position"), F.ceil("_position"))))
+    kept = ["_g", "n", "q", "_position", "_rank", "_prefix", "_n", "_lo", "_hi", "_local"]
+    found = asked.where((F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_next")))
+    ranks = materialize(found.withColumn("_local", F.col("_rank") - F.col("_first")).select(kept), "ranks")  # two a point and group
+    asks = ["_g", "n", "q", "_position", "_rank"]
+    done = []
+    while True:
+        single = (F.col("_lo") == F.col("_hi")) | F.isnan("_lo")
+        done.append(ranks.where(single).select(*asks, F.col("_lo").alias("_found")))
+        several = ranks.where(~single)
+        light = several.where(F.col("_n") <= opened)
+        inside = holding(valued, light, shift).groupBy("_g", "_in", "_v").agg(F.count("*").alias("_n"))
+        running = Window.partitionBy("_g", "_in").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        inside = inside.withColumn("_next", F.sum("_n").over(running)).withColumn("_first", F.col("_next") - F.col("_n"))
+        inside = inside.withColumnsRenamed({"_g": "_ig", "_n": "_in_n"})
+        there = F.col("_g").eqNullSafe(F.col("_ig")) & (F.col("_prefix") == F.col("_in")) & (F.col("_local") >= F.col("_first")) & (F.col("_local") < F.col("_next"))
+        done.append(light.join(inside, there).select(*asks, F.col("_v").alias("_found")))
+        crowded = several.where(F.col("_n") > opened)
+        if crowded.isEmpty():
+            break
+        parts = holding(valued, crowded, shift)
+        shift = max(shift - WIDTH, 0)
+        parts = counted(parts, ["_g", "_in"], shift).withColumnsRenamed({"_g": "_pg", "_prefix": "_p", "_n": "_pn", "_lo": "_plo", "_hi": "_phi"})
+        there = F.col("_g").eqNullSafe(F.col("_pg")) & (F.col("_prefix") == F.col("_in")) & (F.col("_local") >= F.col("_first")) & (F.col("_local") < F.col("_next"))
+        deeper = crowded.join(parts, there).select(
+            *asks, F.col("_p").alias("_prefix"), F.col("_pn").alias("_n"), F.col("_plo").alias("_lo"), F.col("_phi").alias("_hi"), (F.col("_local") - F.col("_first")).alias("_local")
+        )
+        ranks = materialize(deeper, "ranks")
+    values = done[0]
+    for more in done[1:]:
+        values = values.unionByName(more)
     share = F.col("_position") - F.floor("_position")
-    ends = picked.groupBy(group, "n", "q", "_position").agg(low.alias("_low"), high.alias("_high"))
-    return ends.select(group, "n", "q", (F.col("_low") + (F.col("_high") - F.col("_low")) * share).alias("quantile"))
+    ends = values.groupBy("_g", "n", "q", "_position").agg(F.min("_found").alias("_low"), F.max("_found").alias("_high"))
+    quantile = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(F.col("_low") + (F.col("_high") - F.col("_low")) * share)
+    return ends.select(F.col("_g").alias(group), "n", "q", quantile.alias("quantile"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlab.functions.ranking import argmax_class
-from flowlab.operators.average_precision import average_precision, macro_auprc, one_vs_rest, rare_auprc
+from flowlab.operators.average_precision import average_precision, macro_auprc, rare_auprc
 from flowlab.operators.metrics import (
     OFFICIAL_TEST,
     confusion,
@@ -50,9 +50,7 @@ def evaluate_scored(
     areas = {"rare_mean_auprc": None, "macro_auprc": None}
     if official and (all_classes or rare):
         ap, _ = pin(
-            average_precision(
-                one_vs_rest(scored, classes, probs=probs, truth=label, only=None if all_classes else rare)
-            )
+            average_precision(scored, classes, probs=probs, truth=label, only=None if all_classes else rare)
         )
         areas["rare_mean_auprc"] = rare_auprc(ap, rare).first()[0]
         areas["macro_auprc"] = macro_auprc(ap).first()[0] if all_classes else None
