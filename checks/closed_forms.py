@@ -126,6 +126,24 @@ def closed_shuffled(spark, sf):
     return _by_value(_one_step(permuted), lines.select("value", "still", "label"))
 
 
+#: Early stopping whose best round is known: one in three orders is held out, and a sixth of its lines have a class of
+#: their own, so that after some rounds closer margins cost more there than they gain.
+STOPPING = dict(maxIter=24, stepSize=0.1, maxDepth=7, minInstancesPerNode=1)
+PATIENCE = 3
+_HELD = "l_orderkey % 3 = 0"
+_KIND = f"""concat('k', CASE WHEN {_HELD} AND l_partkey % 6 = 0 OR (l_orderkey * 7 + l_partkey) % 5 = 0
+    THEN 1 + l_suppkey % 3 ELSE 1 + l_linenumber % 3 END)"""
+
+
+def closed_stopping(spark, sf):
+    """Log loss over the held-out lines by round, and whether the model keeps the round."""
+    lines = load(spark, sf, "lineitem").selectExpr("CAST(l_linenumber AS DOUBLE) AS value", f"{_KIND} AS label", f"{_HELD} AS held")
+    model = training.fit_boosted(lines.where("NOT held"), lines.where("held"), features=["value"], preset=STOPPING, patience=PATIENCE)
+    kept = [m.getNumTrees for m in model.per_class]
+    rows = [(k + 1, round(x, 6), all(k < n for n in kept)) for k, x in enumerate(model.losses)]
+    return spark.createDataFrame(rows, "round int, loss double, kept boolean")
+
+
 def _holed(spark, sf):
     """Flows whose first three features have nulls, NaN and infinities."""
     a, b, c = (F.col(f"`{x}`") for x in FEATURES[:3])
@@ -236,6 +254,25 @@ def _sql_shuffled() -> str:
         SELECT value, class, round(m / sum(m) OVER (PARTITION BY value), 6) AS p FROM m"""
 
 
+def _sql_stopping() -> str:
+    """Margins follow a recurrence of the classes' shares; rounds are fitted 6, 12, 24 at a time until boosting stops."""
+    return f"""WITH RECURSIVE lines AS (SELECT l_linenumber AS value, {_KIND} AS label, {_HELD} AS held FROM lineitem),
+        n AS (SELECT value, label, count(*) AS n FROM lines WHERE NOT held GROUP BY ALL),
+        q AS (SELECT v.value, c.label, coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY v.value) AS q
+              FROM (SELECT DISTINCT value FROM n) v CROSS JOIN (SELECT DISTINCT label FROM n) c LEFT JOIN n USING (value, label)),
+        m(k, value, label, q, f) AS (
+          SELECT 1, value, label, q, 2 * q - 1 FROM q
+          UNION ALL SELECT k + 1, value, label, q, f + {STOPPING['stepSize']} * 4 * (q - 1 / (1 + exp(-2 * f))) FROM m
+          WHERE k < {STOPPING['maxIter']}),
+        p AS (SELECT k, value, label, 1 / (1 + exp(-2 * f)) AS s, sum(1 / (1 + exp(-2 * f))) OVER (PARTITION BY k, value) AS total FROM m),
+        x AS (SELECT k, -avg(ln(s / total)) AS loss FROM lines JOIN p USING (value, label) WHERE held GROUP BY k),
+        b AS (SELECT min(k) AS best FROM (SELECT k, loss, min(loss) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND {PATIENCE} FOLLOWING) AS low FROM x)
+              WHERE loss = low),
+        r AS (SELECT best, CASE WHEN best + {PATIENCE} <= {2 * PATIENCE} THEN {2 * PATIENCE} WHEN best + {PATIENCE} <= {4 * PATIENCE} THEN {4 * PATIENCE}
+              ELSE {STOPPING['maxIter']} END AS fitted FROM b)
+        SELECT k AS round, round(loss, 6) AS loss, k <= best AS kept FROM x, r WHERE k <= fitted"""
+
+
 _FREQUENCY = _sql("CAST(n AS DOUBLE)", 6)
 
 QUERIES = {
@@ -250,6 +287,7 @@ QUERIES = {
     "closed_two_level": (closed_two_level, _sql_two_level()),
     "closed_sweep": (closed_sweep, _sql_sweep()),
     "closed_shuffled": (closed_shuffled, _sql_shuffled()),
+    "closed_stopping": (closed_stopping, _sql_stopping()),
     "filled_features": (filled_features, _sql_filled()),
     "holed_model_rows": (holed_model_rows, _sql_rows()),
 }

@@ -45,6 +45,8 @@ class FlatModel:
     features: list[str]
     pipeline: PipelineModel
     per_class: list[GBTClassificationModel] = field(default_factory=list)
+    #: Validation log loss after each round of an early-stopped fit; not saved.
+    losses: list[float] = field(default_factory=list)
 
     def vectors(self, df: DataFrame) -> DataFrame:
         """The feature columns in order as doubles, assembled by the pipeline; other columns pass through."""

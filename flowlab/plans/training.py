@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from flowlab.operators.sampling import permute_labels
 from flowlab.operators.support import balanced, class_table, mapped
 from flowlab.plans.missing import assembling_stages
 from flowlab.plans.models import FlatModel
+from flowlab.plans.stopping import PATIENCE, best_round, first_rounds, staged_log_loss
 from flowlab.schema import FEATURES, LABEL, conform, labelled, quoted
 from flowlab.session import materialize
 
@@ -126,14 +127,16 @@ def fit_boosted(
     preset: Mapping | None = None,
     max_iter: int | None = None,
     weights: Mapping[str, float] | None = None,
-    validation_tol: float = 0.001,
+    patience: int = PATIENCE,
     seed: int = 42,
 ) -> FlatModel:
     """Boosted trees, one binary model per class, stopped early on ``val`` when it is given.
 
-    Without a preset the default settings apply, with balanced weights. Spark stops on the validation gain falling under
-    ``validation_tol``. Spark has no leaf limit: a preset's ``leaves`` caps the depth at their binary logarithm, rounded
-    up. The class models are independent jobs, a few at a time.
+    Without a preset the default settings apply, with balanced weights. With ``val`` boosting ends when the joint log loss
+    over it has not fallen for ``patience`` rounds, and the model is that of the best round. The first fit has twice as many
+    rounds as ``patience``; where it does not stop, the next has twice as many, up to ``maxIter``: a fit of more rounds
+    begins with the same trees, so this costs at most as much again as the last fit. Spark has no leaf limit: a preset's
+    ``leaves`` caps the depth at their binary logarithm, rounded up. The class models are independent jobs, a few at a time.
     """
     table = class_table(train, label)
     classes = [c for c, _ in table]
@@ -152,7 +155,9 @@ def fit_boosted(
         data = data.unionByName(held.withColumn("_val", F.lit(True)))
     rows = materialize(pipeline.transform(data).select("_features", "_y", "_w", "_val"), "boosting")
 
-    def fit_class(index: int):
+    most = settings.pop("maxIter")
+
+    def fit_class(index: int, rounds: int) -> GBTClassificationModel:
         booster = GBTClassifier(
             featuresCol="_features",
             labelCol="_target",
@@ -160,15 +165,26 @@ def fit_boosted(
             seed=seed,
             maxBins=settings.get("maxBins", DEFAULT_BINS),
             featureSubsetStrategy=str(columns) if columns else "all",
+            maxIter=rounds,
             **{k: v for k, v in settings.items() if k != "maxBins"},
         )
-        if val is not None:
-            booster = booster.setParams(validationIndicatorCol="_val", validationTol=validation_tol)
-        return booster.fit(rows.withColumn("_target", (F.col("_y") == index).cast("double")))
+        return booster.fit(fitting.withColumn("_target", (F.col("_y") == index).cast("double")))
+
+    def fit_all(rounds: int) -> list[GBTClassificationModel]:
+        with ThreadPoolExecutor(FIT_THREADS) as pool:
+            return list(pool.map(lambda index: fit_class(index, rounds), range(len(classes))))
 
-    with ThreadPoolExecutor(FIT_THREADS) as pool:
-        models = list(pool.map(fit_class, range(len(classes))))
-    return FlatModel(classes, list(features), pipeline, models)
+    fitting, held = rows.where("NOT _val"), rows.where("_val")
+    if val is None or held.isEmpty():
+        return FlatModel(classes, list(features), pipeline, fit_all(most))
+    rounds = min(most, 2 * patience)
+    while True:
+        models = fit_all(rounds)
+        losses = staged_log_loss(held, models)
+        kept, stopped = best_round(losses, patience)
+        if stopped or rounds == most:
+            return FlatModel(classes, list(features), pipeline, [first_rounds(m, kept) for m in models], losses)
+        rounds = min(most, 2 * rounds)
 
 
 def split_confusion(
