@@ -53,7 +53,7 @@ def document_words(doc_id: int | None, text: str) -> Counter:
 
 
 def _spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
+    held: dict[str, int] = {}
     points = 0
 
     def given() -> pa.RecordBatch:
@@ -61,9 +61,12 @@ def _spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            words = document_words(doc_id, text.as_py() or "")
-            points += sum(map(len, words.keys() - held.keys()))
-            held.update(words)
+            for word, n in document_words(doc_id, text.as_py() or "").items():
+                if word in held:
+                    held[word] += n
+                else:
+                    held[word] = n
+                    points += len(word)
             if len(held) > HELD_WORDS or points > HELD_POINTS:
                 yield given()
                 held.clear()
