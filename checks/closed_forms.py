@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.learning import SQL_LABEL, flows
-from checks.tables import load, rounded
+from checks.tables import load, rounded, sql_per_class
 from flowlab.operators.sampling import permute_labels
 from flowlab.plans import hierarchical, missing, models, training
 from flowlab.schema import FEATURES, TAXONOMY
@@ -113,6 +113,38 @@ def closed_two_level(spark, sf):
     return rounded(kept, "family_confidence", "subtype_confidence", "confidence")
 
 
+#: A quarter of the orders is the official test split, another the validation split.
+_SPLIT = "CASE l_orderkey % 4 WHEN 0 THEN 'OFFICIAL TEST' WHEN 1 THEN 'VAL' ELSE 'TRAIN' END"
+
+
+def _two_level_job(spark, sf):
+    """The two-level model fitted, saved and evaluated end to end; rare: at most a seventh of the test lines."""
+    lines = materialize(_named(spark, sf).withColumn("split", F.expr(_SPLIT)), "named")
+    train, val, test = (lines.where(F.col("split") == name).drop("split") for name in ("TRAIN", "VAL", "OFFICIAL TEST"))
+    candidates = {"parity": _family_tree("odd"), "number": _family_tree("value")}
+    job = hierarchical.two_level_job(
+        train, val, test, key_columns=["l_orderkey", "l_linenumber"], max_per_family=2**40, family_candidates=candidates,
+        features=["value", "odd", "still"], subtype_fit=_one_step, rare_support_threshold=test.count() // 7, path=fresh_path(spark, "job"),
+    )
+    return job.evaluation
+
+
+def two_level_evaluation(spark, sf):
+    """Six evaluations of one scoring pass: the family on all splits, the class on two, and where the family is right."""
+    rows = _two_level_job(spark, sf).rows.withColumn("rare_classes", F.concat_ws(",", "rare_classes"))
+    return rounded(rows, *[c for c, t in rows.dtypes if t == "double"])
+
+
+def two_level_reports(spark, sf):
+    """The per-class reports of family and class on the test split."""
+    return rounded(_two_level_job(spark, sf).reports, "precision", "recall", "f1")
+
+
+def two_level_confidences(spark, sf):
+    rows = _two_level_job(spark, sf).confidences
+    return rounded(rows, "mean_family_confidence", "mean_subtype_confidence")
+
+
 def closed_sweep(spark, sf):
     """Two family trees compared on all lines: the better comes first."""
     table = _two_level(spark, sf)[1].table
@@ -225,6 +257,51 @@ def _sql_two_level() -> str:
           round(fc * sc, 6) AS confidence FROM p WHERE r = 1"""
 
 
+def _sql_job(final: str) -> str:
+    """What each line number is told, from the training lines; then all truths and predictions by level and split."""
+    lines = _NAMED.replace(" FROM lineitem)", f", {_SPLIT} AS split FROM lineitem)")
+    rare = "split = 'OFFICIAL TEST' AND support > 0 AND support <= (SELECT count(*) // 7 FROM t WHERE split = 'OFFICIAL TEST')"
+    return f"""WITH {lines},
+        n AS (SELECT value, family, label, count(*) AS n FROM t WHERE split = 'TRAIN' GROUP BY 1, 2, 3),
+        f AS (SELECT value, family, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY value) AS of_value,
+                row_number() OVER (PARTITION BY value ORDER BY sum(n) DESC) AS place FROM n GROUP BY 1, 2),
+        s AS (SELECT value, family, label, n, row_number() OVER (PARTITION BY value, family ORDER BY n DESC) AS r FROM n),
+        j AS (SELECT f.value, f.family AS decided, s.label AS class, f.n / f.of_value AS fc,
+                CASE WHEN f.family = 'Benign' THEN 1 ELSE 1 / (1 + exp(-2 * (2.0 * s.n / f.n - 1))) END AS sc
+              FROM f JOIN s ON s.value = f.value AND s.family = f.family AND s.r = 1 WHERE place <= 2),
+        d AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY value ORDER BY fc * sc DESC) = 1),
+        w AS (SELECT t.split, t.label, t.family, f.family AS said, decided, class, fc, sc
+              FROM t JOIN f ON f.value = t.value AND place = 1 JOIN d ON d.value = t.value),
+        c AS (SELECT 'family' AS level, split, family AS y_true, said AS y_pred FROM w
+              UNION ALL SELECT 'decided family', split, family, decided FROM w
+              UNION ALL SELECT 'subtype', split, label, class FROM w
+              UNION ALL SELECT 'subtype, family correct', split, label, class FROM w WHERE family = decided),
+        cm AS (SELECT level, split, y_true, y_pred, count(*) AS n FROM c GROUP BY ALL),
+        {sql_per_class('cm', ['level', 'split'])},
+        ev AS (SELECT level, split, round(sum(tp) / sum(support), 6) AS accuracy, round(avg(precision), 6) AS macro_precision,
+                 round(avg(f1), 6) AS macro_f1, round(sum(f1 * support) / sum(support), 6) AS weighted_f1,
+                 round(avg(precision) FILTER ({rare}), 6) AS rare_mean_precision, round(avg(recall) FILTER ({rare}), 6) AS rare_mean_recall,
+                 round(avg(f1) FILTER ({rare}), 6) AS rare_mean_f1,
+                 coalesce(string_agg(label, ',' ORDER BY label) FILTER ({rare}), '') AS rare_classes FROM pc GROUP BY 1, 2)
+        {final}"""
+
+
+_JOB_ROWS = """SELECT * FROM ev WHERE level = 'family' OR level = 'subtype' AND split <> 'TRAIN'
+    OR level = 'subtype, family correct' AND split = 'OFFICIAL TEST'"""
+_JOB_REPORTS = """, o AS (SELECT * FROM pc WHERE split = 'OFFICIAL TEST' AND level IN ('decided family', 'subtype')),
+    a AS (SELECT level, split, sum(tp) / sum(support) AS acc, CAST(sum(support) AS BIGINT) AS n, avg(precision) AS mp, avg(recall) AS mr,
+            avg(f1) AS mf, sum(precision * support) / sum(support) AS wp, sum(recall * support) / sum(support) AS wr,
+            sum(f1 * support) / sum(support) AS wf FROM o GROUP BY 1, 2),
+    lines AS (SELECT level, split, 0 AS section, label, precision, recall, f1, support FROM o
+      UNION ALL SELECT level, split, 1, 'accuracy', acc, acc, acc, n FROM a
+      UNION ALL SELECT level, split, 2, 'macro avg', mp, mr, mf, n FROM a
+      UNION ALL SELECT level, split, 3, 'weighted avg', wp, wr, wf, n FROM a)
+    SELECT level, split, CAST(section AS INTEGER) AS section, label, round(precision, 6) AS precision, round(recall, 6) AS recall,
+      round(f1, 6) AS f1, support FROM lines"""
+_JOB_CONFIDENCES = """SELECT split, round(avg(fc), 6) AS mean_family_confidence, round(avg(sc), 6) AS mean_subtype_confidence
+    FROM w GROUP BY 1"""
+
+
 def _sql_sweep() -> str:
     def f1(by: str) -> str:
         return f"""(SELECT avg(2.0 * tp / (truth + predicted)) FROM (
@@ -285,6 +362,9 @@ QUERIES = {
     "closed_boosted": (closed_boosted, _sql("1 / (1 + exp(-2 * (2.0 * n / of_value - 1)))", 6)),
     "closed_logreg": (closed_logreg, _sql("CAST(n AS DOUBLE) / total", 2)),
     "closed_two_level": (closed_two_level, _sql_two_level()),
+    "two_level_evaluation": (two_level_evaluation, _sql_job(_JOB_ROWS)),
+    "two_level_reports": (two_level_reports, _sql_job(_JOB_REPORTS)),
+    "two_level_confidences": (two_level_confidences, _sql_job(_JOB_CONFIDENCES)),
     "closed_sweep": (closed_sweep, _sql_sweep()),
     "closed_shuffled": (closed_shuffled, _sql_shuffled()),
     "closed_stopping": (closed_stopping, _sql_stopping()),

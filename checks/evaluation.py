@@ -12,7 +12,9 @@ from checks.tables import (
     EVENT_CLASSES,
     SQL_DOCS,
     SQL_EVENTS,
+    frequency_table,
     load,
+    positioned,
     rounded,
     scored_documents,
     scored_events,
@@ -24,7 +26,9 @@ from flowlab.functions.ranking import argmax_class
 from flowlab.operators import average_precision as ap
 from flowlab.operators import metrics, reports, sampling
 from flowlab.operators.quantiles import grouped_quantiles
-from flowlab.plans.evaluation import evaluate_scored
+from flowlab.operators.support import class_support, rare_labels
+from flowlab.plans.evaluation import evaluate_scored, evaluate_stacked
+from flowlab.session import materialize
 
 
 def _document_confusion(spark, sf):
@@ -98,7 +102,7 @@ def macro_auprc(spark, sf):
 
 def rare_auprc(spark, sf):
     scored = scored_documents(spark, sf)
-    rare = ["de-1", "es-1", "fr-1"]
+    rare = [r[0] for r in rare_labels(class_support(scored), DOC_RARE_SUPPORT).collect()]
     table = ap.average_precision(scored, DOC_CLASSES, only=rare)
     return rounded(ap.rare_auprc(table, rare), "rare_mean_auprc")
 
@@ -163,7 +167,7 @@ def _candidate_confusion(spark, sf):
 def selection_score(spark, sf):
     keys = ["candidate", "candidate_idx", "split"]
     scores = metrics.summary_metrics(metrics.per_class(_candidate_confusion(spark, sf), keys), keys)
-    table = reports.tuning_table(scores, order="candidate_idx")
+    table = positioned(reports.tuning_table(scores, order="candidate_idx"))
     return rounded(table, "train_macro_f1", "val_macro_f1", "gap", "score")
 
 
@@ -171,16 +175,39 @@ def best_candidate(spark, sf):
     return reports.best_candidate(selection_score(spark, sf), order="candidate_idx").select("candidate", "score")
 
 
+def _stacked(spark, sf):
+    """Every candidate's shares of the training rows' classes as its probabilities, side by side on all splits; a bucket
+    that training rows do not have gets zeros. Rare: a test support below the mean."""
+    names = [F.expr(sql).alias(name) for name, sql in CANDIDATES.items()]
+    rows = materialize(_splits(spark, sf).select("split", F.col("event_type").alias("label"), *names), "splits")
+    train, scored = rows.where("split = 'TRAIN'"), rows
+    for name in CANDIDATES:
+        table = frequency_table(train, name, "label", EVENT_CLASSES, out=f"p_{name}")
+        scored = scored.join(F.broadcast(table), name, "left")  # at most 24 x 21 buckets
+    nothing = F.array(*[F.lit(0.0) for _ in EVENT_CLASSES])
+    columns = {name: f"p_{name}" for name in CANDIDATES}
+    scored = scored.withColumns({c: F.coalesce(c, nothing) for c in columns.values()})
+    threshold = rows.where("split = 'OFFICIAL TEST'").count() // len(EVENT_CLASSES)
+    return evaluate_stacked(
+        scored, columns, dict.fromkeys(CANDIDATES, EVENT_CLASSES), rare_support_threshold=threshold, all_classes=True
+    )
+
+
+def stacked_evaluation(spark, sf):
+    """Three candidates on three splits in one pass, with rare and macro average precision of each on the test split."""
+    rows = _stacked(spark, sf).rows.withColumn("rare_classes", F.concat_ws(",", "rare_classes"))
+    return rounded(rows, *[c for c, t in rows.dtypes if t == "double"])
+
+
+def stacked_reports(spark, sf):
+    """Per-class reports of every candidate on every split."""
+    return rounded(_stacked(spark, sf).reports, "precision", "recall", "f1")
+
+
 def model_summary(spark, sf):
-    """Per model: macro F1 by split, gaps, and rare metrics on the test split (rare: support below the mean)."""
-    keys = ["candidate", "split"]
-    classes = metrics.per_class(_candidate_confusion(spark, sf), keys)
-    mean = F.avg(F.when(F.col("support") > 0, F.col("support"))).over(Window.partitionBy(*keys))
-    marked = classes.withColumn("is_rare", (F.col("support") > 0) & (F.col("support") < mean))
-    rare = metrics.rare_metrics(marked, F.col("is_rare"), keys)
-    rows = metrics.summary_metrics(classes, keys).join(rare, keys).withColumnRenamed("candidate", "model")
-    summary = reports.model_summary(rows.withColumn("rare_mean_auprc", F.lit(None).cast("double")))
-    return rounded(summary, *[c for c, t in summary.dtypes if t == "double"])
+    """Per model: macro F1 by split, gaps, and rare metrics and average precision on the test split."""
+    summary = reports.model_summary(_stacked(spark, sf).rows)
+    return rounded(positioned(summary), *[c for c, t in summary.dtypes if t == "double"])
 
 
 _CM = f"""WITH {SQL_DOCS},{sql_wide(2)}, cm AS (SELECT truth AS y_true, ac AS y_pred, count(*) AS n FROM w GROUP BY 1, 2)"""
@@ -230,7 +257,57 @@ _CAND_SQL = f"""
     tab AS (SELECT candidate, candidate_idx, round(t, 6) AS train_macro_f1, round(v, 6) AS val_macro_f1,
                    round(t - v, 6) AS gap, round(v - 0.75 * greatest(0, t - v), 6) AS score FROM wide)"""
 
+# Shares per (candidate, bucket) of the training rows, what each candidate says, and its scores of every class on the test.
+_STACKED = f"""{_CAND_SQL.split("    learned AS")[0].rstrip().rstrip(",")},
+    cls(idx, c) AS (SELECT * FROM {sql_values(EVENT_CLASSES)} v(idx, c)),
+    cell AS (SELECT candidate, split, bucket, event_type, count(*) AS n FROM cd GROUP BY ALL),
+    sw AS (SELECT candidate, bucket, idx, c, CAST(sum(CASE WHEN event_type = c THEN n ELSE 0 END) AS DOUBLE) AS n
+           FROM cell CROSS JOIN cls WHERE split = 'TRAIN' GROUP BY ALL),
+    pw AS (SELECT *, (n*n)*(n*n)*(n*n)*(n*n) AS x FROM sw),
+    sh AS (SELECT candidate, bucket, idx, c, coalesce(round(x / nullif(sum(x) OVER (PARTITION BY candidate, bucket), 0), 6), 0.0) AS p FROM pw),
+    sc AS (SELECT k.candidate, k.bucket, cls.idx, cls.c, coalesce(p, 0.0) AS p
+           FROM (SELECT DISTINCT candidate, bucket FROM cell) k CROSS JOIN cls LEFT JOIN sh ON sh.candidate = k.candidate
+           AND sh.bucket = k.bucket AND sh.idx = cls.idx),
+    sd AS (SELECT candidate, bucket, c AS y_pred FROM sc
+           QUALIFY row_number() OVER (PARTITION BY candidate, bucket ORDER BY p DESC, idx) = 1),
+    cm AS (SELECT candidate AS model, split, event_type AS y_true, y_pred, sum(n) AS n FROM cell JOIN sd USING (candidate, bucket) GROUP BY ALL),
+    {sql_per_class('cm', ['model', 'split'])},
+    lim AS (SELECT count(*) // {len(EVENT_CLASSES)} AS t FROM sp WHERE split = 'OFFICIAL TEST'),
+    g AS (SELECT cell.candidate AS model, c AS class, p AS score, sum(CASE WHEN event_type = c THEN n ELSE 0 END) AS positives, sum(n) AS rows
+          FROM cell JOIN sc USING (candidate, bucket) WHERE split = 'OFFICIAL TEST' GROUP BY ALL),
+    run AS (SELECT *, sum(positives) OVER (PARTITION BY model, class ORDER BY score DESC) AS tp,
+                   sum(rows) OVER (PARTITION BY model, class ORDER BY score DESC) AS seen,
+                   sum(positives) OVER (PARTITION BY model, class) AS np FROM g),
+    apc AS (SELECT model, class, coalesce(sum(positives / nullif(np, 0) * (tp / seen)), 0.0) AS ap FROM run GROUP BY 1, 2),
+    ra AS (SELECT pc.model, avg(precision) AS rp, avg(recall) AS rr, avg(f1) AS rf, avg(ap) AS ra, string_agg(label, ',' ORDER BY label) AS rc
+           FROM pc JOIN apc ON apc.model = pc.model AND apc.class = pc.label, lim
+           WHERE split = 'OFFICIAL TEST' AND support > 0 AND support <= t GROUP BY 1),
+    ma AS (SELECT model, avg(ap) AS m FROM apc GROUP BY 1),
+    ev AS (SELECT pc.model, split, sum(tp) / sum(support) AS accuracy, avg(precision) AS macro_precision, avg(f1) AS macro_f1,
+             sum(f1 * support) / sum(support) AS weighted_f1 FROM pc GROUP BY 1, 2)"""
+
 QUERIES = {
+    "stacked_evaluation": (
+        stacked_evaluation,
+        f"""{_STACKED} SELECT model, split, round(accuracy, 6) AS accuracy, round(macro_precision, 6) AS macro_precision,
+            round(macro_f1, 6) AS macro_f1, round(weighted_f1, 6) AS weighted_f1, round(rp, 6) AS rare_mean_precision,
+            round(rr, 6) AS rare_mean_recall, round(rf, 6) AS rare_mean_f1, round(ra, 6) AS rare_mean_auprc,
+            round(m, 6) AS macro_auprc, coalesce(rc, '') AS rare_classes
+            FROM ev LEFT JOIN (SELECT *, 'OFFICIAL TEST' AS split FROM ra) USING (model, split)
+            LEFT JOIN (SELECT *, 'OFFICIAL TEST' AS split FROM ma) USING (model, split)""",
+    ),
+    "stacked_reports": (
+        stacked_reports,
+        f"""{_STACKED}, a AS (SELECT model, split, sum(tp) / sum(support) AS acc, CAST(sum(support) AS BIGINT) AS n, avg(precision) AS mp,
+              avg(recall) AS mr, avg(f1) AS mf, sum(precision * support) / sum(support) AS wp,
+              sum(recall * support) / sum(support) AS wr, sum(f1 * support) / sum(support) AS wf FROM pc GROUP BY 1, 2),
+            lines AS (SELECT model, split, 0 AS section, label, precision, recall, f1, support FROM pc
+              UNION ALL SELECT model, split, 1, 'accuracy', acc, acc, acc, n FROM a
+              UNION ALL SELECT model, split, 2, 'macro avg', mp, mr, mf, n FROM a
+              UNION ALL SELECT model, split, 3, 'weighted avg', wp, wr, wf, n FROM a)
+            SELECT model, split, CAST(section AS INTEGER) AS section, label, round(precision, 6) AS precision,
+              round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM lines""",
+    ),
     "confusion": (confusion, f"{_CM} SELECT * FROM cm"),
     "per_class_metrics": (
         per_class_metrics,
@@ -290,8 +367,8 @@ QUERIES = {
     "macro_auprc": (macro_auprc, f"WITH {SQL_DOCS},{sql_ap()} SELECT round(avg(ap), 6) AS macro_auprc FROM apc"),
     "rare_auprc": (
         rare_auprc,
-        f"""WITH {SQL_DOCS},{sql_ap("c IN ('de-1', 'es-1', 'fr-1')")}
-            SELECT round(avg(ap), 6) AS rare_mean_auprc FROM apc""",
+        f"""WITH {SQL_DOCS},{sql_ap()}
+            SELECT round(avg(ap), 6) AS rare_mean_auprc FROM apc WHERE positives BETWEEN 1 AND {DOC_RARE_SUPPORT}""",
     ),
     "evaluate_scored": (
         evaluate_scored_documents,
@@ -313,7 +390,8 @@ QUERIES = {
     ),
     "selection_score": (
         selection_score,
-        f"{_CAND_SQL} SELECT * REPLACE (CAST(candidate_idx AS INTEGER) AS candidate_idx) FROM tab",
+        f"""{_CAND_SQL} SELECT CAST(row_number() OVER (ORDER BY v - 0.75 * greatest(0, t - v) DESC, tab.candidate_idx) AS INTEGER) AS position,
+            tab.* REPLACE (CAST(tab.candidate_idx AS INTEGER) AS candidate_idx) FROM tab JOIN wide USING (candidate)""",
     ),
     "best_candidate": (
         best_candidate,
@@ -321,13 +399,13 @@ QUERIES = {
     ),
     "model_summary": (
         model_summary,
-        f"""{_CAND_SQL}, mk AS (SELECT *, avg(support) FILTER (support > 0) OVER (PARTITION BY candidate, split) AS m FROM pc),
-            rr AS (SELECT candidate, avg(precision) FILTER (support > 0 AND support < m) AS rp,
-                     avg(recall) FILTER (support > 0 AND support < m) AS rc FROM mk WHERE split = 'OFFICIAL TEST' GROUP BY 1)
-            SELECT candidate AS model, round(t, 6) AS train_macro_f1, round(v, 6) AS val_macro_f1,
-              round(o, 6) AS test_macro_f1, round(t - v, 6) AS train_val_gap, round(v - o, 6) AS val_test_gap,
-              round(rp, 6) AS rare_precision, round(rc, 6) AS rare_recall, CAST(NULL AS DOUBLE) AS rare_auprc
-            FROM wide JOIN rr USING (candidate)""",
+        f"""{_STACKED}, w AS (SELECT model, max(CASE WHEN split = 'TRAIN' THEN macro_f1 END) AS t,
+              max(CASE WHEN split = 'VAL' THEN macro_f1 END) AS v, max(CASE WHEN split = 'OFFICIAL TEST' THEN macro_f1 END) AS o
+              FROM ev GROUP BY 1)
+            SELECT CAST(row_number() OVER (ORDER BY model) AS INTEGER) AS position, model, round(t, 6) AS train_macro_f1,
+              round(v, 6) AS val_macro_f1, round(o, 6) AS test_macro_f1, round(t - v, 6) AS train_val_gap,
+              round(v - o, 6) AS val_test_gap, round(rp, 6) AS rare_precision, round(rr, 6) AS rare_recall,
+              round(ra, 6) AS rare_auprc FROM w LEFT JOIN ra USING (model)""",
     ),
     "family_correct_metrics": (
         family_correct_metrics,

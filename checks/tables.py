@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 EVENT_CLASSES = ["click", "error", "purchase", "signup", "view"]
 EVENT_FAMILIES = {"Browse": ["click", "view"], "Convert": ["purchase", "signup"], "Fault": ["error"]}
@@ -161,5 +162,12 @@ def sql_in(names: Sequence[str]) -> str:
     return "(" + ", ".join(f"'{x}'" for x in names) + ")"
 
 
+def positioned(table: DataFrame) -> DataFrame:
+    """A short ordered report with each row's place in it, from 1."""
+    rows = table.collect()  # a row per label or candidate
+    schema = StructType([StructField("position", IntegerType()), *table.schema.fields])
+    return table.sparkSession.createDataFrame([(i, *row) for i, row in enumerate(rows, 1)], schema)
+
+
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})

@@ -8,6 +8,7 @@ from checks.tables import (
     EVENT_BENIGN,
     EVENT_CLASSES,
     SQL_EVENTS,
+    positioned,
     rounded,
     scored_events,
     sql_per_class,
@@ -49,7 +50,7 @@ def candidate_scores(spark, sf):
 
 def rare_label_order(spark, sf):
     scored = scored_events(spark, sf)
-    return rounded(tuning.rare_label_order(_tops(scored), event_rare(scored)), "precision", "recall")
+    return rounded(positioned(tuning.rare_label_order(_tops(scored), event_rare(scored))), "precision", "recall")
 
 
 def _tuned(scored, hard_only):
@@ -60,11 +61,11 @@ def _tuned(scored, hard_only):
 
 
 def tune_thresholds(spark, sf):
-    return rounded(_tuned(scored_events(spark, sf), False), "precision", "recall", "f05")
+    return rounded(positioned(_tuned(scored_events(spark, sf), False)), "precision", "recall", "f05")
 
 
 def tune_thresholds_hard(spark, sf):
-    return rounded(_tuned(scored_events(spark, sf), True), "precision", "recall", "f05")
+    return rounded(positioned(_tuned(scored_events(spark, sf), True)), "precision", "recall", "f05")
 
 
 def _experiment(spark, sf, abstain):
@@ -169,7 +170,8 @@ _HARD = """(truth IN (SELECT label FROM hr) OR ac IN (SELECT label FROM hr) OR c
 _HR = """hsup AS (SELECT truth AS label, count(*) AS n FROM w GROUP BY 1),
     hr AS (SELECT label FROM hsup WHERE n < (SELECT avg(n) FROM hsup))"""
 _BASE = f"WITH {SQL_EVENTS},{sql_wide(5)},"
-_TH = "SELECT label, threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f05, 6) AS f05 FROM th"
+_TH = """SELECT CAST(row_number() OVER (ORDER BY threshold DESC, label) AS INTEGER) AS position, label, threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f05, 6) AS f05
+    FROM th"""
 
 _EXP_BASE = f"""{_BASE} {_HR},
     o AS (SELECT event_id, row_number() OVER (ORDER BY md5(concat_ws('|', '3', event_id))) AS rn, count(*) OVER () AS n
@@ -243,7 +245,8 @@ QUERIES = {
         rare_label_order,
         f"""{_BASE} {_HR}, s AS (SELECT truth AS label, count(*) AS n, count(*) FILTER (ac = truth) AS tp FROM w GROUP BY 1),
             p AS (SELECT ac AS label, count(*) AS k FROM w GROUP BY 1)
-            SELECT label, round(coalesce(tp / nullif(k, 0), 0), 6) AS precision, round(tp / n, 6) AS recall
+            SELECT CAST(row_number() OVER (ORDER BY coalesce(tp / nullif(k, 0), 0), tp / n DESC, label) AS INTEGER) AS position, label,
+              round(coalesce(tp / nullif(k, 0), 0), 6) AS precision, round(tp / n, 6) AS recall
             FROM s LEFT JOIN p USING (label) WHERE label IN (SELECT label FROM hr)""",
     ),
     "tune_thresholds": (tune_thresholds, f"{_BASE}{sql_tuning('w')} {_TH}"),

@@ -13,7 +13,7 @@ from flowlab.operators.reports import model_summary, tuning_table
 from flowlab.operators.sampling import balanced_sample, split_train_val
 from flowlab.operators.small import pin
 from flowlab.operators.support import class_support, rare_labels
-from flowlab.plans.evaluation import evaluate_scored
+from flowlab.plans.evaluation import evaluate_stacked, side_by_side, union_of
 from flowlab.plans.experiment import Experiment, tuning_experiment
 from flowlab.plans.models import FlatModel
 from flowlab.plans.training import Fit, shuffled_label_check
@@ -67,10 +67,11 @@ def prepare_training_data(
 
 @dataclass
 class Comparison:
-    """Fitted models, one evaluation row per (model, split), and the tables derived from them."""
+    """Fitted models, one evaluation row and one per-class report per (model, split), and the tables derived from them."""
 
     models: dict[str, FlatModel]
     evaluations: DataFrame
+    reports: DataFrame
     summary: DataFrame
     choice: DataFrame
     audit: DataFrame
@@ -90,7 +91,8 @@ def compare_models(
     seed: int = 42,
     **sampling,
 ) -> Comparison:
-    """Train every model on the same rows and evaluate it on TRAIN, VAL and the untouched OFFICIAL TEST.
+    """Train every model on the same rows and evaluate all of them, in one scoring pass, on TRAIN, VAL and the untouched
+    OFFICIAL TEST.
 
     ``choice`` ranks the models by validation macro F1 less the overfit penalty; the test split plays no part in it.
     """
@@ -99,34 +101,24 @@ def compare_models(
     )
     held_out = conform(test, features, label=label)
     splits = {"TRAIN": data.train, "VAL": data.val, "OFFICIAL TEST": held_out}
-    models: dict[str, FlatModel] = {}
-    rows: DataFrame | None = None
+    models = {name: fit(data.train, data.val) for name, fit in fits.items()}
+    rows = union_of({split: conform(table, features, label=label) for split, table in splits.items()})
+    scored, columns = side_by_side(models, rows)
+    found = evaluate_stacked(
+        scored, columns, {name: m.classes for name, m in models.items()}, label=label, rare_support_threshold=rare_support_threshold
+    )
     shuffled: dict[str, DataFrame] = {}
-    for name, fit in fits.items():
-        models[name] = fit(data.train, data.val)
-        for split, table in splits.items():
-            scored = models[name].score(conform(table, features, label=label)).select(quoted(label), "probs")
-            row = evaluate_scored(
-                scored,
-                models[name].classes,
-                label=label,
-                split=split,
-                name=name,
-                rare_support_threshold=rare_support_threshold,
-            )
-            rows = row if rows is None else rows.unionByName(row)
-        if check_shuffled:
-            shuffled[name] = shuffled_label_check(
-                lambda permuted, fit=fit: fit(permuted, data.val),
-                data.train,
-                {"VAL": data.val, "OFFICIAL TEST": held_out},
-                key_columns=key_columns,
-                label=label,
-                seed=seed,
-            )
-    evaluations = pin(rows)[0]
-    choice = tuning_table(evaluations.where("split IN ('TRAIN', 'VAL')"), "model")
-    return Comparison(models, evaluations, model_summary(evaluations), choice, data.audit, shuffled)
+    for name, fit in fits.items() if check_shuffled else ():
+        shuffled[name] = shuffled_label_check(
+            lambda permuted, fit=fit: fit(permuted, data.val),
+            data.train,
+            {"VAL": data.val, "OFFICIAL TEST": held_out},
+            key_columns=key_columns,
+            label=label,
+            seed=seed,
+        )
+    choice = tuning_table(found.rows.where("split IN ('TRAIN', 'VAL')"), "model")
+    return Comparison(models, found.rows, found.reports, model_summary(found.rows), choice, data.audit, shuffled)
 
 
 def tune_model(

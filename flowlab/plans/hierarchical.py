@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlab.operators.metrics import OFFICIAL_TEST
 from flowlab.operators.sampling import family_capped_sample
 from flowlab.operators.support import balanced, class_table, mapped
 from flowlab.operators.taxonomy import families_of, family_slice
+from flowlab.plans.evaluation import TwoLevelEvaluation, evaluate_two_level
 from flowlab.plans.models import FlatModel, HierarchicalModel
 from flowlab.plans.training import (
     FAMILY_PRESETS,
@@ -54,6 +57,21 @@ def forest_family_candidates(
     return {name: candidate(d, n) for name, d, n in zip(FAMILY_PRESETS, depths, min_rows_per_leaf)}
 
 
+def family_pool(
+    train: DataFrame,
+    *,
+    key_columns: Sequence[str],
+    taxonomy: Mapping[str, str] = TAXONOMY,
+    label: str = LABEL,
+    max_per_family: int = 80_000,
+    seed: int = 1,
+) -> DataFrame:
+    """The rows that family models learn from: at most ``max_per_family`` of each family, with the family beside them."""
+    rows = train.withColumn("family", mapped(quoted(label), dict(taxonomy)))
+    sample = family_capped_sample(rows, max_per_family=max_per_family, seed=seed, key_columns=key_columns)
+    return materialize(sample, "pool")
+
+
 def train_hierarchical(
     train: DataFrame,
     val: DataFrame,
@@ -67,12 +85,13 @@ def train_hierarchical(
     learner: str = "forest",
     family_candidates: Mapping[str, Callable] | None = None,
     subtype_fit: SubtypeFit | None = None,
+    pool: DataFrame | None = None,
     seed: int = 1,
 ) -> tuple[HierarchicalModel, Sweep]:
     """Select a family model among candidates, then fit one subtype model per family with several subtypes.
 
-    The pool for family training is drawn from ``train`` after the split, so no family-training row sits in ``val``. A
-    family with one label, or with one observed label, passes through.
+    The pool for family training (``family_pool``, unless one is given) is drawn from ``train`` after the split, so no
+    family-training row sits in ``val``. A family with one label, or with one observed label, passes through.
     """
     family_of = mapped(quoted(label), dict(taxonomy))
     train, val = train.withColumn("family", family_of), val.withColumn("family", family_of)
@@ -81,9 +100,8 @@ def train_hierarchical(
     if outside:
         raise ValueError(f"No family mapping for labels: {outside}")
 
-    pool = materialize(
-        family_capped_sample(train, max_per_family=max_per_family, seed=seed, key_columns=key_columns), "pool"
-    )
+    if pool is None:
+        pool = family_pool(train, key_columns=key_columns, taxonomy=taxonomy, label=label, max_per_family=max_per_family, seed=seed)
     weights = balanced(class_table(pool, "family"))
     if family_candidates is None:
         if learner == "boosted":
@@ -114,11 +132,50 @@ def train_hierarchical(
             enough = sum(1 for x in labels if x in held) > 1
             held_rows = family_slice(val, family) if enough else None
             fits[family] = (family_slice(train, family), held_rows)
-    with ThreadPoolExecutor(FIT_THREADS) as pool:
-        subtypes = dict(zip(fits, pool.map(lambda slices: subtype_fit(*slices), fits.values())))
+    with ThreadPoolExecutor(FIT_THREADS) as threads:
+        subtypes = dict(zip(fits, threads.map(lambda slices: subtype_fit(*slices), fits.values())))
     return HierarchicalModel(chosen.best_model, subtypes, passthrough, top_k), chosen
 
 
+@dataclass
+class TwoLevelJob:
+    """The fitted model, its family candidates best first, and the evaluation of both levels."""
+
+    model: HierarchicalModel
+    candidates: Sweep
+    evaluation: TwoLevelEvaluation
+
+
+def two_level_job(
+    train: DataFrame,
+    val: DataFrame,
+    test: DataFrame,
+    *,
+    key_columns: Sequence[str],
+    taxonomy: Mapping[str, str] = TAXONOMY,
+    label: str = LABEL,
+    max_per_family: int = 80_000,
+    rare_support_threshold: int = 500,
+    path: str | None = None,
+    seed: int = 1,
+    **training,
+) -> TwoLevelJob:
+    """Fit a two-level model, save it below ``path`` if one is given, and evaluate both levels end to end.
+
+    The family model's TRAIN rows are those of its pool. ``training`` goes to ``train_hierarchical``.
+    """
+    pool = family_pool(train, key_columns=key_columns, taxonomy=taxonomy, label=label, max_per_family=max_per_family, seed=seed)
+    model, candidates = train_hierarchical(
+        train, val, key_columns=key_columns, taxonomy=taxonomy, label=label, pool=pool, seed=seed, **training
+    )
+    if path is not None:
+        model.save(path)
+    found = evaluate_two_level(
+        model, {"TRAIN": pool, "VAL": val, OFFICIAL_TEST: test}, taxonomy=taxonomy, label=label, rare_support_threshold=rare_support_threshold
+    )
+    return TwoLevelJob(model, candidates, found)
+
+
 def family_metrics_rows(scored: DataFrame, taxonomy: Mapping[str, str] = TAXONOMY, label: str = LABEL) -> DataFrame:
     """Predictions with their true family beside them."""
     return scored.withColumn("family", F.try_element_at(

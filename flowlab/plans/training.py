@@ -9,13 +9,14 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlab.operators.metrics import confusion, per_class, summary_metrics
 from flowlab.operators.reports import tuning_table
 from flowlab.operators.sampling import permute_labels
 from flowlab.operators.support import balanced, class_table, mapped
+from flowlab.plans.evaluation import side_by_side, stacked_confusion, union_of
 from flowlab.plans.missing import assembling_stages
 from flowlab.plans.models import FlatModel
 from flowlab.plans.stopping import PATIENCE, best_round, first_rounds, staged_log_loss
@@ -187,20 +188,11 @@ def fit_boosted(
         rounds = min(most, 2 * rounds)
 
 
-def split_confusion(
-    model: FlatModel, splits: Mapping[str, DataFrame], *, label: str = LABEL, name: Column | None = None
-) -> DataFrame:
+def split_confusion(model: FlatModel, splits: Mapping[str, DataFrame], *, label: str = LABEL) -> DataFrame:
     """Confusion counts of one model over several splits, in one job."""
-    parts = []
-    for split, df in splits.items():
-        rows = conform(df, model.features, label=label)
-        predicted = model.predict(rows).select(F.lit(split).alias("split"), quoted(label).alias("y_true"), "y_pred")
-        parts.append(predicted)
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    counts = confusion(union, keys=["split"])
-    return counts if name is None else counts.withColumn("candidate", name)
+    rows = union_of({split: conform(df, model.features, label=label) for split, df in splits.items()})
+    predicted = model.predict(rows).select("split", quoted(label).alias("y_true"), "y_pred")
+    return confusion(predicted, keys=["split"])
 
 
 @dataclass
@@ -213,14 +205,16 @@ class Sweep:
 
 
 def sweep(candidates: Mapping[str, Fit], train: DataFrame, val: DataFrame, *, label: str = LABEL) -> Sweep:
-    """Fit every candidate, score train and validation, select by validation macro F1 less the overfit penalty."""
+    """Fit every candidate, score train and validation by all of them in one pass, select by validation macro F1 less the
+    overfit penalty."""
     with ThreadPoolExecutor(FIT_THREADS) as pool:  # independent fits, a few at a time
         models = dict(zip(candidates, pool.map(lambda fit: fit(train, val), candidates.values())))
-    counts: DataFrame | None = None
-    for position, name in enumerate(candidates):
-        part = split_confusion(models[name], {"TRAIN": train, "VAL": val}, label=label, name=F.lit(name))
-        part = part.withColumn("candidate_idx", F.lit(position))
-        counts = part if counts is None else counts.unionByName(part)
+    features = list(dict.fromkeys(f for m in models.values() for f in m.features))
+    rows = union_of({"TRAIN": conform(train, features, label=label), "VAL": conform(val, features, label=label)})
+    scored, columns = side_by_side(models, rows)
+    counts = stacked_confusion(scored, columns, {name: m.classes for name, m in models.items()}, label=label)
+    position = mapped(F.col("model"), {name: i for i, name in enumerate(candidates)})
+    counts = counts.withColumn("candidate_idx", position).withColumnRenamed("model", "candidate")
     keys = ["candidate", "candidate_idx", "split"]
     scores = materialize(summary_metrics(per_class(counts, keys), keys).select(*keys, "macro_f1"), "sweep")
     table = tuning_table(scores, order="candidate_idx")
