@@ -147,6 +147,12 @@ def train_val_split(spark, sf):
     return sampling.with_split(rows, 0.15, seed=42, key_columns=["event_id"])
 
 
+def three_way_split(spark, sf):
+    """Three splits from one search for two ranks."""
+    rows = load(spark, sf, "events").select("event_id", "event_type")
+    return sampling.with_splits(rows, {"TRAIN": 0.7, "VAL": 0.1, "OFFICIAL TEST": 0.2}, seed=11, key_columns=["event_id"])
+
+
 def label_permutation(spark, sf):
     rows = load(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
     return sampling.permute_labels(
@@ -332,6 +338,14 @@ QUERIES = {
             SELECT event_id, event_type, CASE WHEN rn <= floor(n * (1.0 - 0.15)) THEN 'TRAIN' ELSE 'VAL' END AS split
             FROM r""",
     ),
+    "three_way_split": (
+        three_way_split,
+        f"""WITH r AS (SELECT event_id, event_type,
+              row_number() OVER (ORDER BY {_BY_KEY.format(seed=11, keys='event_id')}) AS rn, count(*) OVER () AS n
+              FROM events)
+            SELECT event_id, event_type, CASE WHEN rn <= floor(n * 0.7::DOUBLE) THEN 'TRAIN'
+              WHEN rn <= floor(n * (0.7::DOUBLE + 0.1::DOUBLE)) THEN 'VAL' ELSE 'OFFICIAL TEST' END AS split FROM r""",
+    ),
     "label_permutation": (
         label_permutation,
         f"""WITH r AS (SELECT o_orderkey, o_orderpriority,

@@ -115,11 +115,19 @@ def stream_score(spark, sf):
     return spark.read.parquet(out).select("event_id", "predicted_class", "confidence", "alert_level", "uncertain")
 
 
-def stream_alert_counts(spark, sf):
+def _stream_totals(spark, sf):
     stream = _event_stream(spark, sf)
-    name = f"alert_counts_{uuid.uuid4().hex}"
-    streams.wait(streams.running_alert_counts(stream, _event_scorer(spark, sf), name, fresh_path(spark, "state")))
-    return spark.table(name)
+    path = fresh_path(spark, "totals")
+    streams.wait(streams.running_alert_totals(stream, _event_scorer(spark, sf), path, fresh_path(spark, "state")))
+    return streams.alert_totals(spark, path)
+
+
+def stream_alert_counts(spark, sf):
+    return streams.running_distribution(_stream_totals(spark, sf))
+
+
+def stream_alert_tiles(spark, sf):
+    return rounded(streams.running_tiles(_stream_totals(spark, sf)), "avg_confidence")
 
 
 def stream_exclude(spark, sf):
@@ -186,6 +194,11 @@ QUERIES = {
         stream_alert_counts,
         f"{SQL_PRED} SELECT alert_level, count(*) AS rows FROM pr GROUP BY 1",
     ),
+    "stream_alert_tiles": (
+        stream_alert_tiles,
+        f"""{SQL_PRED} SELECT count(*) AS total_rows, count(*) FILTER (alert_level = 'HIGH_ALERT') AS high_alerts,
+            count(*) FILTER (uncertain) AS uncertain_rows, round(avg(confidence), 6) AS avg_confidence FROM pr""",
+    ),
     "stream_exclude": (
         stream_exclude,
         """SELECT event_id, event_type, round(value, 0) AS value FROM events

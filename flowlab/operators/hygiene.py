@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,6 +122,57 @@ def overlap_audit(
     )
 
 
+@dataclass
+class Overlap:
+    """What a pool shares with a reference, from one shuffle. ``report`` is one row; ``shared`` (``_hash``, ``_row``) the
+    contents that occur on both sides."""
+
+    report: DataFrame
+    shared: DataFrame
+
+
+def overlap(pool: DataFrame, reference: DataFrame, columns: Sequence[str] = FEATURES, *, numeric: bool = True) -> Overlap:
+    """Distinct rows on each side, their intersection, and the pool's rows before, removed and kept if it were cleaned.
+
+    Each side carries a bit; one aggregation over both, copies counted map-side, is written once and all else is read from
+    it.
+    """
+
+    def side(df: DataFrame, bit: int) -> DataFrame:
+        hashed, content = _content(df, columns, numeric)
+        return df.select(hashed.alias("_hash"), content.alias("_row"), F.lit(bit).alias("_bit"))
+
+    both = side(pool, 1).unionByName(side(reference, 2)).groupBy("_hash", "_row")
+    merged = materialize(both.agg(F.bit_or("_bit").alias("_sides"), F.count_if(F.col("_bit") == 1).alias("_n")), "sides")
+    shared = F.col("_sides") == 3
+    removed = F.coalesce(F.sum(F.when(shared, F.col("_n"))), F.lit(0))
+    rows = F.coalesce(F.sum("_n"), F.lit(0))
+    report = merged.agg(
+        F.count_if(F.col("_sides") != 2).alias("unique_a"),
+        F.count_if(F.col("_sides") != 1).alias("unique_b"),
+        F.count_if(shared).alias("overlap"),
+        rows.alias("rows_before"),
+        removed.alias("rows_removed"),
+        (rows - removed).alias("rows_kept"),
+    )
+    report = report.select(
+        "unique_a", "unique_b", "overlap", F.try_divide("overlap", "unique_a").alias("overlap_share_a"),
+        F.try_divide("overlap", "unique_b").alias("overlap_share_b"), "rows_before", "rows_removed", "rows_kept",
+    )
+    return Overlap(report, merged.where(shared).select("_hash", "_row"))
+
+
+def without_shared(pool: DataFrame, shared: DataFrame, columns: Sequence[str] = FEATURES, *, numeric: bool = True) -> DataFrame:
+    """``pool`` less the rows whose content is among ``shared`` (of ``overlap``): filtered where it lies if these are
+    measured to be few, else by hash first."""
+    hashed, content = _content(pool, columns, numeric)
+    measured = shared.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json("_row"))), F.lit(0))).first()
+    if measured[0] > BROADCAST_REFERENCE_ROWS or measured[1] > BROADCAST_REFERENCE_BYTES:
+        return _without(pool, shared, hashed, content)
+    left = pool.withColumn("_hash", hashed).withColumn("_row", content)
+    return left.join(F.broadcast(shared), ["_hash", "_row"], "left_anti").drop("_hash", "_row")
+
+
 def overlap_report(
     a: DataFrame, b: DataFrame, columns: Sequence[str] = FEATURES, *, numeric: bool = True
 ) -> DataFrame:

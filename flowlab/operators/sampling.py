@@ -8,7 +8,7 @@ the rows themselves are filtered in place and never sorted or shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +25,8 @@ from flowlab.schema import LABEL, labelled, quoted, ticked
 LEVELS = (4, 8, 32, 36, 40, 64)
 KEY_DIGITS, CONTENT_DIGITS = 32, 64
 EDGE_ROWS = 1_000_000
+#: Cuts kept as a local table and sent to every executor; more are joined by shuffle, with the same rows.
+PINNED_CUTS = 100_000
 COPIES_PER_CHUNK = 100_000
 
 
@@ -42,14 +44,17 @@ def capped_sample(
     *,
     seed: int,
     key_columns: Sequence[str],
+    edge_rows: int | None = None,
 ) -> DataFrame:
     """At most ``cap`` rows of every group: those with the smallest order keys; smaller groups stay whole.
 
     First pass: counts per (group, four key digits) give each group's last needed bucket. Second pass: rows up to
-    that bucket, about ``cap`` per group, are kept behind a filter, and only those are ranked, per bucket. Exact
+    that bucket, about ``cap`` per group, are kept behind a filter, and only those are ranked, per bucket; a last bucket of
+    more than ``edge_rows`` (EDGE_ROWS) rows is counted by further digits first. Exact
     copies are counted, not ranked, so a bucket filled by one repeated row stays one entry.
     """
     keyed = df.where(quoted(group).isNotNull()).withColumn("_key", order_key(seed, key_columns))
+    edge_rows = EDGE_ROWS if edge_rows is None else edge_rows
 
     def edges(prefix: DataFrame, length: int) -> DataFrame:
         last = F.max_by(F.struct("_bucket", "_before", "_n"), "_before").alias("_edge")
@@ -61,21 +66,22 @@ def capped_sample(
         )
 
     length = LEVELS[0]
-    cuts, pinned = _pin_cuts(edges(_histogram(keyed, [group], length), length))
-    while pinned and length < CONTENT_DIGITS and any(_too_large(r, cap) for r in pinned):
-        # A bucket too large to rank in one task: look inside it with more digits.
+    cuts, small = pin(edges(_histogram(keyed, [group], length), length), PINNED_CUTS)
+    too_large = (F.col("_n") > edge_rows) & (F.col("_before") + F.col("_n") > cap)  # and only partly needed
+    while length < CONTENT_DIGITS and not cuts.where(too_large).isEmpty():
+        # A bucket too large to rank in one task: look inside it with more digits. The cuts stay a table, whatever the
+        # number of groups.
         if length == KEY_DIGITS:
             keyed = keyed.withColumn("_key", F.concat("_key", content_key(df)))
-        inside = keyed.join(
-            F.broadcast(cuts.select(group, F.col("_bucket").alias("_in"), F.col("_before").alias("_base"))), group
-        ).where(F.col("_key").startswith(F.col("_in")))
+        outer = cuts.select(group, F.col("_bucket").alias("_in"), F.col("_before").alias("_base"))
+        inside = keyed.join(F.broadcast(outer) if small else outer, group).where(F.col("_key").startswith(F.col("_in")))
         length = _next_level(length)
         finer = _histogram(inside, [group, "_base"], length).withColumn("_before", F.col("_before") + F.col("_base"))
-        cuts, pinned = _pin_cuts(edges(finer, length))
+        cuts, small = pin(edges(finer, length), PINNED_CUTS)
 
     cut = cuts.select(group, F.col("_bucket").alias("_last"), (F.lit(cap) - F.col("_before")).alias("_room"))
     prefix = F.substring("_key", 1, length)
-    near = keyed.join(F.broadcast(cut) if pinned is not None else cut, group).where(prefix <= F.col("_last"))
+    near = keyed.join(F.broadcast(cut) if small else cut, group).where(prefix <= F.col("_last"))
     copies = near.groupBy(*[ticked(c) for c in df.columns], "_key", "_last", "_room").agg(F.count("*").alias("_n"))
     bucket = Window.partitionBy(group, F.substring("_key", 1, length)).orderBy("_key", content_key(df))
     rows_before = F.sum("_n").over(bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
@@ -91,17 +97,6 @@ def _next_level(length: int) -> int:
     return next(level for level in LEVELS if level > length)
 
 
-def _too_large(edge, cap: int) -> bool:
-    """The bucket is only partly needed and holds too many rows to rank together."""
-    return edge["_n"] > EDGE_ROWS and edge["_before"] + edge["_n"] > cap
-
-
-def _pin_cuts(cuts: DataFrame, max_groups: int = 100_000):
-    """The cuts as a local table and its rows, or the cuts themselves and None above ``max_groups`` groups."""
-    table, small = pin(cuts, max_groups)
-    return (table, table.collect()) if small else (cuts, None)
-
-
 def balanced_sample(
     df: DataFrame,
     *,
@@ -257,9 +252,25 @@ def with_split(
     key_columns: Sequence[str],
     column: str = "split",
 ) -> DataFrame:
-    """The same split as one table with a ``TRAIN`` / ``VAL`` column."""
-    train, val = split_train_val(df, val_frac, seed=seed, key_columns=key_columns)
-    return train.withColumn(column, F.lit("TRAIN")).unionByName(val.withColumn(column, F.lit("VAL")))
+    """The same split as one table with a ``TRAIN`` / ``VAL`` column: one pass after the counts."""
+    key, cuts, _ = _cuts_with_content(df, seed, key_columns, lambda n: [int(n * (1.0 - val_frac))])
+    return _dealt_out(df.withColumn("_key", key), ["TRAIN", "VAL"], cuts, column)
+
+
+def with_splits(
+    df: DataFrame, shares: Mapping[str, float], *, seed: int = 42, key_columns: Sequence[str], column: str = "split"
+) -> DataFrame:
+    """Any number of splits by order key, in the order of ``shares``, as one table with a column of their names.
+
+    Split k ends behind row ``int(n * (sum of the first k shares))``, the last one takes the rest. All boundaries come from
+    one search for ranks, and the table is read once after it.
+    """
+    names, ends, total = list(shares), [], 0.0
+    for name in names[:-1]:
+        total += shares[name]
+        ends.append(total)
+    key, cuts, _ = _cuts_with_content(df, seed, key_columns, lambda n: [int(n * end) for end in ends])
+    return _dealt_out(df.withColumn("_key", key), names, cuts, column)
 
 
 def permute_labels(
@@ -283,16 +294,15 @@ def permute_labels(
         ranks.append(total)
     known = labelled(df, label)
     key, cuts, _ = _cuts_with_content(known, seed, key_columns, lambda _: ranks)
-    target = column or label
-    keyed = known.withColumn("_key", key)
-    names = [name for name, _ in table]
-    clean = [c for c in cuts if not c.room]
+    return _dealt_out(known.withColumn("_key", key), [name for name, _ in table], cuts, column or label)
+
+
+def _dealt_out(keyed: DataFrame, names: Sequence[str], cuts: Sequence[KeyCut], target: str) -> DataFrame:
+    """``keyed`` without its ``_key``, and in ``target`` the name of the stretch between cuts that each row falls into: one
+    expression over the key. Only rows that share a whole key at a cut are divided by count, in parts of their own."""
     shared = sorted({c.key for c in cuts if c.room})
-    label_of = _dealt(names, cuts)
     apart = keyed.where(~F.col("_key").isin(shared)) if shared else keyed
-    dealt = apart.withColumn(target, label_of).drop("_key")
-    if len(clean) == len(cuts):
-        return dealt
+    dealt = apart.withColumn(target, _dealt(names, cuts)).drop("_key")
     for value in shared:
         same = keyed.where(F.col("_key") == value).drop("_key")
         rooms = [c.room for c in cuts if c.key == value]

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlab.operators.hygiene import exclude_overlap, overlap_audit, overlap_report
+from flowlab.operators.hygiene import exclude_overlap, overlap, without_shared
 from flowlab.operators.reports import model_summary, tuning_table
 from flowlab.operators.sampling import balanced_sample, split_train_val
 from flowlab.operators.small import pin
@@ -45,7 +45,8 @@ def prepare_training_data(
     """Balanced sample, de-overlap against the test rows, split.
 
     ``deoverlap="after"`` cleans the sample, ``"before"`` cleans the archive so that caps are filled by clean rows, None
-    leaves overlap in place. ``max_per_label`` None takes every labelled row. ``audit`` is one row: distinct rows and overlap before, rows removed, overlap after.
+    leaves overlap in place. ``max_per_label`` None takes every labelled row. ``audit`` is one row, from the one overlap job:
+    distinct rows and overlap before, rows removed, overlap after.
     """
     pool = exclude_overlap(archive, test, features) if deoverlap == "before" else archive
     if max_per_label is None:
@@ -53,14 +54,12 @@ def prepare_training_data(
     else:
         sample = balanced_sample(pool, label=label, max_per_label=max_per_label, seed=seed, key_columns=key_columns)
     sample = materialize(sample, "sample")  # capped rows per label: small next to the archive
-    before = overlap_report(sample, test, features)
-    removed = overlap_audit(sample, test, features)
+    found = overlap(sample, test, features)
+    left = F.col("overlap")
     if deoverlap == "after":
-        sample = materialize(exclude_overlap(sample, test, features), "clean")
-    after = overlap_report(sample, test, features).select(F.col("overlap").alias("overlap_after"))
-    one = F.lit(1).alias("_one")
-    audit = before.select("*", one).join(removed.select("*", one), "_one").join(after.select("*", one), "_one")
-    audit = pin(audit.drop("_one"))[0]
+        sample = materialize(without_shared(sample, found.shared, features), "clean")
+        left = F.lit(0).cast("long")  # every shared content is gone
+    audit = pin(found.report.withColumn("overlap_after", left))[0]
     train, val = split_train_val(sample, val_frac, seed=seed, key_columns=key_columns)
     return TrainingData(materialize(train, "train"), materialize(val, "val"), audit)
 

@@ -117,6 +117,23 @@ def test_null_safe_overlap(spark):
     assert empty.unique_b == 0 and empty.overlap_share_b is None
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_overlap_in_one_shuffle(spark, monkeypatch, few):
+    """Report, audit and cleaning agree with the single operators, for few shared contents and for many."""
+    if not few:
+        monkeypatch.setattr(hygiene, "BROADCAST_REFERENCE_ROWS", 0)
+    pool = spark.createDataFrame([(1.0, None), (None, 1.0), (2.0, 3.0), (2.0, 3.0), (float("nan"), 4.0), (5.0, 5.0)], "a double, b double")
+    reference = spark.createDataFrame([(None, 1.0), (2.0, 3.0), (None, 4.0), (9.0, 9.0)], "a double, b double")
+    found = hygiene.overlap(pool, reference, ["a", "b"])
+    report = hygiene.overlap_report(pool, reference, ["a", "b"]).first().asDict()
+    report |= hygiene.overlap_audit(pool, reference, ["a", "b"]).first().asDict()
+    assert found.report.first().asDict() == report and report["rows_removed"] == 4
+    kept = hygiene.without_shared(pool, found.shared, ["a", "b"])
+    assert sorted(map(str, kept.collect())) == sorted(map(str, hygiene.exclude_overlap(pool, reference, ["a", "b"]).collect()))
+    nothing = hygiene.overlap(pool.limit(0), reference.limit(0), ["a", "b"]).report.first()
+    assert (nothing.overlap, nothing.rows_before, nothing.rows_removed, nothing.overlap_share_a) == (0, 0, 0, None)
+
+
 def test_overlap_ignores_number_types_and_nan(spark):
     pool = spark.createDataFrame([(1, float("nan")), (5, 0.5)], "a int, b double")
     reference = spark.createDataFrame([(1.0, None)], "a double, b double")
@@ -140,3 +157,36 @@ def test_large_reference_with_colliding_hashes(spark, monkeypatch):
     assert sorted({r.a for r in kept}) == [2, 4, 5, 7, 8, 10, 11] and len(kept) == 35
     empty = hygiene.exclude_overlap(pool, reference.limit(0), ["a", "b"], max_broadcast_rows=-1)
     assert empty.count() == 60
+
+
+def test_splits_from_one_search(spark):
+    """Every boundary is exact, copies at a boundary are divided by count, and the two-way split is the same as before."""
+    rows = [(k, k % 7) for k in range(500)] + [(1000, 0)] * 300  # one key holds many equal rows
+    df = spark.createDataFrame(rows, "id long, v long")
+    shares = {"a": 0.3, "b": 0.1, "c": 0.35, "d": 0.25}
+    out = sampling.with_splits(df, shares, seed=3, key_columns=["id"])
+    sizes = {r["split"]: r["count"] for r in out.groupBy("split").count().collect()}
+    assert sizes == {"a": 240, "b": 80, "c": 280, "d": 200}
+    assert sorted(map(tuple, out.drop("split").collect())) == sorted(rows)
+    two = sampling.with_split(df, 0.25, seed=3, key_columns=["id"])
+    train, val = sampling.split_train_val(df, 0.25, seed=3, key_columns=["id"])
+    assert sorted(map(tuple, two.where("split = 'TRAIN'").drop("split").collect())) == sorted(map(tuple, train.collect()))
+    assert sorted(map(tuple, two.where("split = 'VAL'").drop("split").collect())) == sorted(map(tuple, val.collect()))
+    assert sampling.with_splits(df.limit(0), shares, seed=3, key_columns=["id"]).count() == 0
+
+
+def test_split_reads_its_input_once_after_the_search(spark):
+    df = spark.range(1000).withColumn("v", F.col("id") % 3)
+    plan = sampling.with_splits(df, {"a": 0.5, "b": 0.2, "c": 0.3}, seed=1, key_columns=["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1 and "Union" not in plan
+
+
+@pytest.mark.parametrize("cuts", [10, 100_000])
+def test_more_groups_than_may_be_pinned_and_a_hot_bucket(spark, monkeypatch, cuts):
+    """With more groups than the bound the cuts stay a table; an overfull last bucket is looked into all the same."""
+    df = spark.range(6000).selectExpr("IF(id < 4000, 'hot', concat('g', id % 100)) AS g", "id")
+    expected = sampling.capped_sample(df, "g", 15, seed=5, key_columns=["id"])
+    monkeypatch.setattr(sampling, "PINNED_CUTS", cuts)
+    got = sampling.capped_sample(df, "g", 15, seed=5, key_columns=["id"], edge_rows=3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+    assert {r["count"] for r in got.groupBy("g").count().collect()} == {15}

@@ -10,6 +10,7 @@ from flowlab.operators import taxonomy
 from flowlab.operators.small import pin, small_side
 from flowlab.plans.scoring import decide_flat
 from flowlab.schema import EXCLUDED, FEATURES, TAXONOMY, conform, flow_schema, require_label
+from flowlab.operators import reports
 from flowlab.session import fresh_path, shared_folder
 from flowlab.sources.config import load_threshold_config, save_threshold_config
 from flowlab.sources.csv import header_lines, read_archive, read_csv_by_name, read_labelled_test, write_predictions
@@ -133,15 +134,27 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(map(tuple, batch.collect()))
 
     stream = streams.stream_csv(spark, folder, "id int, p double", files_per_trigger=1)
-    streams.wait(streams.running_alert_counts(stream, scorer, "running_counts", fresh_path(spark, "state")), 120)
-    expected = sorted(map(tuple, batch.groupBy("alert_level").count().collect()))
-    assert sorted(map(tuple, spark.table("running_counts").collect())) == expected
+    totals, counting = fresh_path(spark, "totals"), fresh_path(spark, "state")
+    streams.wait(streams.running_alert_totals(stream, scorer, totals, counting), 120)
+    held = streams.alert_totals(spark, totals)
+    assert list(map(tuple, streams.running_distribution(held).collect())) == list(map(tuple, reports.alert_distribution(batch).collect()))
+    assert tuple(streams.running_tiles(held).first()) == pytest.approx(tuple(reports.alert_tiles(batch).first()))
+
+    # the last batch fails after its totals are written and runs again: nothing is counted twice
+    first = scorer(spark.read.schema("id int, p double").option("header", True).csv(f"{folder}/2.csv"))
+    streams._added(first.select("alert_level", "uncertain", "confidence"), 2, totals)
+    assert streams.running_tiles(streams.alert_totals(spark, totals)).first().total_rows == 30
 
     # a restart with the same checkpoint reads only the new file
     write(folder, "9.csv", "id,p\n99,0.95\n")
     stream = streams.stream_csv(spark, folder, "id int, p double")
     streams.wait(streams.score_to_files(stream, scorer, out, state), 120)
     assert spark.read.parquet(out).count() == 31
+    streams.wait(streams.running_alert_totals(stream, scorer, totals, counting), 120)
+    everything = scorer(spark.read.schema("id int, p double").option("header", True).csv(folder))
+    held = streams.alert_totals(spark, totals)
+    assert tuple(streams.running_tiles(held).first()) == pytest.approx(tuple(reports.alert_tiles(everything).first()))
+    assert {r["batch"] for r in spark.read.parquet(totals).select("batch").distinct().collect()} == {0, 1, 2, 3}
 
 
 def test_labelled_test_files_of_two_layouts(spark, tmp_path):
