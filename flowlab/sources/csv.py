@@ -6,10 +6,12 @@ from collections.abc import Iterator, Sequence
 from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlab.operators.small import small_side
+from flowlab.operators.support import mapped
 from flowlab.schema import FEATURES, LABEL, conform, labelled, quoted, require_columns, require_label
 from flowlab.session import materialize
 
@@ -28,8 +30,8 @@ def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
 
 
 def header_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, header): the first line with content of each file, looked up in one job. A task opens one file and stops
-    after that line; files without content have no row.
+    """(path, header, file): the first line with content of each file, looked up in one job; ``file`` is the path as
+    ``_metadata`` spells it. A task opens one file and stops after that line; files without content have no row.
 
     Split sizes are settings of a session, so the lookup has a session of its own.
     """
@@ -41,11 +43,12 @@ def header_lines(spark: SparkSession, path: str) -> DataFrame:
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and batch.column(1)[0].as_py().strip():
-                yield pa.RecordBatch.from_arrays([pa.array([unquote(batch.column(0)[0].as_py())]), batch.column(1)], names=["path", "header"])
+                name = batch.column(0)[0].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([unquote(name)]), batch.column(1), pa.array([name])], names=["path", "header", "file"])
                 return
 
     lines = own.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
-    return lines.mapInArrow(first, "path string, header string")
+    return lines.mapInArrow(first, "path string, header string, file string")
 
 
 def read_csv_by_name(
@@ -59,9 +62,10 @@ def read_csv_by_name(
 ) -> DataFrame:
     """Many CSV files, columns matched by header name; a column missing from some files is null there.
 
-    Spark binds CSV columns by position, so files are grouped by header line, each group is read with its own
-    ordered schema, and the groups are unioned by name. There is one read per distinct header, not per file, and file
-    names reach the driver only if there are several headers. With ``uniform`` only one header is looked up and Spark
+    Spark binds CSV columns by position. Files that all have one header are read with its schema. Of files with several
+    headers the lines are read once and each is split by the places of its own file's header; the driver sees one file
+    name per layout. A record is one line, so a line break inside quotes ends it; empty lines and lines like the file's
+    header are no records; a number that cannot be read is null. With ``uniform`` only one header is looked up and Spark
     verifies it against every file while reading.
     """
     wanted = [*carry, *features, *([label] if label else [])]
@@ -74,22 +78,37 @@ def read_csv_by_name(
 
     lines = materialize(header_lines(spark, path), "headers")
     samples = lines.groupBy("header").agg(F.min("path").alias("path")).orderBy("path").collect()  # one row a layout
-    groups: dict[tuple[str, ...], str | list[str]] = {}
-    for sample in samples:
-        members = path if len(samples) == 1 else [r[0] for r in lines.filter(F.col("header") == sample["header"]).select("path").collect()]
-        header = _header(spark, sample["path"])
-        groups[header] = members if header not in groups else [*groups[header], *members]
-    known = {c for header in groups for c in header}
+    layouts = [(r["header"], _header(spark, r["path"])) for r in samples]
+    known = {c for _, header in layouts for c in header}
     missing = [c for c in wanted if c not in known]
     if missing:
         raise ValueError(f"Missing required columns: {missing}")
+    if len(layouts) == 1:
+        table = reader.schema(_typed(layouts[0][1], features)).csv(path)
+        return table.select(*[quoted(c) for c in wanted])
+    return _by_layout(spark, path, lines, layouts, wanted, features)
+
+
+def _by_layout(
+    spark: SparkSession, path: str, lines: DataFrame, layouts: Sequence[tuple[str, Sequence[str]]], wanted: Sequence[str], features: Sequence[str]
+) -> DataFrame:
+    """One scan of files with several layouts: each line meets its file's layout number, is split once, and every column is
+    taken from its place in that layout."""
+    place = {header: k for k, (header, _) in enumerate(layouts)}
+    files = lines.select("file", "header", mapped(F.col("header"), place).alias("layout"))
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    rows = text.join(small_side(files), "file").where((F.col("value") != F.col("header")) & (F.trim("value") != ""))
+    width = max(len(header) for _, header in layouts)
+    cells = F.from_csv("value", F.lit(", ".join(f"c{i} STRING" for i in range(width))), {k: v for k, v in CSV_OPTIONS.items() if k != "header"})
+    parts = rows.select("layout", cells.alias("_cells")).select("layout", F.array(*[F.col(f"_cells.c{i}") for i in range(width)]).alias("_parts"))
+    numbers = set(features)
+
+    def column(name: str) -> Column:
+        at = {k: header.index(name) for k, (_, header) in enumerate(layouts) if name in header}
+        raw = F.get("_parts", mapped(F.col("layout"), at))
+        return (raw.try_cast("double") if name in numbers else raw).alias(name)
 
-    union: DataFrame | None = None
-    for header, members in groups.items():
-        part = reader.schema(_typed(header, features)).csv(members)
-        part = part.select(*[quoted(c) for c in wanted if c in header])
-        union = part if union is None else union.unionByName(part, allowMissingColumns=True)
-    return union.select(*[quoted(c) for c in wanted])
+    return parts.select(*[column(c) for c in wanted])
 
 
 def read_archive(spark: SparkSession, path: str, **options) -> DataFrame:

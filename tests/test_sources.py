@@ -6,11 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlab.functions.decisions import ThresholdConfig
-from flowlab.operators import taxonomy
+from flowlab.operators import reports, taxonomy
 from flowlab.operators.small import pin, small_side
 from flowlab.plans.scoring import decide_flat
 from flowlab.schema import EXCLUDED, FEATURES, TAXONOMY, conform, flow_schema, require_label
-from flowlab.operators import reports
 from flowlab.session import fresh_path, shared_folder
 from flowlab.sources.config import load_threshold_config, save_threshold_config
 from flowlab.sources.csv import header_lines, read_archive, read_csv_by_name, read_labelled_test, write_predictions
@@ -165,6 +164,22 @@ def test_labelled_test_files_of_two_layouts(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [(1.0, 2.0, "x"), (4.0, 3.0, None)]
 
 
+def test_layouts_in_one_scan(spark, tmp_path):
+    """Cells of several layouts come from one scan; odd numbers, short and long lines, quotes and repeated headers."""
+    folder = f"{tmp_path}/in"
+    write(folder, "a b+c.csv", 'x,label,y\n1.5,"one, two",2\n\ninf,q,-inf\nx,label,y\nNaN,,nonsense\n')
+    write(folder, "b.csv", "y,x\n7\n8,9,10\n")
+    write(folder, "c.csv", "label,extra,x\nz,ignored,3e2\n")
+    table = read_csv_by_name(spark, folder, features=["x", "y"])
+    got = sorted(map(str, map(tuple, table.collect())))
+    assert got == sorted(map(str, [
+        (1.5, 2.0, "one, two"), (float("inf"), float("-inf"), "q"), (float("nan"), None, None),
+        (None, 7.0, None), (9.0, 8.0, None), (300.0, None, "z"),
+    ]))
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Union" not in plan
+
+
 def test_headers_of_awkward_files(spark, tmp_path):
     write(str(tmp_path), "a file+1.csv", "x,label\n1,A\n2,B\n")
     write(str(tmp_path), "b.csv", "\nlabel,x\nC,3\n")
