@@ -177,7 +177,7 @@ def test_layouts_in_one_scan(spark, tmp_path):
         (None, 7.0, None), (9.0, 8.0, None), (300.0, None, "z"),
     ]))
     plan = table._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Relation [") == 1 and "Union" not in plan
+    assert plan.count("] text") == 1 and "] csv" not in plan and "Union" not in plan
 
 
 def test_headers_of_awkward_files(spark, tmp_path):
