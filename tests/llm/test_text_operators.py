@@ -1,6 +1,7 @@
 """Edge cases and brute-force comparisons of the text operators."""
 
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -349,3 +350,52 @@ def test_words_of_library():
     want = [e.ids for e in splitter.tokenizer.encode_batch(texts, add_special_tokens=False)]
     got = [ids[o[k] : o[k + 1]].tolist() for a, b, ids, o in encoder.encode(pa.array(texts)) for k in range(b - a)]
     assert got == want
+
+
+def brute_rules(rows, min_count=urls.MIN_COUNT, min_confidence=urls.MIN_CONFIDENCE):
+    """All token sets of enough unwanted rows and confidence, without those that hold a smaller one as confident."""
+    every = [(frozenset(t), u) for t, u in rows]
+    scored = {}
+    for k in range(1, 6):
+        for chosen in map(frozenset, itertools.combinations(sorted({x for t, _ in every for x in t}), k)):
+            inside = [u for t, u in every if t >= chosen]
+            if sum(inside) >= min_count and sum(inside) / len(inside) >= min_confidence:
+                scored[chosen] = sum(inside) / len(inside)
+    return {c: p for c, p in scored.items() if not any(d < c and scored[d] >= p for d in scored)}
+
+
+def test_mined_rules_decide_like_brute_force(spark):
+    """Planted tokens and a planted pair: every labelled row is judged as by the rules found by trying all combinations."""
+    rnd = random.Random(4)
+    rows = []
+    for k in range(600):
+        tokens = {f"t{rnd.randrange(9)}" for _ in range(4)} | ({"bad"} if k % 12 == 0 else set())
+        unwanted = "bad" in tokens or {"t1", "t2"} <= tokens or rnd.random() < 0.05
+        rows.append((sorted(tokens), unwanted))
+    found = urls.mine_rules(spark.createDataFrame(rows, "tokens array<string>, unwanted boolean")).collect()
+    assert found and all(r.support >= urls.MIN_COUNT and r.confidence >= urls.MIN_CONFIDENCE for r in found)
+    for r in found:
+        inside = [u for t, u in rows if set(r.tokens) <= set(t)]
+        assert r.support == sum(inside) and r.confidence == pytest.approx(sum(inside) / len(inside))
+    expected = brute_rules(rows)
+    assert {frozenset(r.tokens): pytest.approx(r.confidence) for r in found} == expected
+    assert frozenset({"bad"}) in expected and frozenset({"t1", "t2"}) in expected
+
+
+def test_repeated_long_urls_end(spark):
+    """10,000 equal URLs of 60 query keys, and such of many keys that differ a little, do not list all subsets."""
+    long = "http://bad.example/go?" + "&".join(f"key{k}=1" for k in range(60))
+    other = ["http://mixed.example/x?" + "&".join(f"m{j}=1" for j in range(40) if j % 7 != k % 7) for k in range(60)]
+    clean = [f"http://good{k}.test/page" for k in range(500)]
+    every = [long] * 10_000 + other + clean
+    pages = spark.createDataFrame(list(enumerate(every)), "page_id long, url string")
+    labels = spark.createDataFrame([(k, 1, 0) if "good" in u else (k, 0, 1) for k, u in enumerate(every)], "doc_id long, quality int, toxic int")
+    rows = urls.judge_urls(pages, labels).collect()
+    assert all(r.verdict == ("allow" if "good" in r.host else "block") for r in rows) and len(rows) == len(every)
+
+
+def test_support_is_a_count(spark):
+    """Eight unwanted URLs of one host are enough among 20,000 labelled ones."""
+    rows = [(["h:bad"], True)] * 8 + [([f"h:{k}"], k % 50 == 0) for k in range(20_000)]
+    found = urls.mine_rules(spark.createDataFrame(rows, "tokens array<string>, unwanted boolean")).collect()
+    assert [r.tokens for r in found] == [["h:bad"]]
