@@ -1,4 +1,4 @@
-"""Model training and scoring on flows derived from the embeddings: 40 dimensions as the 40 features."""
+"""Model training and scoring on flows derived from the embeddings: their dimensions as the features."""
 
 from __future__ import annotations
 
@@ -31,8 +31,12 @@ FLOW_LABELS = [
 KEY = ["flow_id"]
 
 
+#: A column for each dimension of the embeddings: the features of the contract first, further ones after them.
+DIMENSIONS = [*FEATURES, *[f"dimension_{i}" for i in range(len(FEATURES), 64)]]
+
+
 def flows(spark, sf):
-    features = [f"CAST(embedding[{i}] AS DOUBLE) AS `{c}`" for i, c in enumerate(FEATURES)]
+    features = [f"CAST(embedding[{i}] AS DOUBLE) AS `{c}`" for i, c in enumerate(DIMENSIONS)]
     return load(spark, sf, "embeddings").selectExpr("vec_id AS flow_id", *features, f"{SQL_LABEL} AS label")
 
 
@@ -52,18 +56,18 @@ def _evaluated(model, val, name):
 
 def train_logreg(spark, sf):
     train, val = _split(spark, sf)
-    return _evaluated(training.fit_logreg(train, max_iter=50), val, "logreg")
+    return _evaluated(training.fit_logreg(train, features=DIMENSIONS), val, "logreg")
 
 
 def train_forest(spark, sf):
     train, val = _split(spark, sf)
-    return _evaluated(training.fit_forest(train, trees=30, max_depth=8, min_rows_per_leaf=2), val, "forest")
+    return _evaluated(training.fit_forest(train, features=DIMENSIONS), val, "forest")
 
 
 def train_boosted(spark, sf):
     train, val = _split(spark, sf)
     small = dict(training.FLAT_PRESETS["stable_ultra"], minInstancesPerNode=5, stepSize=0.2)
-    return _evaluated(training.fit_boosted(train, val, preset=small, max_iter=5), val, "boosted")
+    return _evaluated(training.fit_boosted(train, val, features=DIMENSIONS, preset=small, max_iter=5), val, "boosted")
 
 
 def boosted_sweep(spark, sf):
@@ -73,31 +77,31 @@ def boosted_sweep(spark, sf):
         name: dict(training.FLAT_PRESETS[name], minInstancesPerNode=leaf, stepSize=0.2, maxDepth=3)
         for name, leaf in (("stable_medium", 5), ("stable_ultra", 10))
     }
-    return training.sweep(training.boosted_candidates(small, max_iter=3), train, val).table
+    return training.sweep(training.boosted_candidates(small, features=DIMENSIONS, max_iter=3), train, val).table
 
 
 def feature_importance(spark, sf):
     train, _ = _split(spark, sf)
-    model = training.fit_forest(train, trees=20, max_depth=6, min_rows_per_leaf=2)
+    model = training.fit_forest(train, features=DIMENSIONS)
     return reports.top_features(model.feature_importance(spark))
 
 
 def shuffled_label_check(spark, sf):
     train, val = _split(spark, sf)
     return training.shuffled_label_check(
-        lambda rows: training.fit_logreg(rows, max_iter=30), train, {"TRAIN": train, "VAL": val}, key_columns=KEY
+        lambda rows: training.fit_logreg(rows, features=DIMENSIONS), train, {"TRAIN": train, "VAL": val}, key_columns=KEY
     )
 
 
 def _hierarchical(spark, sf):
     train, val = _split(spark, sf)
-    candidates = hierarchical.forest_family_candidates({}, trees=20, min_rows_per_leaf=(2, 4, 8))
+    candidates = hierarchical.forest_family_candidates({}, features=DIMENSIONS)
     model, chosen = hierarchical.train_hierarchical(
         train,
         val,
         key_columns=KEY,
+        features=DIMENSIONS,
         family_candidates=candidates,
-        subtype_fit=lambda rows, _: training.fit_forest(rows, trees=20, max_depth=6, min_rows_per_leaf=2),
     )
     return model, chosen, val
 
@@ -129,7 +133,7 @@ def saved_model_scores(spark, sf):
     """Train, save, load by name and score: the flat output table."""
     train, val = _split(spark, sf)
     root = fresh_path(spark, "models")
-    training.fit_logreg(train, max_iter=30).save(models.model_path(root, "Logistic Regression"))
+    training.fit_logreg(train, features=DIMENSIONS).save(models.model_path(root, "Logistic Regression"))
     model = models.load_model(spark, root, "Logistic Regression")
     return score_with(val, model, carry=KEY)
 
@@ -144,11 +148,11 @@ def compare_models(spark, sf):
     """Balanced sample, hygiene, two models, evaluation on three splits: the model summary."""
     archive, test = _held_out(spark, sf)
     fits = {
-        "LogReg": lambda train, val: training.fit_logreg(train, max_iter=30),
-        "RandomForest": lambda train, val: training.fit_forest(train, trees=15, max_depth=6, min_rows_per_leaf=2),
+        "LogReg": lambda train, val: training.fit_logreg(train, features=DIMENSIONS),
+        "RandomForest": lambda train, val: training.fit_forest(train, features=DIMENSIONS),
     }
     result = flow_jobs.compare_models(
-        archive, test, fits, key_columns=KEY, max_per_label=150, val_frac=0.2, rare_support_threshold=12
+        archive, test, fits, key_columns=KEY, features=DIMENSIONS, rare_support_threshold=12
     )
     return result.summary
 
@@ -156,7 +160,7 @@ def compare_models(spark, sf):
 def tune_model_thresholds(spark, sf):
     """Thresholds for a trained model, from its rebuilt validation split: metrics per split and variant."""
     archive, test = _held_out(spark, sf)
-    model = training.fit_logreg(archive, max_iter=30)
+    model = training.fit_logreg(archive, features=DIMENSIONS)
     result = flow_jobs.tune_model(
         model, archive, test, key_columns=KEY, rare_support_threshold=12, val_frac=0.5, min_rows=3, min_recall_ratio=0.4
     )
@@ -167,7 +171,7 @@ def training_data_audit(spark, sf):
     """Overlap before, rows removed and overlap after, for the archive against the test rows plus some of its own."""
     archive, test = _held_out(spark, sf)
     leaked = test.unionByName(archive.where("label = 'XSS'"))
-    data = flow_jobs.prepare_training_data(archive, leaked, key_columns=KEY, max_per_label=None)
+    data = flow_jobs.prepare_training_data(archive, leaked, key_columns=KEY, features=DIMENSIONS, max_per_label=None)
     return data.audit.select("unique_a", "overlap", "rows_before", "rows_removed", "rows_kept", "overlap_after")
 
 
@@ -186,7 +190,7 @@ QUERIES = {
     "training_data_audit": (
         training_data_audit,
         f"""WITH o AS (SELECT {SQL_LABEL} AS label, row_number() OVER (ORDER BY md5(concat_ws('|', '8', vec_id))) AS rn,
-              count(*) OVER () AS n, list_slice(embedding, 1, 40) AS x FROM embeddings),
+              count(*) OVER () AS n, embedding AS x FROM embeddings),
             a AS (SELECT label, x FROM o WHERE rn <= floor(n * (1.0 - 0.25))),
             t AS (SELECT DISTINCT x FROM (SELECT x FROM o WHERE rn > floor(n * (1.0 - 0.25))
                   UNION ALL SELECT x FROM a WHERE label = 'XSS'))

@@ -13,13 +13,14 @@ from flowlab.session import materialize
 
 
 def grouped_quantiles(
-    df: DataFrame, group: str, value: str, points: Sequence[float], min_rows: int = 1, *, opened: int = OPENED
+    df: DataFrame, group: str, value: str, points: Sequence[float], min_rows: int = 1, *, opened: int = OPENED, lower: bool = False
 ) -> DataFrame:
     """(group, n, q, quantile) of a numeric column of any range; groups under ``min_rows`` rows are left out.
 
     Rows are counted by the leading digit of the value's order; the prefixes that hold a wanted rank are counted by the
     next digit until they hold one value or at most ``opened`` rows, which alone are collapsed to distinct values and
-    ranked. Null values are passed over, NaN is the largest; a null group is a group.
+    ranked. Null values are passed over, NaN is the largest; a null group is a group. With ``lower`` the quantile is the
+    value at the rank below, not a mean of two.
     """
     valued = df.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
     valued = valued.withColumn("_bits", ordered_bits(F.col("_v")))
@@ -73,5 +74,5 @@ def grouped_quantiles(
         values = values.unionByName(more)
     share = F.col("_position") - F.floor("_position")
     ends = values.groupBy("_g", "n", "q", "_position").agg(F.min("_found").alias("_low"), F.max("_found").alias("_high"))
-    quantile = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(F.col("_low") + (F.col("_high") - F.col("_low")) * share)
+    quantile = F.when(F.lit(lower) | (F.col("_low") == F.col("_high")), F.col("_low")).otherwise(F.col("_low") + (F.col("_high") - F.col("_low")) * share)
     return ends.select(F.col("_g").alias(group), "n", "q", quantile.alias("quantile"))

@@ -15,11 +15,10 @@ from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlab.operators.quantiles import grouped_quantiles
 from flowlab.schema import quoted, ticked
 
 FILLED, MISSING = "_filled_", "_missing_"
-#: Medians are off by at most one in so many ranks.
-MEDIAN_ACCURACY = 10_000
 _INFINITY = float("inf")
 
 
@@ -34,8 +33,9 @@ class Gap:
     marked: bool
 
 
-def find_gaps(df: DataFrame, features: Sequence[str], accuracy: int = MEDIAN_ACCURACY) -> list[Gap]:
-    """Features that hold a null, NaN or infinity; a second pass, over these alone, finds their medians and bounds.
+def find_gaps(df: DataFrame, features: Sequence[str]) -> list[Gap]:
+    """Features that hold a null, NaN or infinity; further passes, over these alone, find their bounds and exact medians
+    (the lower one of two).
 
     A feature without a finite value is filled with 0.
     """
@@ -49,11 +49,13 @@ def find_gaps(df: DataFrame, features: Sequence[str], accuracy: int = MEDIAN_ACC
         return []
     finite = {i: F.when(F.abs(columns[i]) < _INFINITY, columns[i]) for i in holed}  # NaN is above infinity
     found = df.agg(
-        *[F.percentile_approx(c, 0.5, accuracy).alias(f"f{i}") for i, c in finite.items()],
         *[F.min(c).alias(f"l{i}") for i, c in finite.items()],
         *[F.max(c).alias(f"h{i}") for i, c in finite.items()],
     ).first()
-    return [Gap(i, *(found[f"{k}{i}"] or 0.0 for k in "flh"), counts[f"n{i}"] > 0) for i in holed]
+    listed = F.array(*[F.struct(F.lit(i).alias("feature"), c.alias("value")) for i, c in finite.items()])
+    unfolded = df.select(F.explode(listed).alias("e")).select("e.*")
+    medians = {r["feature"]: r["quantile"] for r in grouped_quantiles(unfolded, "feature", "value", [0.5], lower=True).collect()}
+    return [Gap(i, medians.get(i) or 0.0, *(found[f"{k}{i}"] or 0.0 for k in "lh"), counts[f"n{i}"] > 0) for i in holed]
 
 
 def fill_statement(gaps: Sequence[Gap], features: Sequence[str]) -> str:
