@@ -69,6 +69,19 @@ def csv_mixed_layouts(spark, sf):
     return rounded(table.groupBy("label").agg(F.count("*").alias("rows"), *sums), *[f"f{i}" for i in range(len(names))], places=4)
 
 
+def csv_single_precision(spark, sf):
+    """A third of each price and its tax, read back in single precision: bounds and sums per flag."""
+    path = fresh_path(spark, "single")
+    lines = load(spark, sf, "lineitem").selectExpr("l_returnflag AS label", "l_extendedprice / 3 AS price", "l_extendedprice * l_tax / 7 AS tax")
+    lines.write.option("header", True).csv(path)
+    table = read_labelled_test(spark, path, features=["tax", "price"], label="label", dtype="float")
+    wide = table.select("label", *[F.col(c).cast("double").alias(c) for c in ("tax", "price")])
+    out = wide.groupBy("label").agg(
+        F.count("*").alias("rows"), *[f(c).alias(f"{n}_{c}") for c in ("tax", "price") for n, f in (("least", F.min), ("most", F.max), ("sum", F.sum))]
+    )
+    return rounded(out, "sum_tax", "sum_price", places=2)
+
+
 def _event_scorer(spark, sf):
     """Scores event rows against the frequency table of the batch table; row-local."""
     table = materialize(frequency_table(event_rows(spark, sf), "bucket", "event_type", EVENT_CLASSES), "frequencies")
@@ -181,6 +194,13 @@ QUERIES = {
     ),
     "csv_flow_archive": (csv_flow_archive, _sql_archive()),
     "csv_mixed_layouts": (csv_mixed_layouts, _sql_mixed()),
+    "csv_single_precision": (
+        csv_single_precision,
+        """WITH t AS (SELECT l_returnflag AS label, CAST(CAST(l_extendedprice / 3 AS FLOAT) AS DOUBLE) AS price,
+             CAST(CAST(l_extendedprice * l_tax / 7 AS FLOAT) AS DOUBLE) AS tax FROM lineitem)
+           SELECT label, count(*) AS rows, min(tax) AS least_tax, max(tax) AS most_tax, round(sum(tax), 2) AS sum_tax,
+             min(price) AS least_price, max(price) AS most_price, round(sum(price), 2) AS sum_price FROM t GROUP BY 1""",
+    ),
     "results_csv_sink": (
         results_csv_sink,
         f"""{SQL_PRED} SELECT event_id, predicted_class, alert_level,
