@@ -29,6 +29,7 @@ from flowlab.functions.ranking import (
 )
 from flowlab.functions.decisions import ThresholdConfig
 from flowlab.operators import hygiene, reports, sampling, support, taxonomy, tuning
+from flowlab.operators.small import small_side
 from flowlab.plans.scoring import decide_flat
 from flowlab.schema import conform, labelled
 
@@ -106,7 +107,7 @@ def nation_taxonomy(spark, sf):
 def customers(spark, sf):
     """Customers with their nation as label."""
     nation = load(spark, sf, "nation").select("n_nationkey", "n_name")
-    return load(spark, sf, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(
+    return load(spark, sf, "customer").join(small_side(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(
         "c_custkey", F.col("n_name").alias("label"), "c_mktsegment", "c_acctbal"
     )
 

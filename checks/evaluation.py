@@ -26,6 +26,7 @@ from flowlab.functions.ranking import argmax_class
 from flowlab.operators import average_precision as ap
 from flowlab.operators import metrics, reports, sampling
 from flowlab.operators.quantiles import grouped_quantiles
+from flowlab.operators.small import small_side
 from flowlab.operators.support import class_support, rare_labels
 from flowlab.plans.evaluation import evaluate_scored, evaluate_stacked
 from flowlab.session import materialize
@@ -183,7 +184,7 @@ def _stacked(spark, sf):
     train, scored = rows.where("split = 'TRAIN'"), rows
     for name in CANDIDATES:
         table = frequency_table(train, name, "label", EVENT_CLASSES, out=f"p_{name}")
-        scored = scored.join(F.broadcast(table), name, "left")  # at most 24 x 21 buckets
+        scored = scored.join(small_side(table), name, "left")
     nothing = F.array(*[F.lit(0.0) for _ in EVENT_CLASSES])
     columns = {name: f"p_{name}" for name in CANDIDATES}
     scored = scored.withColumns({c: F.coalesce(c, nothing) for c in columns.values()})

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from flowlab.operators.small import small_side
+
 EVENT_CLASSES = ["click", "error", "purchase", "signup", "view"]
 EVENT_FAMILIES = {"Browse": ["click", "view"], "Convert": ["purchase", "signup"], "Fault": ["error"]}
 EVENT_BENIGN = "view"
@@ -44,8 +46,8 @@ def frequency_table(rows: DataFrame, bucket: str, label: str, classes: Sequence[
 
 
 def attach(rows: DataFrame, table: DataFrame, bucket: str = "bucket") -> DataFrame:
-    """Bucket attributes have a fixed small domain (hours x value steps), so the table is broadcast."""
-    return rows.join(F.broadcast(table), bucket)
+    """The table is broadcast when it is counted to be small."""
+    return rows.join(small_side(table), bucket)
 
 
 def event_bucket() -> Column:

@@ -10,7 +10,7 @@ from flowlab.operators import reports, taxonomy
 from flowlab.operators.small import pin, small_side
 from flowlab.plans.scoring import decide_flat
 from flowlab.schema import EXCLUDED, FEATURES, TAXONOMY, conform, flow_schema, require_label
-from flowlab.session import fresh_path, shared_folder
+from flowlab.session import fresh_path, materialize, scratch, shared_folder
 from flowlab.sources.config import load_threshold_config, save_threshold_config
 from flowlab.sources.csv import header_lines, read_archive, read_csv_by_name, read_labelled_test, write_predictions
 from flowlab.streaming import scoring as streams
@@ -188,3 +188,17 @@ def test_headers_of_awkward_files(spark, tmp_path):
     assert lines == {"a file+1.csv": "x,label", "b.csv": "label,x"}
     rows = read_csv_by_name(spark, f"{tmp_path}/*.csv", features=["x"]).collect()
     assert sorted((r.x, r.label) for r in rows) == [(1.0, "A"), (2.0, "B"), (3.0, "C")]
+
+
+def test_scratch_removes_its_tables_only(spark):
+    kept = materialize(spark.range(3), "kept")
+    with scratch(spark):
+        inner = materialize(spark.range(5), "inner")
+        files = inner.inputFiles()
+        assert inner.count() == 5
+    assert kept.count() == 3 and not any(os.path.exists(f.removeprefix("file:")) for f in files)
+    with pytest.raises(ValueError, match="stop"), scratch(spark):
+        files = materialize(spark.range(2), "failed").inputFiles()
+        raise ValueError("stop")
+    assert not any(os.path.exists(f.removeprefix("file://").removeprefix("file:")) for f in files)
+    assert materialize(spark.range(4), "after").count() == 4
