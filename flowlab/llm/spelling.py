@@ -43,12 +43,14 @@ def document_words(doc_id: int | None, text: str) -> Counter:
     if doc_id is None:
         return words
     start = zlib.crc32(f"{doc_id}:".encode())
+    misread = Counter()  # kept apart: a run read as another one that is misread itself changes only once
     for run in [w for w in words if zlib.crc32(w.encode(), start) % MISREAD == 0]:
         n = words.pop(run)
         cut = zlib.crc32(run.encode(), start) % len(run)
         word = run[:cut] + run[cut + 1 :]
         if len(word) >= MIN_LENGTH:
-            words[word] += n
+            misread[word] += n
+    words.update(misread)
     return words
 
 
@@ -124,7 +126,8 @@ def _answered(shard: pa.Table) -> pa.Table:
     """(word, near, n_near, form_n, form): for each query of a shard with near words, their number and the most frequent."""
     side = shard.column("side")[0].as_py()
     indexed = shard.filter(shard.column("indexed"))
-    asks = shard.filter(shard.column("asks"))
+    # pieces of one divided half may lie in one shard: a word asks there once
+    asks = shard.filter(shard.column("asks")).group_by("word", use_threads=False).aggregate([("part", "min")]).rename_columns(["word", "part"])
     none = pa.table({"word": pa.array([], pa.string()), "n_near": pa.array([], pa.int64()), "form_n": pa.array([], pa.int64()), "form": pa.array([], pa.string())})
     if not len(indexed) or not len(asks):
         return none

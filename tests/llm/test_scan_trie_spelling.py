@@ -289,6 +289,22 @@ def spoken():
     return rows + rows[:50]
 
 
+def test_a_run_read_as_another_misread_one_changes_once(monkeypatch):
+    """Every run is misread here, so what one is read as may be a run that comes later."""
+    monkeypatch.setattr(spelling, "MISREAD", 1)
+    letters = "a" * 9
+    text = " ".join([letters, letters, letters[:8], letters[:7]])
+    assert spelling.document_words(3, text) == {"a" * 8: 2, "a" * 7: 1, "a" * 6: 1}
+
+
+def test_pieces_of_a_half_in_one_shard_answer_a_word_once():
+    """A half divided over two pieces that were dealt to one shard: its word asks in both and has one near word."""
+    rows = [("abcdef", 9, 3, True, True), ("abcdef", 9, 3, True, False), ("abcdeg", 50, 3, True, True), ("abcdeg", 50, 3, True, False)]
+    shard = pa.table({"side": pa.array([0] * 4, pa.int32()), **{c: [r[k] for r in rows] for k, c in enumerate(["word", "n", "part", "asks", "indexed"])}})
+    got = sorted(spelling._answered(shard).to_pylist(), key=lambda r: r["word"])
+    assert [(r["word"], r["n_near"], r["form_n"], r["form"]) for r in got] == [("abcdef", 1, 50, "abcdeg"), ("abcdeg", 1, 9, "abcdef")]
+
+
 def test_vocabulary_matches_brute_force(spark):
     rows = spoken()
     df = table(spark, [t for _, t in rows], [i for i, _ in rows])
