@@ -8,9 +8,10 @@ similarity is 1 - (word edits) / (words of the longer text). A class is a connec
 
 A sketch shared by many nodes never gives all pairs as rows: its components are first compared by one node each, with one
 centre or pair by pair, in rounds with changing centres. Then the members that lie outside a sketch's largest component
-meet all members, block by block: two blocks of nodes are compared in one task, on counts of common words first. A sketch
-with more than LARGE such members is divided by the longer sketch of the same order before. Word hashes of a node are
-looked up once and sent to the tasks that need them.
+meet all members of fitting length, however many they are: blocks of members are rows, and two blocks are compared in one
+task on the signatures of their texts, a few bits a word. An edit changes two words of the bag at most, so signatures that
+differ in more bits than the threshold allows rule a pair out; only what is left goes on as pairs, to be aligned. Word
+hashes of a node are looked up once and sent to the tasks that need them.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlab.llm.common import NO_ID, WORD_BYTE, hashed_words, join_keys, keep_rows, keyed_texts, mix
@@ -38,17 +39,18 @@ ORDERED = 2
 SKETCHES = 64
 #: Components of one sketch that are compared pair by pair in the centre rounds.
 PAIRWISE = 12
-#: k-mers kept in order by the longer sketch that divides overfull ones. A pair that shares 0.8 of its k-mers shares one of
-#: 64 longer sketches with probability 0.99999.
-LONG = 8
-#: Members outside its largest component that a sketch may have without being divided.
-LARGE = 16_384
 #: Rounds of comparisons with changing centres before the members of a crowded sketch are compared.
 CENTRE_ROUNDS = 3
 #: Edits that are tried one by one before a pair is aligned column by column.
 FEW_EDITS = 24
 #: Nodes of one block, and their words, about; a task compares two blocks.
-BLOCK, BLOCK_WORDS = 256, 1_000_000
+BLOCK, BLOCK_WORDS = 2048, 4_000_000
+#: Bits of a signature for each word, about, and of the shortest one; lengths are powers of two.
+WORD_BITS, LEAST_BITS = 4, 512
+#: Numbers compared at once in a task.
+COMPARED = 1 << 20
+#: Candidates of one node that are aligned in the first round, and how many times as many in each further one.
+FIRST, MORE = 16, 8
 #: Pairs of one centre are spread over at least so many tasks, and one more for each PAIRS pairs of all.
 SPREAD, PAIRS = 16, 100_000
 _odd = np.random.default_rng(11).integers(1, 2**32, SKETCHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -79,11 +81,11 @@ def occurrence_labels(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def order_sketches(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """SKETCHES values and longer ones: each hashes, in text order, the ORDERED (LONG) k-mers least in one random order."""
+def order_sketches(words: np.ndarray) -> np.ndarray:
+    """SKETCHES values: each hashes, in text order, the ORDERED k-mers least in one random order."""
     grams = kmers(words)
     if not len(grams):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64)
     grams = mix(grams + occurrence_labels(grams) * np.uint64(0xC2B2AE3D27D4EB4F))
     small = (grams >> np.uint64(32)).astype(np.uint32)
     best = np.zeros((SKETCHES, 0), np.int64)
@@ -91,22 +93,19 @@ def order_sketches(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = small[None, lo : lo + _SLICE] * _odd[:, None]
         row = np.arange(SKETCHES)
         found = []
-        for _ in range(min(LONG, h.shape[1])):
+        for _ in range(min(ORDERED, h.shape[1])):
             at = h.argmin(1)
             found.append(at + lo)
             h[row, at] = 0xFFFFFFFF
         best = np.concatenate([best, np.stack(found, 1)], 1)
     if len(grams) > _SLICE:
         h = small[best] * _odd[:, None]
-        best = np.take_along_axis(best, np.argsort(h, 1, kind="stable")[:, :LONG], 1)
-    out = []
-    for size in (ORDERED, LONG):
-        placed = np.sort(best[:, :size], 1)
-        value = np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x165667B19E3779F9) + np.uint64(size)
-        for j in range(placed.shape[1]):
-            value = mix(value * np.uint64(0x27D4EB2F165667C5) + grams[placed[:, j]])
-        out.append(value.astype(np.int64))
-    return out[0], out[1]
+        best = np.take_along_axis(best, np.argsort(h, 1, kind="stable")[:, :ORDERED], 1)
+    placed = np.sort(best, 1)
+    value = np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x165667B19E3779F9) + np.uint64(ORDERED)
+    for j in range(placed.shape[1]):
+        value = mix(value * np.uint64(0x27D4EB2F165667C5) + grams[placed[:, j]])
+    return value.astype(np.int64)
 
 
 def _run(a: np.ndarray, b: np.ndarray) -> int:
@@ -203,25 +202,23 @@ def word_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _sketched(texts: DataFrame) -> DataFrame:
-    """(id, th, words, digest, sketches, longer): digest names the word sequence."""
+    """(id, th, words, digest, sketches): digest names the word sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sketches, longer, counts = [], [], [], []
+            digests, sketches, counts = [], [], []
             for _, words in word_hashes(batch.column(2)):
                 digests.append(xxhash.xxh3_128_digest(words.tobytes()))
                 counts.append(len(words))
-                short, long = order_sketches(words)
-                sketches.append(short)
-                longer.append(long)
+                sketches.append(order_sketches(words))
             lengths = np.cumsum([0, *map(len, sketches)]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(lengths, np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (sketches, longer)]
+            lists = pa.ListArray.from_arrays(lengths, np.concatenate(sketches) if sketches else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), *lists],
-                names=["id", "th", "words", "digest", "sketches", "longer"],
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists],
+                names=["id", "th", "words", "digest", "sketches"],
             )
 
-    return texts.mapInArrow(run, "id long, th long, words long, digest binary, sketches array<long>, longer array<long>")
+    return texts.mapInArrow(run, "id long, th long, words long, digest binary, sketches array<long>")
 
 
 def _bodies(texts: DataFrame) -> DataFrame:
@@ -237,15 +234,10 @@ def _bodies(texts: DataFrame) -> DataFrame:
 
 
 def _sent(work: DataFrame, bodies: DataFrame) -> DataFrame:
-    """``work`` (node, ..) with each node's body: looked up once a node, then sent with each of its rows, and with all
-    buckets of the node where ``work`` names a bucket."""
+    """``work`` (node, ..) with each node's body: looked up once a node, then sent with each of its rows."""
     columns = [c for c in work.columns if c != "node"]
     jobs = work.groupBy("node").agg(F.collect_list(F.struct(*columns)).alias("jobs"))  # the tasks of one node
-    kept = ["node", "body"]
-    if "bucket" in columns:
-        jobs = jobs.withColumn("buckets", F.array_sort(F.array_distinct("jobs.bucket")))
-        kept.append("buckets")
-    return jobs.join(bodies, "node").select(*kept, F.explode("jobs").alias("job")).select(*kept, "job.*")
+    return jobs.join(bodies, "node").select("node", "body", F.explode("jobs").alias("job")).select("node", "body", "job.*")
 
 
 def _words(body: pa.Scalar) -> np.ndarray:
@@ -286,87 +278,111 @@ def _ordered(x, y) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _common(tokens: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """How many tokens each text of ``left`` shares with each of ``right``; those of one text only are passed over."""
-    every = np.concatenate(tokens)
-    row = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-    order = np.argsort(every, kind="stable")
-    same = every[order][1:] == every[order][:-1]
-    shared = np.r_[same, False] | np.r_[False, same]
-    at = np.cumsum(~np.r_[False, same])[shared]  # a number for each shared token
-    at, row = np.unique(at, return_inverse=True)[1], row[order[shared]]
-    common = np.zeros((len(left), len(right)), np.float32)
-    for lo in range(0, int(at.max(initial=-1)) + 1, 4096):
-        part = slice(np.searchsorted(at, lo), np.searchsorted(at, lo + 4096))
-        has = np.zeros((len(tokens), 4096), np.float32)
-        has[row[part], at[part] - lo] = 1
-        common += has[left] @ has[right].T
-    return common
+def signature(words: np.ndarray) -> np.ndarray:
+    """Bits, as 64-bit numbers: for each place, whether an odd number of words, labelled by occurrence, falls on it."""
+    size = max(LEAST_BITS, 1 << (WORD_BITS * len(words) - 1).bit_length()) if len(words) else LEAST_BITS
+    at = mix(words + mix(occurrence_labels(words) + np.uint64(1))) & np.uint64(size - 1)
+    odd = np.bincount(at.astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Signatures (rows) as shorter ones of ``width`` numbers would be."""
+    while bits.shape[1] > width:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def _signatures(bodies: DataFrame) -> DataFrame:
+    """(node, bits) of (node, body)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [signature(_words(b)).tobytes() for b in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["node", "bits"])
+
+    return bodies.select("node", "body").mapInArrow(run, "node long, bits binary")
+
+
+def _allowed(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """How many words of two similar texts of these lengths are in one of them only, at most; negative if too different."""
+    longest = np.maximum(x, y)
+    edits = np.floor((1 - similarity) * longest + 1e-9).astype(np.int64)
+    return np.where(np.abs(x - y) > edits, -1, x + y - 2 * (longest - edits))
 
 
 def _compared(similarity: float):
-    """Links between the components of two blocks (or inside one): two texts are compared if they are not joined yet, have
-    enough words in common, in any order, and share no smaller bucket, where they meet as well."""
+    """(a, b): pairs of different components between two blocks, or inside one, that their signatures do not rule out and
+    that share no smaller bucket, where they meet as well."""
 
     def run(task: pa.Table) -> pa.Table:
-        task = task.combine_chunks()
-        nodes, comps, first, second, longer = (np.array(task.column(c).to_pylist()) for c in ("node", "comp", "first", "second", "longer"))
-        words, bucket = [_words(b) for b in task.column("body")], task.column("bucket")[0].as_py()
-        earlier = [frozenset(x for x in held if x < bucket) for held in task.column("buckets").to_pylist()]
-        tokens = [mix(w + mix(occurrence_labels(w) + np.uint64(1))) for w in words]
-        sizes = np.array([len(w) for w in words])
-        left, right = np.flatnonzero(first), np.flatnonzero(second)
+        blocks, key, earlier = [], task.column("key")[0].as_py(), {}
+        for members in task.column("members").to_pylist():
+            by_width: dict[int, list] = {}
+            for m in members:
+                by_width.setdefault(len(m["bits"]) // 8, []).append(m)
+                earlier[m["node"]] = frozenset(x for x in m["buckets"] if x < key)
+            block = {}
+            for width, some in by_width.items():
+                columns = [np.array([m[c] for m in some], np.int64) for c in ("node", "comp", "words")]
+                block[width] = (*columns, np.frombuffer(b"".join(m["bits"] for m in some), np.uint64).reshape(len(some), width))
+            blocks.append(block)
         found = []
-        if len(left) and len(right):
-            common = _common(tokens, left, right)
-            longest = np.maximum(sizes[left][:, None], sizes[right][None])
-            maybe = longest - common <= np.floor((1 - similarity) * longest + 1e-9)
-            maybe &= (comps[left][:, None] != comps[right][None]) & ~(longer[left][:, None] & longer[right][None])
-            label = np.unique(comps, return_inverse=True)[1]
-            for x, y in zip(*(v.tolist() for v in np.nonzero(maybe))):
-                x, y = left[x], right[y]
-                if label[x] != label[y] and earlier[x].isdisjoint(earlier[y]) and within(words[x], words[y], similarity):
-                    label[label == label[y]] = label[x]
-                    found.append((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+        for left_width, (nodes, comps, sizes, bits) in blocks[0].items():
+            for right_width, (others, other_comps, other_sizes, other_bits) in blocks[-1].items():
+                width = min(left_width, right_width)
+                left, right = _folded(bits, width), _folded(other_bits, width)
+                step = max(1, COMPARED // (width * len(others)))
+                for lo in range(0, len(nodes), step):
+                    part = slice(lo, lo + step)
+                    allowed = _allowed(sizes[part, None], other_sizes[None], similarity)
+                    maybe = (allowed >= 0) & (comps[part, None] != other_comps[None])
+                    if len(blocks) == 1:
+                        maybe &= nodes[part, None] < others[None]
+                    x, y = np.nonzero(maybe)
+                    for k in range(0, len(x), chunk := max(1, COMPARED // width)):
+                        u, v = x[k : k + chunk], y[k : k + chunk]
+                        differ = np.bitwise_count(left[lo + u] ^ right[v]).sum(1, dtype=np.int64)
+                        near = differ <= allowed[u, v]
+                        met = zip(nodes[lo + u[near]].tolist(), others[v[near]].tolist())
+                        found += [pair for pair in met if earlier[pair[0]].isdisjoint(earlier[pair[1]])]
+        pairs = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"a": pairs.min(0), "b": pairs.max(0)})
 
     return run
 
 
-def _met(buckets: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): verified links that join the components of each bucket (key, node, comp, words).
+def _met(members: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of different components within a bucket (key, node, comp, words) that may be similar.
 
-    Texts that are alike differ in length by one step at most, a step being a factor of 1 / similarity, so a bucket falls
-    into parts of two steps each, whose longer texts do not meet each other. Members of the largest component of a part
-    meet those outside it only; block numbers of the latter come first.
+    The members of a small bucket are one block. A large one is divided by length and by whether a member lies in the
+    largest component, and further into blocks of about BLOCK nodes. Texts that are alike differ in length by one step at
+    most, a step being a factor of 1 / similarity, so blocks of two neighbouring steps meet; two blocks of the largest
+    component do not.
     """
-    step = F.floor(F.log(F.greatest("words", F.lit(1))) / math.log(1 / similarity))
-    both = F.array(F.struct(step.alias("step"), F.lit(False).alias("longer")), F.struct((step - 1).alias("step"), F.lit(True).alias("longer")))
-    buckets = buckets.select("key", "node", "comp", "words", F.explode(both).alias("s")).select(F.struct("key", "s.step").alias("key"), F.col("key").alias("bucket"), "node", "comp", "words", "s.longer")
-    parts = buckets.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("words").alias("w"), F.count_if(~F.col("longer")).alias("own"))
-    largest = parts.groupBy("key").agg(
-        F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "w", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("own").alias("own")
-    ).filter("comps > 1 AND own > 0")
-    blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / BLOCK_WORDS, F.lit(1))).cast("int")
-    sizes = largest.select(
-        "key",
-        F.col("top.comp").alias("top"),
-        blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("outside"),
-        blocks(F.col("top.n"), F.col("top.w")).alias("inside"),
+    parts = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("words").alias("w"))
+    tops = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    small = (F.col("n") <= BLOCK) & (F.col("w") <= BLOCK_WORDS)
+    tops = tops.filter("comps > 1").select("key", F.col("top.comp").alias("top"), small.alias("small"))
+    step = F.floor(F.log(F.greatest("words", F.lit(1))) / math.log(1 / similarity)).cast("int")
+    rows = members.join(tops, "key").select(
+        "key", "node", "comp", "words", F.when(F.col("small"), 0).otherwise(step).alias("step"), (~F.col("small") & (F.col("comp") == F.col("top"))).alias("in_top")
     )
-    placed = buckets.join(sizes, "key").withColumn("in_top", F.col("comp") == F.col("top"))
-    draw = F.xxhash64("node", "key")
-    mine = F.when(F.col("in_top"), F.col("outside") + F.pmod(draw, F.col("inside"))).otherwise(F.pmod(draw, F.col("outside"))).cast("int")
-    placed = placed.withColumn("mine", mine)
-    last = F.col("outside") + F.col("inside") - 1
-    # the block is the first of a pair (i, j) with every j from its own number, and the second with every i up to it
-    as_first = F.transform(F.sequence("mine", last), lambda j: F.struct(F.col("mine").alias("i"), j.alias("j")))
-    as_second = F.transform(F.sequence(F.lit(0), F.col("mine")), lambda i: F.struct(i.alias("i"), F.col("mine").alias("j")))
-    below = F.transform(F.sequence(F.lit(0), F.col("outside") - 1), lambda i: F.struct(i.alias("i"), F.col("mine").alias("j")))
-    tasks = F.when(F.col("in_top"), below).otherwise(F.array_union(as_first, as_second))
-    work = placed.select("key", "bucket", "node", "comp", "longer", "mine", F.explode(tasks).alias("t"))
-    work = work.select("key", "bucket", "node", "comp", "longer", "t.*", (F.col("t.i") == F.col("mine")).alias("first"), (F.col("t.j") == F.col("mine")).alias("second"))
-    return _sent(work, bodies).groupBy("key", "i", "j").applyInArrow(_compared(similarity), "a long, b long")
+    place = ["key", "step", "in_top"]
+    sizes = rows.groupBy(*place).agg(F.count("*").alias("n"), F.sum("words").alias("w"))
+    sizes = materialize(sizes.select(*place, F.ceil(F.greatest(F.col("n") / BLOCK, F.col("w") / BLOCK_WORDS, F.lit(1))).cast("int").alias("pieces")), "sizes")
+    nodes = rows.groupBy("node").agg(F.collect_list("key").alias("buckets"))  # SKETCHES at most
+    signed = _signatures(bodies.join(nodes, "node", "left_semi")).join(nodes, "node")
+    held = rows.join(sizes, place).withColumn("piece", F.pmod(F.xxhash64("node", "key"), F.col("pieces")).cast("int")).join(signed, "node")
+    block = F.struct("in_top", "step", "piece").alias("block")
+    blocks = held.groupBy("key", block).agg(F.collect_list(F.struct("node", "comp", "words", "bits", "buckets")).alias("members"))  # about BLOCK of them
+    every = sizes.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("key", block)
+    left, right = every.alias("x"), every.alias("y")
+    fitting = (F.col("x.block") <= F.col("y.block")) & (F.abs(F.col("x.block.step") - F.col("y.block.step")) <= 1) & ~(F.col("x.block.in_top") & F.col("y.block.in_top"))
+    tasks = left.join(right, "key").filter(fitting).select("key", F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+    wanted = tasks.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    return wanted.join(blocks, ["key", "block"]).select("key", "i", "j", "members").groupBy("key", "i", "j").applyInArrow(_compared(similarity), "a long, b long")
 
 
 def _labelled(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -376,25 +392,16 @@ def _labelled(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
     return nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def _apart(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Buckets (.., key, node, words, comp) of several components: those that are compared block by block, and those with
-    more than LARGE members outside their largest component."""
-    parts = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    sizes = parts.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max("n").alias("top")).filter("comps > 1")
-    fits = F.col("n") - F.col("top") <= LARGE
-    return members.join(sizes.filter(fits).select("key"), "key"), members.join(sizes.filter(~fits).select("key"), "key")
-
-
 def _links(members: DataFrame, nodes: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame | None:
     """Component label (node, comp) of every node that has a verified link; None if there is none.
 
-    ``members`` (j, value, node, words) holds the sketches that at least two nodes share, ``nodes`` (node, words, longer) the
-    lengths and longer sketches of these nodes.
+    ``members`` (value, node, words) holds the sketches that at least two nodes share, ``nodes`` (node, words) the lengths
+    of these nodes.
     """
     tested = labels = crowds = None
     for rounds in range(CENTRE_ROUNDS):
         if rounds:
-            known = _labelled(crowds, labels).select("node", "comp", "words", F.explode("held").alias("h")).select("node", "comp", "words", "h.*")
+            known = _labelled(crowds, labels).select("node", "comp", "words", F.explode("held").alias("value"))
         else:
             known = members.withColumn("comp", F.col("node"))
         # one node stands for its component in a sketch: at first the same one wherever it is met, so that a large group
@@ -420,23 +427,33 @@ def _links(members: DataFrame, nodes: DataFrame, bodies: DataFrame, similarity:
             labels = joined_components(labels, new)
         if not rounds:  # of a sketch of few nodes all pairs are compared by now; all members of the others go on
             crowded = members.groupBy("value").agg(F.count("*").alias("n")).filter(F.col("n") > PAIRWISE).select("value")
-            held = members.join(crowded, "value").groupBy("node").agg(F.collect_list(F.struct("j", "value")).alias("held"))  # SKETCHES at most
+            held = members.join(crowded, "value").groupBy("node").agg(F.collect_list("value").alias("held"))  # SKETCHES at most
             crowds = materialize(held.join(nodes, "node"), "crowds")
             if crowds.isEmpty():
                 return labels
         if not linked:
             break
-    rows = _labelled(crowds, labels).select("node", "comp", "words", "longer", F.explode("held").alias("h"))
-    rows = materialize(rows.select("node", "comp", "words", F.col("longer")[F.col("h.j")].alias("long"), F.col("h.value").alias("key")), "members")
-    small, large = _apart(rows)
-    new = _met(small, bodies, similarity)
-    if not large.isEmpty():
-        # every member meets those that share the longer sketch; what is overfull again is compared block by block too
-        divided = large.select("node", "comp", "words", F.col("long").alias("key"))
-        fits, overfull = _apart(divided)
-        new = new.unionByName(_met(fits.unionByName(overfull), bodies, similarity))
-    new = materialize(new, "links")
-    return labels if new.isEmpty() else joined_components(labels, new)
+    rows = materialize(_labelled(crowds, labels).select("node", "comp", "words", F.explode("held").alias("key")), "members")
+    return _closed(_met(rows, bodies, similarity), labels, bodies, similarity)
+
+
+def _closed(candidates: DataFrame, labels: DataFrame | None, bodies: DataFrame, similarity: float) -> DataFrame | None:
+    """``labels`` (node, comp) after all similar pairs of ``candidates`` (a, b) are joined. Some of each node are aligned
+    first, then more, but for those that were joined meanwhile."""
+    left, most = materialize(candidates.distinct(), "candidates"), FIRST
+    while not left.isEmpty():
+        ranked = left.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b"), "b")))
+        ranked = materialize(ranked.select("a", "b", (F.col("place") <= most).alias("now")), "ranked")
+        new = materialize(_verified(ranked.filter("now").select("a", "b"), bodies, similarity), "links")
+        left = ranked.filter("NOT now").select("a", "b")
+        if not new.isEmpty():
+            labels = joined_components(labels, new)
+        if labels is not None:
+            for end in ("a", "b"):
+                left = left.join(labels.select(F.col("node").alias(end), F.col("comp").alias(f"comp_{end}")), end, "left")
+            left = left.filter("comp_a IS NULL OR comp_b IS NULL OR comp_a <> comp_b").select("a", "b")
+        left, most = materialize(left, "candidates"), most * MORE
+    return labels
 
 
 def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, similarity: float = SIMILARITY) -> DataFrame:
@@ -451,13 +468,13 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, s
     rank = F.struct(F.col("id") == NO_ID, "id", "uid")
     nodes = materialize(base.groupBy("digest").agg(F.min("uid").alias("node"), F.min(rank).alias("first"), F.count("*").alias("copies")), "nodes")
     own = base.join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi")
-    exploded = own.select(F.posexplode("sketches").alias("j", "value"), F.col("uid").alias("node"), "words")
+    exploded = own.select(F.explode("sketches").alias("value"), F.col("uid").alias("node"), "words")
     shared = exploded.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1").select("value")
     members = materialize(exploded.join(shared, "value"), "members")
     some = own.join(members.select(F.col("node").alias("uid")).distinct(), "uid", "left_semi").select("id", "th", F.col("uid").alias("node"))
     wanted = join_keys(texts, some).dropDuplicates(["node"])
-    longer = own.join(members.select(F.col("node").alias("uid")).distinct(), "uid", "left_semi").select(F.col("uid").alias("node"), "words", "longer")
-    labels = _links(members, longer, materialize(_bodies(wanted), "bodies"), similarity)
+    lengths = own.join(members.select(F.col("node").alias("uid")).distinct(), "uid", "left_semi").select(F.col("uid").alias("node"), "words")
+    labels = _links(members, lengths, materialize(_bodies(wanted), "bodies"), similarity)
     classed = nodes.withColumn("comp", F.col("node")) if labels is None else nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classed = materialize(classed.select("digest", "comp", "first", "copies"), "classes")
     heads = classed.groupBy("comp").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size"))

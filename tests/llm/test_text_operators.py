@@ -141,6 +141,41 @@ def test_near_link_to_one_member(spark):
     assert {r.class_id for r in rows} == {0}
 
 
+def test_near_link_in_an_overfull_sketch(spark, monkeypatch):
+    """Odd texts with scattered edits, each 0.8 alike to one member of a group only: a large sketch is not divided by a
+    longer one that they do not share, and several blocks of it meet."""
+    monkeypatch.setattr(near, "LARGE", 2, raising=False)
+    monkeypatch.setattr(near, "BLOCK", 16)
+    passage = prose(72, 80).split()
+    group = [passage + [f"own{k}x{i}" for i in range(20)] for k in range(150)]
+    odd = []
+    for k in range(30):
+        text = [f"new{k}x{i}" if (i - k) % 14 < 2 and i < 78 else w for i, w in enumerate(passage)]
+        odd.append(text + [group[k * 5][80 + i] if i % 2 or i < 4 else f"odd{k}x{i}" for i in range(20)])
+    names = {w: i for i, w in enumerate({w for t in group + odd for w in t})}
+    as_array = lambda words: np.array([names[w] for w in words], np.uint64)
+    assert all(near.within(as_array(group[k * 5]), as_array(t)) for k, t in enumerate(odd))
+    rows = near.near_classes(table(spark, [" ".join(t) for t in group + odd])).collect()
+    assert {r.class_id for r in rows} == {0}
+
+
+def test_signatures_rule_out_no_similar_pair():
+    rng = random.Random(9)
+    ruled_out = 0
+    for _ in range(300):
+        a = [rng.randrange(400) for _ in range(rng.randrange(1, 600))]
+        b = [x for x in a if rng.random() > 0.15]
+        b = [rng.randrange(400) if rng.random() < rng.choice([0.05, 0.15, 0.6]) else x for x in b]
+        a, b = np.array(a, np.uint64), np.array(b, np.uint64)
+        x, y = near.signature(a)[None], near.signature(b)[None]
+        width = min(x.shape[1], y.shape[1])
+        differ = np.bitwise_count(near._folded(x, width) ^ near._folded(y, width)).sum()
+        maybe = differ <= near._allowed(np.array([len(a)]), np.array([len(b)]), near.SIMILARITY)[0]
+        assert maybe or not near.within(a, b)
+        ruled_out += not maybe
+    assert ruled_out > 50
+
+
 def brute_removed(texts):
     seen, out = {}, []
     words = [(t or "").split() for t in texts]
