@@ -1,9 +1,9 @@
 """URL filtering by association rules.
 
 A URL is a set of tokens: labels of its host, words of its path, its extension, its query keys. Spark's FP-growth mines
-token combinations from the unwanted URLs; tokens that stand in the same unwanted URLs are one item, which loses nothing,
-and a URL gives at most MAX_ITEMS items, those that are most often unwanted, so that long URLs have a bounded number of
-combinations. Combinations in enough unwanted URLs, by count, whose exact share of unwanted ones among all labelled URLs is
+token combinations from the unwanted URLs, of all items of each; tokens that stand in the same unwanted URLs are one item.
+An item that no wanted URL has is a rule by itself and left out of the combinations, since it would only repeat itself in
+them. Combinations in enough unwanted URLs, by count, whose exact share of unwanted ones among all labelled URLs is
 high enough become rules, and a rule goes when a smaller one in it is as confident. An inverted index lists each rule under
 its rarest token, so a URL meets only the rules of its own tokens and a rule matches when all its tokens are there.
 """
@@ -28,8 +28,6 @@ RULES = (
 MIN_CONFIDENCE = 0.5
 #: A rule needs so many unwanted URLs, however many are labelled.
 MIN_COUNT = 8
-#: Items that one URL gives to the mining, at most.
-MAX_ITEMS = 12
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -94,11 +92,14 @@ def mine_rules(labelled: DataFrame, *, min_confidence: float = MIN_CONFIDENCE, m
         return labelled.sparkSession.createDataFrame([], schema)
     items = materialize(_items(unwanted, known, min_count), "items")
     best = items.groupBy("item").agg(F.max("share").alias("share"))
+    mixed = small_side(best.filter("share < 1").select("item"))
     spread = unwanted.withColumn("row", F.monotonically_increasing_id()).select("row", F.explode("tokens").alias("item"))
-    held = spread.join(small_side(best), "item").groupBy("row").agg(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("s"), "item"))).alias("held"))
-    baskets = held.select(F.slice("held.item", 1, MAX_ITEMS).alias("items"))
-    found = FPGrowth(itemsCol="items", minSupport=min_count / n, minConfidence=min_confidence).fit(materialize(baskets, "baskets")).freqItemsets
-    sets = found.select(F.monotonically_increasing_id().alias("set"), "items").withColumn("item", F.explode("items"))
+    baskets = spread.join(mixed, "item").groupBy("row").agg(F.collect_list("item").alias("items"))  # a URL's own
+    baskets = materialize(baskets, "baskets")
+    share = min(1.0, (min_count - 0.5) / max(1, baskets.count()))  # half a count below, so that rounding asks for no more
+    found = FPGrowth(itemsCol="items", minSupport=share, minConfidence=min_confidence).fit(baskets.select("items")).freqItemsets
+    alone = best.filter("share = 1").select(F.array("item").alias("items"))
+    sets = found.select("items").union(alone).select(F.monotonically_increasing_id().alias("set"), "items").withColumn("item", F.explode("items"))
     members = items.groupBy("item").agg(F.collect_list("token").alias("members"))
     sets = sets.join(members, "item").groupBy("set").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("members")))).alias("tokens"))
     rules = materialize(sets.select(F.concat_ws("\x01", "tokens").alias("rule"), "tokens").distinct(), "sets")

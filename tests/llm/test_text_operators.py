@@ -434,3 +434,12 @@ def test_support_is_a_count(spark):
     rows = [(["h:bad"], True)] * 8 + [([f"h:{k}"], k % 50 == 0) for k in range(20_000)]
     found = urls.mine_rules(spark.createDataFrame(rows, "tokens array<string>, unwanted boolean")).collect()
     assert [r.tokens for r in found] == [["h:bad"]]
+
+
+def test_a_rule_of_the_rarest_items_of_long_urls(spark):
+    """Fifteen items of one URL: the pair that alone tells unwanted URLs is the least often unwanted of them."""
+    common = [f"c{i:02}" for i in range(13)]
+    rows = [([*common, "x", "y"], True)] * 8 + [([c, f"f{c}"], True) for c in common]
+    rows += [([*common, "x"], False)] * 12 + [([*common, "y"], False)] * 12 + [(["x"], False)] * 40 + [(["y"], False)] * 40
+    found = urls.mine_rules(spark.createDataFrame(rows, "tokens array<string>, unwanted boolean")).collect()
+    assert [(r.tokens, r.confidence, r.support) for r in found] == [(["x", "y"], 1.0, 8)]
