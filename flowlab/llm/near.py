@@ -17,6 +17,7 @@ hashes of a node are looked up once and sent to the tasks that need them.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from flowlab.llm.common import NO_ID, WORD_BYTE, hashed_words, join_keys, keep_rows, keyed_texts, mix
 from flowlab.llm.components import joined_components
-from flowlab.session import materialize
+from flowlab.session import fresh_path, materialize
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -51,8 +52,8 @@ WORD_BITS, LEAST_BITS = 4, 512
 COMPARED = 1 << 20
 #: Candidates of one node that are aligned in the first round, and how many times as many in each further one.
 FIRST, MORE = 16, 8
-#: Pairs of one centre are spread over at least so many tasks, and one more for each PAIRS pairs of all.
-SPREAD, PAIRS = 16, 100_000
+#: Pairs of one centre that are aligned in one place; the words of the centre are sent once for so many.
+TOGETHER = 256
 _odd = np.random.default_rng(11).integers(1, 2**32, SKETCHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _SLICE = 1 << 15
 
@@ -223,14 +224,19 @@ def _sketched(texts: DataFrame) -> DataFrame:
 
 def _bodies(texts: DataFrame) -> DataFrame:
     """(node, body): the word hashes of each text, cut to 32 bits: two different words of a pair of texts of 1,000 words
-    look alike with a chance of 0.0002."""
+    look alike with a chance of 0.0002. Bucketed by node: they are shuffled once, and each round's work joins them where
+    they lie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies = [words.astype(np.uint32).tobytes() for _, words in word_hashes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], names=["node", "body"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, body binary")
+    spark = texts.sparkSession
+    name, parts = f"bodies_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bodies = texts.select("node", "text").mapInArrow(run, "node long, body binary").repartition(parts, "node")
+    bodies.write.bucketBy(parts, "node").sortBy("node").option("path", fresh_path(spark, "bodies")).format("parquet").saveAsTable(name)
+    return spark.table(name)
 
 
 def _sent(work: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -246,11 +252,11 @@ def _words(body: pa.Scalar) -> np.ndarray:
 
 def _verified(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of the pairs whose texts are similar. The rows of one centre ``a`` come one after another, its own first, so
-    its words are sent once to each task that has pairs of it."""
-    spread = max(SPREAD, -(-pairs.count() // PAIRS))
-    part = F.pmod(F.xxhash64("b"), F.lit(spread)).alias("part")
-    centres = pairs.select(F.col("a").alias("node"), F.col("a").alias("centre"), part, F.lit(True).alias("own")).distinct()
-    others = pairs.select(F.col("b").alias("node"), F.col("a").alias("centre"), part, F.lit(False).alias("own"))
+    its words are sent once for TOGETHER pairs of it, about: rows and bytes sent grow with the pairs."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
+    others = pairs.join(parts, "a").select(F.col("b").alias("node"), F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), "parts").alias("part"), F.lit(False).alias("own"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    centres = parts.select(F.col("a").alias("node"), F.col("a").alias("centre"), each.alias("part"), F.lit(True).alias("own"))
     rows = _sent(centres.unionByName(others), bodies).repartition("centre", "part")
     rows = rows.sortWithinPartitions("centre", "part", F.desc("own")).select("node", "centre", "own", "body")
 
@@ -474,7 +480,7 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, s
     some = own.join(members.select(F.col("node").alias("uid")).distinct(), "uid", "left_semi").select("id", "th", F.col("uid").alias("node"))
     wanted = join_keys(texts, some).dropDuplicates(["node"])
     lengths = own.join(members.select(F.col("node").alias("uid")).distinct(), "uid", "left_semi").select(F.col("uid").alias("node"), "words")
-    labels = _links(members, lengths, materialize(_bodies(wanted), "bodies"), similarity)
+    labels = _links(members, lengths, _bodies(wanted), similarity)
     classed = nodes.withColumn("comp", F.col("node")) if labels is None else nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classed = materialize(classed.select("digest", "comp", "first", "copies"), "classes")
     heads = classed.groupBy("comp").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size"))

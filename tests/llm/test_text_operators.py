@@ -443,3 +443,17 @@ def test_a_rule_of_the_rarest_items_of_long_urls(spark):
     rows += [([*common, "x"], False)] * 12 + [([*common, "y"], False)] * 12 + [(["x"], False)] * 40 + [(["y"], False)] * 40
     found = urls.mine_rules(spark.createDataFrame(rows, "tokens array<string>, unwanted boolean")).collect()
     assert [(r.tokens, r.confidence, r.support) for r in found] == [(["x", "y"], 1.0, 8)]
+
+
+def test_a_centre_is_sent_once_for_many_pairs(spark, monkeypatch):
+    sent = []
+    monkeypatch.setattr(near, "_sent", lambda work, bodies, f=near._sent: sent.append(work.count()) or f(work, bodies))
+    texts = table(spark, [prose(50 + k % 3, 60) + f" w{k}" for k in range(90)]).selectExpr("id AS x", "doc_id AS node", "text")
+    pairs = spark.createDataFrame([(k % 3, k) for k in range(3, 90)], "a long, b long")
+    assert near._verified(pairs, near._bodies(texts), 0.8).count() == 87
+    assert sent == [87 + 3]
+
+
+def test_bodies_are_not_shuffled_again(spark):
+    bodies = near._bodies(table(spark, ["one two", "three"]).selectExpr("doc_id AS node", "text"))
+    assert "Bucketed: true" in bodies.join(spark.range(2).selectExpr("id AS node").hint("merge"), "node")._jdf.queryExecution().toString()
