@@ -50,7 +50,8 @@ def capped_sample(
 
     First pass: counts per (group, four key digits) give each group's last needed bucket. Second pass: rows up to
     that bucket, about ``cap`` per group, are kept behind a filter, and only those are ranked, per bucket; a last bucket of
-    more than ``edge_rows`` (EDGE_ROWS) rows is counted by further digits first. Exact
+    more than ``edge_rows`` (EDGE_ROWS) rows is counted by further digits first. A sample of more than ``edge_rows`` rows ranks
+    only buckets that are partly needed; its other rows stay where they are. Exact
     copies are counted, not ranked, so a bucket filled by one repeated row stays one entry.
     """
     keyed = df.where(quoted(group).isNotNull()).withColumn("_key", order_key(seed, key_columns))
@@ -79,18 +80,25 @@ def capped_sample(
         finer = _histogram(inside, [group, "_base"], length).withColumn("_before", F.col("_before") + F.col("_base"))
         cuts, small = pin(edges(finer, length), PINNED_CUTS)
 
-    cut = cuts.select(group, F.col("_bucket").alias("_last"), (F.lit(cap) - F.col("_before")).alias("_room"))
+    columns = [ticked(c) for c in df.columns]
+    room = F.lit(cap) - F.col("_before")
+    cut = cuts.select(group, F.col("_bucket").alias("_last"), room.alias("_room"), (room < F.col("_n")).alias("_partly"))
     prefix = F.substring("_key", 1, length)
     near = keyed.join(F.broadcast(cut) if small else cut, group).where(prefix <= F.col("_last"))
-    copies = near.groupBy(*[ticked(c) for c in df.columns], "_key", "_last", "_room").agg(F.count("*").alias("_n"))
+    ranked, sure = near, (prefix < F.col("_last")) | ~F.col("_partly")
+    large = (cuts.agg(F.sum(F.least(F.col("_before") + F.col("_n"), F.lit(cap)))).first()[0] or 0) > edge_rows
+    if large:
+        whole, ranked = near.where(sure).select(*columns), near.where(~sure)
+        if cut.where("_partly").isEmpty():
+            return whole
+    copies = ranked.groupBy(*columns, "_key", "_last", "_room").agg(F.count("*").alias("_n"))
     bucket = Window.partitionBy(group, F.substring("_key", 1, length)).orderBy("_key", content_key(df))
     rows_before = F.sum("_n").over(bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
     room = F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_room") - F.col("_before_here")))
     keep = F.when(prefix < F.col("_last"), F.col("_n")).otherwise(room)
     kept = copies.withColumn("_before_here", rows_before).withColumn("_keep", keep.cast("int")).where("_keep > 0")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_keep")))).select(
-        *[ticked(c) for c in df.columns]
-    )
+    kept = kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_keep")))).select(*columns)
+    return whole.union(kept) if large else kept
 
 
 def _next_level(length: int) -> int:

@@ -190,3 +190,13 @@ def test_more_groups_than_may_be_pinned_and_a_hot_bucket(spark, monkeypatch, cut
     got = sampling.capped_sample(df, "g", 15, seed=5, key_columns=["id"], edge_rows=3)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
     assert {r["count"] for r in got.groupBy("g").count().collect()} == {15}
+
+
+def test_groups_within_their_cap_move_nowhere(spark, skewed):
+    """Surely kept rows of a large sample are filtered in place: nothing is grouped or shuffled, copies and nulls stay."""
+    rows = skewed.union(skewed.limit(50)).union(spark.sql("SELECT CAST(NULL AS LONG) AS id, 'tiny' AS label, NULL AS x"))
+    whole = sampling.capped_sample(rows, "label", 2**40, seed=3, key_columns=["id"], edge_rows=100)
+    assert "hashpartitioning" not in whole._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, whole.collect())) == sorted(map(str, rows.collect()))
+    large, small = (sampling.capped_sample(rows, "label", 1000, seed=3, key_columns=["id"], edge_rows=n) for n in (100, 10**6))
+    assert sorted(map(str, large.collect())) == sorted(map(str, small.collect())) and small.where("label = 'hot'").count() == 1000
