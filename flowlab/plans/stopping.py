@@ -64,8 +64,9 @@ def tree_values(tree: Tree, x: np.ndarray) -> np.ndarray:
         node = np.where(inner, np.where(goes_left, left[node], right[node]), node)
 
 
-def staged_log_loss(rows: DataFrame, models: Sequence[GBTClassificationModel], features: str = "_features", target: str = "_y") -> list[float]:
-    """Mean log loss after 1, 2, .. rounds over ``rows``, whose ``target`` is the index of their class.
+def staged_log_loss(rows: DataFrame, models: Sequence[GBTClassificationModel], features: str = "_features", target: str = "_y", count: str | None = None) -> list[float]:
+    """Mean log loss after 1, 2, .. rounds over ``rows``, whose ``target`` is the index of their class; a row stands for
+    ``count`` rows if that column is given.
 
     The models say P(class against the rest); their shares of the sum are the joint probabilities.
     """
@@ -74,23 +75,25 @@ def staged_log_loss(rows: DataFrame, models: Sequence[GBTClassificationModel], f
     rounds = min(map(len, trees))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(rounds), 0
+        total, seen = np.zeros(rounds), 0.0
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = np.array(batch.column(0).flatten()).reshape(batch.num_rows, -1)
             y = batch.column(1).to_numpy().astype(np.int64)
+            n = batch.column(2).to_numpy()
             margins, row = np.zeros((batch.num_rows, len(trees))), np.arange(batch.num_rows)
             for k in range(rounds):
                 for c, stages in enumerate(trees):
                     margins[:, c] += tree_values(stages[k], x)
                 p = 1 / (1 + np.exp(-2 * margins))
-                total[k] -= np.log(np.maximum(p[row, y] / p.sum(1), LEAST)).sum()
-            seen += batch.num_rows
+                total[k] -= (np.log(np.maximum(p[row, y] / p.sum(1), LEAST)) * n).sum()
+            seen += n.sum()
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds)), pa.array(total), pa.array(np.full(rounds, seen))], names=["k", "loss", "n"])
 
-    staged = rows.select(vector_to_array(features), target).mapInArrow(run, "k long, loss double, n long")
+    number = (F.col(count).cast("double") if count else F.lit(1.0)).alias("n")
+    staged = rows.select(vector_to_array(features), target, number).mapInArrow(run, "k long, loss double, n double")
     means = staged.groupBy("k").agg((F.sum("loss") / F.sum("n")).alias("loss")).orderBy("k").collect()  # one row a round
     return [r["loss"] for r in means]
 

@@ -50,6 +50,8 @@ SUBTYPE_PRESET = dict(maxIter=1200, stepSize=0.03, maxDepth=6, leaves=15, minIns
 
 DEFAULT_BINS = 255
 FIT_THREADS = 4
+#: Rows that a distinct one stands for on average, at least, where boosting works on distinct rows and their counts.
+COPIES = 4
 
 Fit = Callable[[DataFrame, DataFrame | None], FlatModel]
 
@@ -119,6 +121,25 @@ def fit_forest(
     return FlatModel(classes, list(features), fitted)
 
 
+def _distinct_rows(rows: DataFrame, settings: dict, weighted: bool, total: int) -> DataFrame:
+    """``rows`` to boost on, with ``_n``, how many a row stands for.
+
+    Each round of boosting passes over all rows several times. Where features take few values, equal rows are one row of
+    their summed weight: the trees are the same, since all sums in them are weighted. The least rows of a leaf are then
+    asked for as weight, so with other weights than counts they must be one. Rows stay as they are if they seldom repeat.
+    """
+    columns, least = [quoted(c) for c in rows.columns], settings.get("minInstancesPerNode", 1)
+    countable = settings.get("subsamplingRate", 1.0) == 1.0 and (least == 1 or not weighted and total >= 2 * least)
+    if countable:
+        seen, distinct = rows.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*columns))).first()
+    if not countable or seen < COPIES * distinct:
+        return rows.withColumn("_n", F.lit(1.0))
+    if least > 1:
+        share = (least - 0.5) / total  # whole counts: half a row less is safe from rounding
+        settings.update(minInstancesPerNode=1, minWeightFractionPerNode=max(share, settings.get("minWeightFractionPerNode", 0.0)))
+    return rows.groupBy(*columns).agg(F.count("*").cast("double").alias("_n"))
+
+
 def fit_boosted(
     train: DataFrame,
     val: DataFrame | None = None,
@@ -138,6 +159,7 @@ def fit_boosted(
     rounds as ``patience``; where it does not stop, the next has twice as many, up to ``maxIter``: a fit of more rounds
     begins with the same trees, so this costs at most as much again as the last fit. Spark has no leaf limit: a preset's
     ``leaves`` caps the depth at their binary logarithm, rounded up. The class models are independent jobs, a few at a time.
+    Rows that repeat are fitted and validated once, with their count as weight.
     """
     table = class_table(train, label)
     classes = [c for c, _ in table]
@@ -154,7 +176,8 @@ def fit_boosted(
     if val is not None:
         held = _prepared(val, features, label, classes, weights).where(F.col("_y").isNotNull())
         data = data.unionByName(held.withColumn("_val", F.lit(True)))
-    rows = materialize(pipeline.transform(data).select("_features", "_y", "_w", "_val"), "boosting")
+    data = _distinct_rows(data.select(*map(quoted, features), "_y", "_w", "_val"), settings, bool(weights), sum(n for _, n in table))
+    rows = materialize(pipeline.transform(data).select("_features", "_y", "_w", "_val", "_n"), "boosting")
 
     most = settings.pop("maxIter")
 
@@ -175,13 +198,13 @@ def fit_boosted(
         with ThreadPoolExecutor(FIT_THREADS) as pool:
             return list(pool.map(lambda index: fit_class(index, rounds), range(len(classes))))
 
-    fitting, held = rows.where("NOT _val"), rows.where("_val")
+    fitting, held = rows.where("NOT _val").withColumn("_w", F.col("_w") * F.col("_n")), rows.where("_val")
     if val is None or held.isEmpty():
         return FlatModel(classes, list(features), pipeline, fit_all(most))
     rounds = min(most, 2 * patience)
     while True:
         models = fit_all(rounds)
-        losses = staged_log_loss(held, models)
+        losses = staged_log_loss(held, models, count="_n")
         kept, stopped = best_round(losses, patience)
         if stopped or rounds == most:
             return FlatModel(classes, list(features), pipeline, [first_rounds(m, kept) for m in models], losses)

@@ -78,3 +78,36 @@ def test_fit_stops_and_doubles(spark):
     assert {m.getNumTrees for m in whole.per_class} == {5} and whole.losses == []
     empty = training.fit_boosted(rows, held.limit(0), features=["x"], preset=preset, max_iter=5)
     assert {m.getNumTrees for m in empty.per_class} == {5}
+
+
+def test_copies_are_boosted_as_weight(spark, monkeypatch):
+    """Rows that repeat are fitted once: the same trees and losses as from all rows, also where a leaf needs some rows."""
+    sizes = []
+    fit = GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, rows: (sizes.append(rows.count()), fit(self, rows))[1])
+    rows = spark.range(900).selectExpr("CAST(pmod(xxhash64(id), 7) AS DOUBLE) AS x", "CAST(pmod(xxhash64(id, 1), 3) AS DOUBLE) AS y", "id")
+    rows = rows.selectExpr("*", "concat('c', IF(id % 3 = 0, pmod(xxhash64(id, 2), 3), CAST((x * x + y) % 3 AS LONG))) AS label").coalesce(1)
+    held = rows.where("id % 4 = 0")
+    preset = dict(maxIter=2, stepSize=0.3, maxDepth=3, minInstancesPerNode=60)
+
+    def fitted():
+        return training.fit_boosted(rows, held, features=["x", "y"], preset=preset, patience=2)
+
+    merged, few = fitted(), max(sizes)
+    with monkeypatch.context() as whole:
+        whole.setattr(training, "COPIES", 10**9)
+        plain = fitted()
+    assert few <= 7 * 3 * 3 and max(sizes) == 900
+    assert merged.losses == pytest.approx(plain.losses)
+    points = rows.select("x", "y").distinct().orderBy("x", "y")
+    for a, b in zip(merged.score(points).orderBy("x", "y").collect(), plain.score(points).orderBy("x", "y").collect()):
+        assert a["probs"] == pytest.approx(b["probs"])
+    sizes.clear()
+    weighted = training.fit_boosted(rows, features=["x", "y"], preset=dict(preset, maxIter=1), weights={"c0": 2.0, "c1": 1.0, "c2": 1.0})
+    assert len(weighted.classes) == 3 and max(sizes) == 900  # a leaf's rows cannot be read off other weights
+
+
+def test_one_row_many_times(spark):
+    rows = spark.range(40).selectExpr("1.0D AS x", "'a' AS label")
+    model = training.fit_boosted(rows, features=["x"], preset=dict(maxIter=2, stepSize=0.3, maxDepth=3, minInstancesPerNode=5))
+    assert model.score(rows.limit(1)).first()["probs"] == [1.0]
