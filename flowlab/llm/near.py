@@ -375,6 +375,7 @@ def _met(members: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
     rows = members.join(tops, "key").select(
         "key", "node", "comp", "words", F.when(F.col("small"), 0).otherwise(step).alias("step"), (~F.col("small") & (F.col("comp") == F.col("top"))).alias("in_top")
     )
+    rows = materialize(rows, "crowded")  # read three times
     place = ["key", "step", "in_top"]
     sizes = rows.groupBy(*place).agg(F.count("*").alias("n"), F.sum("words").alias("w"))
     sizes = materialize(sizes.select(*place, F.ceil(F.greatest(F.col("n") / BLOCK, F.col("w") / BLOCK_WORDS, F.lit(1))).cast("int").alias("pieces")), "sizes")

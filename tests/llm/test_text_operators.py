@@ -457,3 +457,15 @@ def test_a_centre_is_sent_once_for_many_pairs(spark, monkeypatch):
 def test_bodies_are_not_shuffled_again(spark):
     bodies = near._bodies(table(spark, ["one two", "three"]).selectExpr("doc_id AS node", "text"))
     assert "Bucketed: true" in bodies.join(spark.range(2).selectExpr("id AS node").hint("merge"), "node")._jdf.queryExecution().toString()
+
+
+def test_crowded_members_are_joined_once(spark):
+    """Sizes, buckets and blocks are read off one written table, not off three joins of the members."""
+    from flowlab.session import materialize
+
+    members = materialize(spark.createDataFrame([(1, 1, 1, 2), (1, 2, 2, 2)], "key long, node long, comp long, words long"), "members")
+    word = bytes([1, 0, 0, 0, 2, 0, 0, 0])
+    bodies = spark.createDataFrame([(1, word), (2, word)], "node long, body binary")
+    met = near._met(members, bodies, 0.8)
+    assert not any("/members-" in f for f in met.inputFiles())
+    assert [tuple(r) for r in met.collect()] == [(1, 2)]
