@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlab.operators.digits import FIRST_SHIFT, OPENED, WIDTH, ordered_bits, prefix
+from flowlab.operators.digits import FIRST_SHIFT, OPENED, WIDTH, prefix, with_ordered_bits
 from flowlab.operators.small import small_side
 from flowlab.schema import quoted
 from flowlab.session import materialize
@@ -111,7 +111,7 @@ def average_precision(
         df = materialize(df, "scored")
 
     def unfolded(least: Mapping[str, float] | None = None) -> DataFrame:
-        return _unfolded(df, classes, "_probs", "_truth", only, keys, least).withColumn("_bits", ordered_bits(F.col("score")))
+        return with_ordered_bits(_unfolded(df, classes, "_probs", "_truth", only, keys, least), "score")
 
     shift = FIRST_SHIFT
     first = materialize(_counted(unfolded().withColumn("_prefix", prefix(F.col("_bits"), shift)), group, []), "buckets")

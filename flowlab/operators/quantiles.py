@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlab.operators.digits import FIRST_SHIFT, OPENED, WIDTH, ordered_bits, prefix
+from flowlab.operators.digits import FIRST_SHIFT, OPENED, WIDTH, prefix, with_ordered_bits
 from flowlab.operators.small import small_side
 from flowlab.session import materialize
 
@@ -23,7 +23,7 @@ def grouped_quantiles(
     value at the rank below, not a mean of two.
     """
     valued = df.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
-    valued = valued.withColumn("_bits", ordered_bits(F.col("_v")))
+    valued = with_ordered_bits(valued, "_v")
 
     def counted(rows: DataFrame, within: Sequence[str], shift: int) -> DataFrame:
         counts = rows.groupBy(*within, prefix(F.col("_bits"), shift).alias("_prefix")).agg(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlab.operators import average_precision as ap
 from flowlab.operators import metrics, reports
-from flowlab.operators.digits import ordered_bits
+from flowlab.operators.digits import FIRST_SHIFT, ordered_bits, prefix, with_ordered_bits
 from flowlab.operators.quantiles import grouped_quantiles
 from flowlab.operators.support import class_weights
 
@@ -113,6 +113,18 @@ def test_ordered_bits_are_those_of_the_number(spark):
         assert r.b == (-bits if r.v < 0 else bits), r.v
     odd = spark.createDataFrame([(float("nan"),), (None,)], "v double").select(ordered_bits(F.col("v")).alias("b")).collect()
     assert [r.b for r in odd] == [2**63 - 1, None]
+    assert [tuple(r) for r in with_ordered_bits(df, "v", "c").collect()] == [(r.v, r.b, r.b) for r in df.collect()]
+
+
+def test_the_logarithm_of_a_number_is_taken_once(spark, capsys):
+    """Also where rows are counted by their leading digit or joined by it."""
+    rows = with_ordered_bits(spark.range(9).select((F.col("id") / 7).alias("v")), "v")
+    digit = prefix(F.col("_bits"), FIRST_SHIFT)
+    wanted = F.broadcast(spark.createDataFrame([(0,)], "wanted long"))
+    for used in (rows.groupBy(digit.alias("p")).agg(F.count("*"), F.min("v")), rows.join(wanted, digit == F.col("wanted"))):
+        used.explain()
+        plan = capsys.readouterr().out
+        assert plan.count("LOG2") == 1 and plan.count("POWER") == 1
 
 
 def test_class_weights(spark):
