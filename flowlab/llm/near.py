@@ -222,10 +222,18 @@ def _sketched(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "id long, th long, words long, digest binary, sketches array<long>")
 
 
+def _shared(held: DataFrame) -> DataFrame:
+    """The rows (value, node) whose value at least two nodes have. Rows are shuffled once: the search for such values
+    and the join with them read the same shuffle, as both need both columns."""
+    held = held.repartition("value")
+    values = held.groupBy("value").agg(F.min("node").alias("least"), F.max("node").alias("largest")).filter("least < largest")
+    return held.join(values.select("value"), "value")
+
+
 def _bodies(texts: DataFrame) -> DataFrame:
     """(node, body): the word hashes of each text, cut to 32 bits: two different words of a pair of texts of 1,000 words
-    look alike with a chance of 0.0002. Bucketed by node: they are shuffled once, and each round's work joins them where
-    they lie."""
+    look alike with a chance of 0.0002. Repeated rows of a node have one body; texts stay where they are. Bucketed by node:
+    bodies are shuffled once, and each round's work joins them where they lie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +242,7 @@ def _bodies(texts: DataFrame) -> DataFrame:
 
     spark = texts.sparkSession
     name, parts = f"bodies_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bodies = texts.select("node", "text").mapInArrow(run, "node long, body binary").repartition(parts, "node")
+    bodies = texts.select("node", "text").mapInArrow(run, "node long, body binary").dropDuplicates(["node"])  # deals nodes as the buckets do
     bodies.write.bucketBy(parts, "node").sortBy("node").option("path", fresh_path(spark, "bodies")).format("parquet").saveAsTable(name)
     return spark.table(name)
 
@@ -475,13 +483,11 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, s
     rank = F.struct(F.col("id") == NO_ID, "id", "uid")
     nodes = materialize(base.groupBy("digest").agg(F.min("uid").alias("node"), F.min(rank).alias("first"), F.count("*").alias("copies")), "nodes")
     own = base.join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi")
-    exploded = own.select(F.explode("sketches").alias("value"), F.col("uid").alias("node"), "words")
-    shared = exploded.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1").select("value")
-    members = materialize(exploded.join(shared, "value"), "members")
+    held = _shared(own.select(F.explode("sketches").alias("value"), F.col("uid").alias("node")))
+    members = materialize(held.join(own.select(F.col("uid").alias("node"), "words"), "node").select("value", "node", "words"), "members")
     some = own.join(members.select(F.col("node").alias("uid")).distinct(), "uid", "left_semi").select("id", "th", F.col("uid").alias("node"))
-    wanted = join_keys(texts, some).dropDuplicates(["node"])
     lengths = own.join(members.select(F.col("node").alias("uid")).distinct(), "uid", "left_semi").select(F.col("uid").alias("node"), "words")
-    labels = _links(members, lengths, _bodies(wanted), similarity)
+    labels = _links(members, lengths, _bodies(join_keys(texts, some)), similarity)
     classed = nodes.withColumn("comp", F.col("node")) if labels is None else nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classed = materialize(classed.select("digest", "comp", "first", "copies"), "classes")
     heads = classed.groupBy("comp").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size"))

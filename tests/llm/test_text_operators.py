@@ -469,3 +469,18 @@ def test_crowded_members_are_joined_once(spark):
     met = near._met(members, bodies, 0.8)
     assert not any("/members-" in f for f in met.inputFiles())
     assert [tuple(r) for r in met.collect()] == [(1, 2)]
+
+
+def test_sketches_are_shuffled_once(spark, capsys):
+    """Values that two nodes have are found in the rows that the join reads; the same node twice is one."""
+    rows = [(v, n) for v in range(300) for n in range(v % 3)] + [(1000, 7), (1000, 7)]
+    shared = near._shared(spark.createDataFrame(rows, "value long, node long"))
+    assert sorted(map(tuple, shared.collect())) == sorted((v, n) for v, n in rows if v < 1000 and v % 3 == 2)
+    shared.explain()
+    assert "ReusedExchange" in capsys.readouterr().out
+
+
+def test_repeated_rows_have_one_body(spark):
+    texts = [(n, f"some words of text {n}") for n in range(40)] + [(3, "some words of text 3")] * 20
+    bodies = near._bodies(spark.createDataFrame(texts, "node long, text string").repartition(5))
+    assert sorted((r.node, len(r.body)) for r in bodies.collect()) == [(n, 4 * 5) for n in range(40)]
