@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ from flowlab.operators.support import class_support, rare_labels
 from flowlab.plans.evaluation import evaluate_stacked, side_by_side, union_of
 from flowlab.plans.experiment import Experiment, tuning_experiment
 from flowlab.plans.models import FlatModel
-from flowlab.plans.training import Fit, shuffled_label_check
+from flowlab.plans.training import FIT_THREADS, Fit, shuffled_label_check
 from flowlab.schema import FEATURES, LABEL, conform, labelled, quoted
 from flowlab.session import materialize
 
@@ -100,7 +101,8 @@ def compare_models(
     )
     held_out = conform(test, features, label=label)
     splits = {"TRAIN": data.train, "VAL": data.val, "OFFICIAL TEST": held_out}
-    models = {name: fit(data.train, data.val) for name, fit in fits.items()}
+    with ThreadPoolExecutor(FIT_THREADS) as pool:  # independent fits, a few at a time
+        models = dict(zip(fits, pool.map(lambda fit: fit(data.train, data.val), fits.values())))
     rows = union_of({split: conform(table, features, label=label) for split, table in splits.items()})
     scored, columns = side_by_side(models, rows)
     found = evaluate_stacked(

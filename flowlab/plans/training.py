@@ -116,6 +116,7 @@ def fit_forest(
         bootstrap=bootstrap,
         seed=seed,
         predictionCol="",
+        cacheNodeIds=True,  # deep trees are not sent and walked again in each pass
     )
     fitted = Pipeline(stages=[*assembling_stages(data, features), model]).fit(data)
     return FlatModel(classes, list(features), fitted)

@@ -1,10 +1,13 @@
 """Spark ML models: quality, round trips and the two-level model."""
 
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
 from flowlab.functions.decisions import ThresholdConfig
 from flowlab.operators.metrics import confusion, per_class, summary_metrics
+from flowlab.plans import flows as flow_jobs
 from flowlab.plans import hierarchical, models, training
 from flowlab.plans.evaluation import evaluate_model
 from flowlab.plans.scoring import predict, score_with
@@ -59,6 +62,22 @@ def test_forest_and_importance(spark, parts):
     assert set(top) == set(FEATURES[:3])
 
 
+def test_compared_models_are_fitted_side_by_side(spark, parts):
+    met = threading.Barrier(2, timeout=60)
+
+    def fit(train, val):
+        met.wait()  # broken if the other fit only begins after this one
+        return training.fit_logreg(train, max_iter=3)
+
+    found = flow_jobs.compare_models(*parts, {"a": fit, "b": fit}, key_columns=["id"], rare_support_threshold=0)
+    assert list(found.models) == ["a", "b"] and found.summary.count() == 2
+
+
+def test_forest_keeps_the_node_of_a_row(spark, parts):
+    model = training.fit_forest(parts[0], trees=3, max_depth=4)
+    assert model.pipeline.stages[-1].getCacheNodeIds()
+
+
 def test_boosted(spark, parts):
     preset = dict(maxIter=5, stepSize=0.3, maxDepth=3, minInstancesPerNode=2)
     model = training.fit_boosted(parts[0], parts[1], preset=preset)
